@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,10 +19,17 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.archive(spark, _table(spark, sf_dir, "pages"))
+    return warc.read_archives(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Query] = {
     "op5_mix_sources": op5_mix_sources,
+    "op8_warc_archive": op8_warc_archive,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_mix_sources": mixing.MIX_SQL.format(docs="documents"),
+    "op8_warc_archive": warc.ARCHIVE_SQL.format(pages="pages"),
 }

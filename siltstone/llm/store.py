@@ -58,3 +58,12 @@ def write_whole(folder: str, name: str, body) -> str:
     with store.open_output_stream(path) as out:
         body(out)
     return uri
+
+
+#: A side with at most so many narrow rows (ids, hashes, numbers: some tens of bytes each) may be broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`df`, a table that `written` has made, marked for broadcasting if its counted rows are few; else left to a shuffle join."""
+    return df.hint("broadcast") if df.count() <= rows else df
