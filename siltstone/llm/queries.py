@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, warc
+from . import mixing, quality, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,9 +24,15 @@ def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+    return quality.judged(_table(spark, sf_dir, "documents")).select(*columns)
+
+
 QUERIES: dict[str, Query] = {
     "op5_mix_sources": op5_mix_sources,
     "op8_warc_archive": op8_warc_archive,
+    "op9_quality_outliers": op9_quality_outliers,
 }
 
 ORACLE_SQL: dict[str, str] = {
