@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import small_or_not, written
 from .words import word_count
 
 #: Documents of a source that share one bin of the ranking, on average.
@@ -89,12 +89,12 @@ def mix(
         F.count(F.lit(1)).alias("n_docs"),
     )
     targets = source_targets(sources.select("source", "source_size"), weights, share, cap)
-    targets = written(
+    targets = small_or_not(written(
         targets.alias("t")
         .join(sources.alias("s"), F.col("t.source").eqNullSafe(F.col("s.source")))
         .select("t.*", "s.weighted", F.greatest(F.lit(1), F.ceil(F.col("s.n_docs") / BIN_ROWS)).alias("n_bins")),
         "targets",
-    )
+    ))
     u = uniform(F.col("doc_id"), seed)
     expects = F.when(F.col("weighted") > 0, F.col("target") * F.col("importance") / F.col("weighted")).otherwise(0.0)
     chance = F.col("expects") - F.col("whole")
@@ -121,6 +121,7 @@ def mix(
         .groupBy("source")
         .agg(F.min_by(F.struct("bin", "start", "rest"), "bin").alias("line"))
     )
+    lines = small_or_not(written(lines, "lines"))
     placed = ranked.alias("r").join(lines.alias("l"), F.col("r.source").eqNullSafe(F.col("l.source")), "left").select("r.*", "line")
     on_line = Window.partitionBy("source", "bin").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     # whole bins are decided by their number, so only the bins on the line are ever ordered
