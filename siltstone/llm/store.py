@@ -55,7 +55,7 @@ def write_whole(folder: str, name: str, body) -> str:
     """
     uri = f"{folder}/{uuid.uuid4().hex}-{name}"
     store, path = opened(uri)
-    with store.open_output_stream(path) as out:
+    with store.open_output_stream(path, compression=None) as out:
         body(out)
     return uri
 

@@ -133,7 +133,7 @@ def read_archives(files: DataFrame) -> DataFrame:
             for uri in batch.column(0).to_pylist():
                 store, path = opened(uri)
                 rows = []
-                with store.open_input_stream(path) as stream:
+                with store.open_input_stream(path, compression=None) as stream:
                     for head, block in records_in(stream):
                         digest, kind = head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"]
                         size, stored = int(head["x-payload-length"]), len(block)
