@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality, token_files, warc
+from . import bpe, line_dedup, mixing, quality, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.archive(spark, _table(spark, sf_dir, "pages"))
     return warc.read_archives(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -48,11 +52,13 @@ QUERIES: dict[str, Query] = {
     "op2_bpe_encode": op2_bpe_encode,
     "op3_token_files": op3_token_files,
     "op5_mix_sources": op5_mix_sources,
+    "op7_line_spread": op7_line_spread,
     "op8_warc_archive": op8_warc_archive,
     "op9_quality_outliers": op9_quality_outliers,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_mix_sources": mixing.MIX_SQL.format(docs="documents"),
+    "op7_line_spread": line_dedup.SPREAD_SQL.format(docs="documents", least=10),
     "op8_warc_archive": warc.ARCHIVE_SQL.format(pages="pages"),
 }
