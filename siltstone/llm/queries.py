@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, mixing, quality, token_files, warc
+from . import bpe, line_dedup, minhash, mixing, quality, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +48,10 @@ def op9_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), minhash.Plan(width=3, percent=85))
+
+
 QUERIES: dict[str, Query] = {
     "op2_bpe_encode": op2_bpe_encode,
     "op3_token_files": op3_token_files,
@@ -55,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op7_line_spread": op7_line_spread,
     "op8_warc_archive": op8_warc_archive,
     "op9_quality_outliers": op9_quality_outliers,
+    "op10_bbit_minhash": op10_bbit_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
