@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, minhash, mixing, quality, token_files, warc
+from . import bpe, langid, line_dedup, minhash, mixing, quality, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(files)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_all(spark, _table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_bpe_encode": op2_bpe_encode,
     "op3_token_files": op3_token_files,
+    "op4_language_id": op4_language_id,
     "op5_mix_sources": op5_mix_sources,
     "op7_line_spread": op7_line_spread,
     "op8_warc_archive": op8_warc_archive,
