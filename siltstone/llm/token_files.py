@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,9 +27,9 @@ LEVEL = 3
 
 
 class LibraryEncoder:
-    """The tokenizers library over chunks that its merges never cross, with a bounded memo of chunks."""
+    """The tokenizers library over words with the space before them, which its merges never cross, and a bounded memo of words."""
 
-    def __init__(self, path: str, remembered: int = 200_000):
+    def __init__(self, path: str, remembered: int = 400_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -36,32 +37,41 @@ class LibraryEncoder:
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.known = Memo(lambda chunk: self._packed([chunk])[0], remembered)
+        self.kind = next(k for k in "HIL" if array(k).itemsize == self.width)
+        self.words = Memo(lambda word: self._packed([" " + word])[0], remembered)
 
     def _packed(self, texts: list[str]) -> list[bytes]:
-        kind = f"<u{self.width}"
-        return [np.array(x.ids, kind).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        kind = self.kind
+        return [array(kind, x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Packed ids of each text; null is empty. Texts with a special token's string go to the library whole."""
-        cut = [self._cut(t) if t else [] for t in texts]
-        new = list({c for chunks in cut for c in chunks if c not in self.known and c not in self.known.old})
-        for k in range(0, len(new), 4096):
-            fresh = dict(zip(new[k : k + 4096], self._packed(new[k : k + 4096]), strict=True))
-            for chunk, ids in fresh.items():
-                self.known.put(chunk, ids)
-        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in cut]
-
-    def _cut(self, text: str) -> list[str]:
-        if any(t in text for t in self.special):
-            return [text]
-        first, *rest = CUTS.split(text) if "  " in text or not text.isprintable() and _uneven(text) else text.split(" ")
-        return [*filter(None, [first]), *map(" ".__add__, rest)]
-
-
-def _uneven(text: str) -> bool:
-    """Whether a space isn't followed by a character other than white space."""
-    return text.endswith(" ") or any(not p or p[0].isspace() for p in text.split(" ")[1:])
+        """Packed ids of each text; null is empty.
+
+        A text with a special token's string, or with spaces that aren't just one before a word, is cut
+        at fewer places or goes to the library whole.
+        """
+        parts = [t.split(" ") if t else [] for t in texts]
+        new = set().union(*(p[1:] for p in parts)).difference(self.words).difference(self.words.old)
+        uneven = {w for w in new if not w or w[0].isspace()}
+        fresh = list(new - uneven)
+        for k in range(0, len(fresh), 8192):
+            some = fresh[k : k + 8192]
+            for word, ids in zip(some, self._packed([" " + w for w in some]), strict=True):
+                self.words.put(word, ids)
+        heads = self._packed([p[0] if p else "" for p in parts])
+        word = self.words.__getitem__
+        out = []
+        for text, part, head in zip(texts, parts, heads, strict=True):
+            if not text:
+                out.append(b"")
+            elif any(t in text for t in self.special):
+                out.append(self._packed([text])[0])
+            elif uneven and not uneven.isdisjoint(part[1:]):
+                first, *rest = CUTS.split(text)
+                out.append(b"".join(self._packed([first, *map(" ".__add__, rest)])))
+            else:
+                out.append(b"".join([head, *map(word, part[1:])]))
+        return out
 
 
 @lru_cache(maxsize=2)
