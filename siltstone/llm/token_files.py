@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,11 +23,17 @@ from .store import make_folder, new_path, opened, write_whole, written
 SKIPPABLE, SEEK_TABLE, SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: A frame takes documents until its ids have so many bytes; a larger document has a frame of its own.
 FRAME_BYTES = 256 << 10
+#: Bytes of the texts that are encoded together; a larger text is a run of its own.
+RUN_BYTES = 8 << 20
 LEVEL = 3
 
 
 class LibraryEncoder:
-    """The tokenizers library over words with the space before them, which its merges never cross, and a bounded memo of words."""
+    """The tokenizers library over words with the space before them, which its merges never cross, and a bounded memo of words.
+
+    A run of texts is split and its distinct words numbered by Arrow; the library gets the words that the memo
+    lacks as one text, whose ids fall apart again before each token that begins with a space.
+    """
 
     def __init__(self, path: str, remembered: int = 400_000):
         from tokenizers import Tokenizer
@@ -35,42 +41,80 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.kind = next(k for k in "HIL" if array(k).itemsize == self.width)
-        self.words = Memo(lambda word: self._packed([" " + word])[0], remembered)
-
-    def _packed(self, texts: list[str]) -> list[bytes]:
-        kind = self.kind
-        return [array(kind, x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.by_words = not any(" " in t for t in special)
+        size = self.library.get_vocab_size()
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.width = self.kind.itemsize
+        self.spaced = np.zeros(size, bool)
+        for token, number in self.library.get_vocab().items():
+            self.spaced[number] = token.startswith("\u0120")  # the letter that stands for a space
+        self.memo = Memo(lambda word: self.whole([" " + word])[0], remembered)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.kind) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """Packed ids of words with a space before each, put into the memo."""
+        found: list[bytes] = []
+        for k in range(0, len(words), 2048):
+            some = words[k : k + 2048]
+            ids = self.whole(["".join(map(" ".__add__, some))])[0]
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) == len(some):
+                raw, bounds = ids.tobytes(), [*(starts * self.width).tolist(), len(ids) * self.width]
+                found += [raw[i:j] for i, j in zip(bounds, bounds[1:], strict=False)]
+            else:
+                found += [x.tobytes() for x in self.whole([" " + w for w in some])]
+        for word, ids in zip(words, found, strict=True):
+            self.memo.put(word, ids)
+        return found
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Packed ids of each text; null is empty.
-
-        A text with a special token's string, or with spaces that aren't just one before a word, is cut
-        at fewer places or goes to the library whole.
-        """
-        parts = [t.split(" ") if t else [] for t in texts]
-        new = set().union(*(p[1:] for p in parts)).difference(self.words).difference(self.words.old)
-        uneven = {w for w in new if not w or w[0].isspace()}
-        fresh = list(new - uneven)
-        for k in range(0, len(fresh), 8192):
-            some = fresh[k : k + 8192]
-            for word, ids in zip(some, self._packed([" " + w for w in some]), strict=True):
-                self.words.put(word, ids)
-        heads = self._packed([p[0] if p else "" for p in parts])
-        word = self.words.__getitem__
-        out = []
-        for text, part, head in zip(texts, parts, heads, strict=True):
-            if not text:
-                out.append(b"")
-            elif any(t in text for t in self.special):
-                out.append(self._packed([text])[0])
-            elif uneven and not uneven.isdisjoint(part[1:]):
-                first, *rest = CUTS.split(text)
-                out.append(b"".join(self._packed([first, *map(" ".__add__, rest)])))
+        """Packed ids of each text; null is empty. A text with spaces that aren't just one before a word is cut at fewer places."""
+        texts = [t or "" for t in texts]
+        if not self.by_words:
+            return [x.tobytes() for x in self.whole(texts)]
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        offsets = split.offsets.to_numpy()
+        numbered = split.flatten().dictionary_encode()
+        index = numbered.indices.to_numpy().astype(np.int64)
+        words = numbered.dictionary.to_pylist()
+        inner = np.ones(len(index), bool)
+        inner[offsets[:-1]] = False
+        used = np.zeros(len(words), bool)
+        used[index[inner]] = True
+        places = np.flatnonzero(used).tolist()
+        asked = words if len(places) == len(words) else [words[k] for k in places]
+        packed: list[bytes] = [b""] * len(words)
+        uneven, new = np.zeros(len(words), bool), []
+        for k, word, found in zip(places, asked, map(self.memo.get, asked), strict=True):
+            if found is not None:
+                packed[k] = found
+            elif not word or word[0].isspace():
+                uneven[k] = True
+            elif (old := self.memo.old.get(word)) is not None:
+                packed[k] = old
             else:
-                out.append(b"".join([head, *map(word, part[1:])]))
+                new.append(k)
+        fresh = [words[k] for k in new]
+        for k, ids in zip(new, self._encoded(fresh), strict=True):
+            packed[k] = ids
+        # the first word of a text has no space before it, so each is an entry of its own
+        packed += [x.tobytes() for x in self.whole([words[k] for k in index[offsets[:-1]]])]
+        index[offsets[:-1]] = np.arange(len(words), len(packed))
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.width
+        flat, first = np.frombuffer(b"".join(packed), self.kind), np.cumsum(sizes) - sizes
+        of = sizes[index]
+        ends = np.cumsum(of)
+        tokens = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[index] - ends + of, of)]
+        bounds = np.concatenate([[0], ends])[offsets].tolist()
+        out = [tokens[i:j].tobytes() for i, j in zip(bounds, bounds[1:], strict=False)]
+        odd = np.zeros(len(index), bool)
+        odd[inner] = uneven[index[inner]]
+        for k in set((np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1).tolist()):
+            first_part, *rest = CUTS.split(texts[k])
+            out[k] = b"".join(x.tobytes() for x in self.whole([first_part, *map(" ".__add__, rest)]))
         return out
 
 
@@ -79,6 +123,17 @@ def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
+def runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about RUN_BYTES of its second column."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0), np.int64))
+    first = 0
+    while first < batch.num_rows:
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + RUN_BYTES, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def write_file(out, documents: Iterator[tuple[int | None, bytes]], width: int) -> tuple[int, int]:
     """Frames of whole documents, a frame with the documents' ids and counts, and the seek table. Returns documents and ids written."""
     packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
@@ -172,8 +227,7 @@ def write_tokens(
 
         def documents():
             for batch in batches:
-                for k in range(0, batch.num_rows, 512):
-                    part = batch.slice(k, 512)
+                for part in runs(batch):
                     ids = part.column(0).to_pylist()
                     least.extend(ids[:1] if not least else [])
                     yield from zip(ids, (x + end for x in codec.encode_all(part.column(1).to_pylist())), strict=True)
