@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, line_dedup, minhash, mixing, quality, token_files, warc
+from . import ann, bpe, langid, line_dedup, minhash, mixing, quality, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(_table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op3_token_files": op3_token_files,
     "op4_language_id": op4_language_id,
     "op5_mix_sources": op5_mix_sources,
+    "op6_nearest_vectors": op6_nearest_vectors,
     "op7_line_spread": op7_line_spread,
     "op8_warc_archive": op8_warc_archive,
     "op9_quality_outliers": op9_quality_outliers,
