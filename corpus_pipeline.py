@@ -1,15 +1,63 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality rules, line dedup, near-duplicate classes, a mix of sources, token ids.
+
+Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame over all rows of
+docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.llm import bpe, line_dedup, minhash, mixing, quality
+from siltstone.llm.queries import vocabulary
+from siltstone.llm.store import small_or_not, written
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or their cell's estimate reject go."""
+    return quality.filter_quality(docs)
+
+
+def clear_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines on ten distinct sources or more go; every document stays, with n_chars of what is left."""
+    cleared = line_dedup.remove_boilerplate(docs)
+    return cleared.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class stays, that of smallest id: five-word shingles, a similarity of 0.8 or more."""
+    found = minhash.near_duplicates(docs, minhash.Plan(width=5, percent=80))
+    gone = small_or_not(written(found.where(~F.col("kept")).select("doc_id").distinct(), "gone"))
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, from not at all to twice."""
+    copies = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies"))
+    copies = small_or_not(written(copies, "copies"))
+    return docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
+    return bpe.digests(docs, vocabulary())
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", clear_lines),
+    ("near duplicates", near_duplicates),
+    ("mix of sources", mix_sources),
+    ("token ids", encode),
+]
 
-STAGES = []
+#: No SQL has the estimates of the first stage, near duplicates or the merges of the last one.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
