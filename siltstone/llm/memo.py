@@ -27,3 +27,9 @@ class Memo(dict):
             self.old = dict(self)
             self.clear()
         self[key] = value
+
+    def put_all(self, keys: list, values: list) -> None:
+        if len(self) + len(keys) > self.most:
+            self.old = dict(self)
+            self.clear()
+        self.update(zip(keys, values, strict=True))

@@ -66,8 +66,7 @@ class LibraryEncoder:
                 found += [raw[i:j] for i, j in zip(bounds, bounds[1:], strict=False)]
             else:
                 found += [x.tobytes() for x in self.whole([" " + w for w in some])]
-        for word, ids in zip(words, found, strict=True):
-            self.memo.put(word, ids)
+        self.memo.put_all(words, found)
         return found
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
@@ -107,7 +106,10 @@ class LibraryEncoder:
         flat, first = np.frombuffer(b"".join(packed), self.kind), np.cumsum(sizes) - sizes
         of = sizes[index]
         ends = np.cumsum(of)
-        tokens = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[index] - ends + of, of)]
+        small = np.int32 if len(ends) and ends[-1] < 1 << 31 else np.int64
+        places = np.repeat((first[index] - ends + of).astype(small), of)
+        places += np.arange(len(places), dtype=small)
+        tokens = flat[places]
         bounds = np.concatenate([[0], ends])[offsets].tolist()
         out = [tokens[i:j].tobytes() for i, j in zip(bounds, bounds[1:], strict=False)]
         odd = np.zeros(len(index), bool)
