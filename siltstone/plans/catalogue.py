@@ -166,7 +166,7 @@ ORACLE_SQL: dict[str, str] = {
     "when regexp_full_match(mi, '\\d+') and regexp_full_match(h, '\\*/\\d+') and dom || mon || dow = '***' then 'every ' || substr(h, 3) || ' hours at :' || lpad(mi, 2, '0') "
     "when not regexp_full_match(mi || h, '\\d+') then expr when dom || mon || dow = '***' then 'daily at ' || clock "
     "when dom || mon = '**' and regexp_full_match(dow, '\\d+') then 'weekly on ' || (['Sunday', 'Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday'])[try_cast(dow as int) % 7 + 1] || ' at ' || clock "
-    "when dom || mon = '**' and dow = '1-5' then 'weekdays at ' || at when regexp_full_match(dom, '\\d+') and mon || dow = '**' then 'monthly on day ' || dom || ' at ' || clock else expr end as reading from p",
+    "when dom || mon = '**' and dow = '1-5' then 'weekdays at ' || clock when regexp_full_match(dom, '\\d+') and mon || dow = '**' then 'monthly on day ' || dom || ' at ' || clock else expr end as reading from p",
     "conversion_status": f"select total, todos, case when total = 0 then 'manual' when todos = 0 then 'converted' when todos * 2 >= total then 'manual' else 'partial' end as status from (values {BODIES}) t(total, todos)",
     "crawl_frontier": f"with recursive e as (select * from (values {EDGES}) t(src, dst)), r as (select '/' as node, 0 as depth union select dst, depth + 1 from r join e on src = node where depth < 3) "
     "select node, min(depth) as depth from r group by node",
