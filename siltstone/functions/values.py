@@ -18,6 +18,26 @@ def luminance(hex_: Column) -> Column:
     return 0.2126 * _channel(hex_, 0) + 0.7152 * _channel(hex_, 1) + 0.0722 * _channel(hex_, 2)
 
 
+def _rgb(hex_: Column) -> list[Column]:
+    return [F.conv(F.substring(hex_, 2 + 2 * k, 2), 16, 10).cast("double") / 255 for k in range(3)]
+
+
+def saturation(hex_: Column) -> Column:
+    """0 to 1, of a colour #rrggbb."""
+    most, least = F.greatest(*_rgb(hex_)), F.least(*_rgb(hex_))
+    return F.when(most == 0, 0.0).otherwise((most - least) / F.when(most != 0, most))
+
+
+def hue(hex_: Column) -> Column:
+    """Degrees, 0 to 360, halves up; 0 for greys."""
+    r, g, b = _rgb(hex_)
+    most, span = F.greatest(r, g, b), F.greatest(r, g, b) - F.least(r, g, b)
+    d = F.when(span != 0, span)
+    sixth = F.when(most == r, ((g - b) / d) % 6).when(most == g, (b - r) / d + 2).otherwise((r - g) / d + 4)
+    degrees = F.floor(F.coalesce(sixth, F.lit(0.0)) * 60 + 0.5).cast("int")
+    return F.when(degrees < 0, degrees + 360).otherwise(degrees)
+
+
 def contrast_ratio(fg: Column, bg: Column) -> Column:
     """1 to 21, two decimals, halves up."""
     a, b = luminance(fg), luminance(bg)

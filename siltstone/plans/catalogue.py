@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import html, text, values
 from ..operators import graph, robots, rules, runs
 from ..sources.tables import table
+from . import measured
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -101,7 +102,7 @@ QUERIES: dict[str, Query] = {
     "conversion_status": conversion_status,
     "crawl_frontier": crawl_frontier,
     "robots_access": robots_access,
-}
+} | measured.QUERIES
 
 
 def _count(column: str, pattern: str) -> str:
@@ -172,4 +173,4 @@ ORACLE_SQL: dict[str, str] = {
     "select node, min(depth) as depth from r group by node",
     "robots_access": "select * from (values ('s', 'GPTBot', '/', false, 'exact'), ('s', 'Other', '/private/x', false, 'star'), ('s', 'Other', '/private/open', true, 'star'), "
     "('t', 'Other', '/', true, 'none'), ('s', 'Other', '/file.pdf', false, 'star')) t(site, token, path, allowed, matched_by)",
-}
+} | measured.ORACLE_SQL
