@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import urls
+from .text import PLACEHOLDERS
+
 #: Fixed patterns; both Java's and RE2's syntax, and free of quotes.
 HIDDEN = r"(?is)<script.*?</script>|<style.*?</style>|<noscript.*?</noscript>"
 TAG = r"<[^>]+>"
@@ -15,12 +18,15 @@ LANG = r"(?is)<html[^>]*\slang=.?([A-Za-z-]+)"
 HREF = r"(?is)<a\s[^>]*?href=.([^<>\s\x22\x27]*)"
 HOST = r"^[A-Za-z]+://([^/?#:]+)"
 PATH = r"^[A-Za-z]+://[^/?#]+([^?#]*)"
+CANONICAL = r"(?is)<link[^>]+rel=.?canonical[^>]*href=.([^<>\s\x22\x27]*)"
+DESCRIPTION = r"(?is)<meta[^>]+name=.?description[^>]*content=\x22([^\x22]*)"
 COUNTS = {
     "n_h1": r"(?is)<h1[\s>]",
     "n_images": r"(?is)<img[\s>]",
     "n_alts": r"(?is)<img\s[^>]*alt=",
     "n_hash_routes": r"(?is)href=.#/",
     "n_json_ld": r"(?is)<script[^>]+application/ld.json",
+    "n_http_resources": r"(?is)<(?:img|script|iframe|audio|video|source)\s[^>]*src=.http://",
 }
 FLAGS = {
     "has_description": r"(?is)<meta[^>]+name=.?description",
@@ -28,13 +34,23 @@ FLAGS = {
     "has_viewport": r"(?is)<meta[^>]+name=.?viewport",
     "has_og": r"(?is)<meta[^>]+property=.?og:title",
     "has_icon": r"(?is)<link[^>]+rel=.?(?:shortcut )?icon",
+    "noindex": r"(?is)<meta[^>]+name=.?robots[^>]+noindex",
+    "nosnippet": r"(?is)<meta[^>]+name=.?robots[^>]+(?:nosnippet|max-snippet:\s*0)",
+    "builder_signs": r"(?i)lovable-badge|Edit with Lovable|lovable\.dev/projects|cdn\.gpteng\.co|gptengineer\.js|Made (?:in|with) Bolt|bolt\.new|v0\.dev/chat|Built with v0|href=./vite\.svg|You need to enable JavaScript to run this app\.",
 }
 
 
+#: Any placeholder label's pattern.
+PLACEHOLDER = "|".join(f"(?:{p})" for p in PLACEHOLDERS.values())
+
+
+def visible_text(html: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, " "), TAG, " "), ENTITY, " ")
+
+
 def words_in_html(html: Column) -> Column:
     """Tokens with an ASCII letter or digit in the visible text."""
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, " "), TAG, " "), ENTITY, " ")
-    return F.regexp_count(text, F.lit(TOKEN)).cast("long")
+    return F.regexp_count(visible_text(html), F.lit(TOKEN)).cast("long")
 
 
 def host_of(url: Column) -> Column:
@@ -47,7 +63,7 @@ def path_of(url: Column) -> Column:
 
 
 def page_view(pages: DataFrame) -> DataFrame:
-    """page_id, host, path, title, lang, words and COUNTS and FLAGS of each page. One scan, no shuffle."""
+    """page_id, host, path, title, lang, description, canonical (and its host), words, marks of the URL, COUNTS and FLAGS of each page. One scan, no shuffle."""
     html = F.coalesce("html", F.lit(""))
     return pages.select(
         "page_id",
@@ -55,7 +71,14 @@ def page_view(pages: DataFrame) -> DataFrame:
         path_of(F.col("url")).alias("path"),
         F.trim(F.regexp_extract(html, TITLE, 1)).alias("title"),
         F.lower(F.regexp_extract(html, LANG, 1)).alias("lang"),
+        F.trim(F.regexp_extract(html, DESCRIPTION, 1)).alias("description"),
+        F.regexp_extract(html, CANONICAL, 1).alias("canonical"),
+        host_of(F.regexp_extract(html, CANONICAL, 1)).alias("canonical_host"),
         words_in_html(html).alias("words"),
+        F.coalesce(F.startswith(F.lower("url"), F.lit("https:")), F.lit(False)).alias("https"),
+        F.coalesce(urls.staging(F.col("url")), F.lit(False)).alias("staging"),
+        F.coalesce(urls.private_path(path_of(F.col("url"))), F.lit(False)).alias("private"),
+        visible_text(html).rlike(PLACEHOLDER).alias("placeholders"),
         *(F.regexp_count(html, F.lit(p)).cast("long").alias(c) for c, p in COUNTS.items()),
         *(html.rlike(p).alias(c) for c, p in FLAGS.items()),
     )

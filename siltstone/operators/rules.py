@@ -6,44 +6,65 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.html import page_view
+from .checks import findings
 
 # Severity weights; ids, areas, severities and predicates (SQL over page_view's columns) of the rules.
 WEIGHTS = {"critical": 40, "high": 18, "medium": 8, "low": 3, "info": 0}
 RULES = [
-    ("seo.missing-title", "search", "high", "title = ''"),
-    ("seo.long-title", "search", "low", "length(title) > 65"),
-    ("seo.missing-description", "search", "medium", "not has_description"),
-    ("seo.missing-canonical", "search", "low", "not has_canonical"),
-    ("seo.missing-h1", "search", "medium", "n_h1 = 0"),
-    ("seo.multiple-h1", "search", "low", "n_h1 > 1"),
-    ("seo.missing-lang", "search", "low", "lang = ''"),
-    ("seo.missing-viewport", "search", "medium", "not has_viewport"),
-    ("seo.hash-routes", "search", "high", "n_hash_routes > 0"),
-    ("seo.missing-open-graph", "search", "low", "not has_og"),
-    ("seo.images-missing-alt", "search", "low", "n_images > n_alts"),
-    ("ai.no-structured-data", "ai-visibility", "medium", "n_json_ld = 0"),
-    ("ai.content-needs-javascript", "ai-visibility", "high", "words < 50"),
-    ("build.no-favicon", "build", "low", "not has_icon"),
+    ("seo.missing-title", "search", "'high'", "title = ''"),
+    ("seo.long-title", "search", "'low'", "length(title) > 65"),
+    ("seo.missing-description", "search", "'medium'", "not has_description"),
+    ("seo.missing-canonical", "search", "'low'", "not has_canonical"),
+    ("seo.missing-h1", "search", "'medium'", "n_h1 = 0"),
+    ("seo.multiple-h1", "search", "'low'", "n_h1 > 1"),
+    ("seo.missing-lang", "search", "'low'", "lang = ''"),
+    ("seo.missing-viewport", "search", "'medium'", "not has_viewport"),
+    ("seo.hash-routes", "search", "'high'", "n_hash_routes > 0"),
+    ("seo.missing-open-graph", "search", "'low'", "not has_og"),
+    ("seo.images-missing-alt", "search", "'low'", "n_images > n_alts"),
+    ("ai.no-structured-data", "ai-visibility", "'medium'", "n_json_ld = 0"),
+    ("ai.content-needs-javascript", "ai-visibility", "'high'", "words < 50"),
+    ("build.no-favicon", "build", "'low'", "not has_icon"),
     (
-        "build.scaffold-title", "build", "high",
+        "build.scaffold-title", "build", "'high'",
         "lower(title) in ('vite + react', 'vite + react + ts', 'vite app', 'react app', 'create next app', 'lovable app', "
         "'lovable generated project', 'my v0 project', 'v0 app', 'bolt', 'my google ai studio app', 'replit', 'document', 'untitled')",
     ),
+    ("ai.nosnippet", "ai-visibility", "'high'", "nosnippet"),
+    ("seo.noindex", "search", "case when path = '/' then 'critical' else 'high' end", "noindex and not private"),
+    ("seo.canonical-to-home", "search", "'high'", "path <> '/' and canonical_host = host and canonical like '%://' || host || '/'"),
+    ("seo.canonical-other-host", "search", "case when staging then 'info' else 'high' end", "canonical_host <> '' and canonical_host <> host"),
+    ("build.placeholder-content", "build", "'medium'", "placeholders"),
+    ("build.builder-fingerprints", "build", "'low'", "builder_signs"),
+    ("build.mixed-content", "build", "'medium'", "https and n_http_resources > 0"),
 ]
 AREAS = sorted({area for _, area, _, _ in RULES})
 
 
 def page_findings(pages: DataFrame) -> DataFrame:
     """page_id, host, rule, area, severity: a row for each rule that a page breaks. Narrow: no join, no shuffle."""
-    hits = F.array(*(F.when(F.expr(p), F.struct(F.lit(i).alias("rule"), F.lit(a).alias("area"), F.lit(s).alias("severity"))) for i, a, s, p in RULES))
-    return page_view(pages).select("page_id", "host", F.inline(F.array_compact(hits)))
+    return findings(page_view(pages), ["page_id", "host"], RULES)
 
 
-def severity_counts(findings: DataFrame) -> DataFrame:
+def shared_values(pages: DataFrame) -> DataFrame:
+    """host, rule, value, n_pages: titles and descriptions on several pages of a host."""
+    kinds = F.array(*(F.struct(F.lit(f"seo.duplicate-{c}s").alias("rule"), F.col(c).alias("value")) for c in ("title", "description")))
+    values = page_view(pages).select("host", F.inline(kinds)).where("value <> ''")
+    return values.groupBy("host", "rule", "value").agg(F.count(F.lit(1)).alias("n_pages")).where("n_pages > 1")
+
+
+def failed_checks(pages: DataFrame) -> DataFrame:
+    """host, rule, area, severity, n_pages of page rules and of shared values; a check fails once a site."""
+    shared = shared_values(pages).groupBy("host", "rule").agg(F.sum("n_pages").alias("n_pages"))
+    shared = shared.select("host", "rule", F.lit("search").alias("area"), F.lit("medium").alias("severity"), "n_pages")
+    return site_findings(page_findings(pages)).unionByName(shared)
+
+
+def severity_counts(found: DataFrame) -> DataFrame:
     """severity, findings: all severities, also those without findings."""
-    spark = findings.sparkSession
+    spark = found.sparkSession
     all_ = spark.createDataFrame([(s,) for s in WEIGHTS], "severity string")
-    counted = findings.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+    counted = found.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
     return all_.join(counted, "severity", "left").select("severity", F.coalesce("n", F.lit(0)).cast("long").alias("findings"))
 
 
@@ -51,25 +72,26 @@ def weight(severity: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in WEIGHTS.items() for x in kv)), severity)
 
 
-def site_findings(findings: DataFrame) -> DataFrame:
-    """host, rule, area, severity, n_pages: a check fails once a site, on so many pages."""
-    return findings.groupBy("host", "rule", "area", "severity").agg(F.count(F.lit(1)).alias("n_pages"))
+def site_findings(found: DataFrame) -> DataFrame:
+    """host, rule, area, severity, n_pages: a check fails once a site, on so many pages, with its heaviest severity."""
+    heaviest = F.max_by("severity", weight(F.col("severity"))).alias("severity")
+    return found.groupBy("host", "rule", "area").agg(heaviest, F.count(F.lit(1)).alias("n_pages"))
 
 
-def area_scores(pages: DataFrame, findings: DataFrame) -> DataFrame:
+def area_scores(pages: DataFrame, failed: DataFrame) -> DataFrame:
     """host, area, score, grade: 100 less the weights of failed checks, 0 at least; areas without findings have 100."""
     hosts = page_view(pages).select("host").distinct().select("host", F.explode(F.array(*map(F.lit, AREAS))).alias("area"))
-    lost = site_findings(findings).groupBy("host", "area").agg(F.sum(weight(F.col("severity"))).alias("lost"))
+    lost = failed.groupBy("host", "area").agg(F.sum(weight(F.col("severity"))).alias("lost"))
     score = F.greatest(F.lit(0), 100 - F.coalesce("lost", F.lit(0))).cast("long")
     scored = hosts.join(lost, ["host", "area"], "left").select("host", "area", score.alias("score"))
     grade = F.when(F.col("score") >= 90, "A").when(F.col("score") >= 75, "B").when(F.col("score") >= 60, "C").when(F.col("score") >= 40, "D").otherwise("F")
     return scored.withColumn("grade", grade)
 
 
-def fix_plan(findings: DataFrame) -> DataFrame:
+def fix_plan(failed: DataFrame) -> DataFrame:
     """host, position, rule, n_pages: each site's failed checks, heaviest first, then by pages and name."""
     order = Window.partitionBy("host").orderBy(weight(F.col("severity")).desc(), F.desc("n_pages"), "rule")
-    return site_findings(findings).select("host", F.row_number().over(order).cast("long").alias("position"), "rule", "n_pages")
+    return failed.select("host", F.row_number().over(order).cast("long").alias("position"), "rule", "n_pages")
 
 
 def shared_titles(pages: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import html, text, values
-from ..operators import graph, robots, rules, runs
+from ..functions import html, text, urls, values
+from ..operators import checks, graph, robots, rules, runs
 from ..sources.tables import table
 from . import measured
 
@@ -36,7 +36,7 @@ ROBOTS = ["User-agent: GPTBot", "Disallow: /", "", "User-agent: *  # all others"
 
 def area_scores(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
-    return rules.area_scores(pages, rules.page_findings(pages))
+    return rules.area_scores(pages, rules.failed_checks(pages))
 
 
 def placeholder_hits(docs: DataFrame) -> DataFrame:
@@ -83,10 +83,11 @@ def robots_access(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "page_view": _of("pages", html.page_view),
     "page_rules": _of("pages", rules.page_findings),
-    "site_findings": _of("pages", lambda pages: rules.site_findings(rules.page_findings(pages))),
+    "site_findings": _of("pages", rules.failed_checks),
     "findings_by_severity": _of("pages", lambda pages: rules.severity_counts(rules.page_findings(pages))),
     "area_scores": area_scores,
-    "fix_plan": _of("pages", lambda pages: rules.fix_plan(rules.page_findings(pages))),
+    "fix_plan": _of("pages", lambda pages: rules.fix_plan(rules.failed_checks(pages))),
+    "shared_values": _of("pages", rules.shared_values),
     "duplicate_titles": _of("pages", rules.shared_titles),
     "page_links": _of("pages", html.links),
     "broken_links": _of("pages", graph.broken_links),
@@ -113,17 +114,23 @@ _BODY = "coalesce(html, '')"
 _VISIBLE = f"regexp_replace(regexp_replace(regexp_replace({_BODY}, '{html.HIDDEN}', ' ', 'g'), '{html.TAG}', ' ', 'g'), '{html.ENTITY}', ' ', 'g')"
 _HOST = f"lower(regexp_extract(url, '{html.HOST}', 1))"
 _PATH = f"case when regexp_extract(url, '{html.PATH}', 1) = '' then '/' else regexp_extract(url, '{html.PATH}', 1) end"
+_CANONICAL = f"regexp_extract({_BODY}, '{html.CANONICAL}', 1)"
+_SERVER = f"regexp_replace(regexp_extract(url, '{urls.HOST_PORT}', 1), ':\\d+$', '')"
 _VIEW = (
     f"select page_id, {_HOST} as host, {_PATH} as path, trim(regexp_extract({_BODY}, '{html.TITLE}', 1)) as title, lower(regexp_extract({_BODY}, '{html.LANG}', 1)) as lang, "
-    + f"{_count(_VISIBLE, html.TOKEN)} as words, "
+    + f"trim(regexp_extract({_BODY}, '{html.DESCRIPTION}', 1)) as description, {_CANONICAL} as canonical, lower(regexp_extract({_CANONICAL}, '{html.HOST}', 1)) as canonical_host, "
+    + f"{_count(_VISIBLE, html.TOKEN)} as words, coalesce(starts_with(lower(url), 'https:'), false) as https, "
+    + "coalesce(" + " or ".join(f"regexp_matches({_SERVER}, '{p}')" for p in (urls.LOCAL, urls.STAGE, urls.PREVIEW)) + ", false) as staging, "
+    + f"coalesce(regexp_matches({_PATH}, '{urls.PRIVATE}'), false) as private, regexp_matches({_VISIBLE}, '{html.PLACEHOLDER}') as placeholders, "
     + ", ".join(f"{_count(_BODY, p)} as {c}" for c, p in html.COUNTS.items())
     + ", "
     + ", ".join(f"regexp_matches({_BODY}, '{p}') as {c}" for c, p in html.FLAGS.items())
     + " from pages"
 )
-_FINDINGS = " union all ".join(f"select page_id, host, '{i}' as rule, '{a}' as area, '{s}' as severity from page_view where {p}" for i, a, s, p in rules.RULES)
+_FINDINGS = checks.findings_sql("page_view", ["page_id", "host"], rules.RULES)
+_SHARED = " union all ".join(f"select host, 'seo.duplicate-{c}s' as rule, {c} as value, count(*) as n_pages from page_view where {c} <> '' group by all having count(*) > 1" for c in ("title", "description"))
 _WEIGHT = "case severity " + " ".join(f"when '{s}' then {w}" for s, w in rules.WEIGHTS.items()) + " end"
-_WITH = f"with page_view as ({_VIEW}), findings as ({_FINDINGS}), site as (select host, rule, area, severity, count(*) as n_pages from findings group by all) "
+_WITH = f"with page_view as ({_VIEW}), findings as ({_FINDINGS}), site as (select host, rule, area, arg_max(severity, {_WEIGHT}) as severity, count(*) as n_pages from findings group by 1, 2, 3 union all select host, rule, 'search', 'medium', sum(n_pages)::bigint from ({_SHARED}) group by host, rule) "
 _LINKS = f"select * from (select page_id, {_HOST} as host, unnest(regexp_extract_all(html, '{html.HREF}', 1)) as href from pages) where href <> '' and not starts_with(href, '#')"
 _AREAS = ", ".join(f"('{a}')" for a in rules.AREAS)
 _SECRETS = " union all ".join(
@@ -144,6 +151,7 @@ ORACLE_SQL: dict[str, str] = {
     f"from (select distinct host from page_view) h cross join (values {_AREAS}) a(area) left join lost on lost.host = h.host and lost.area = a.area) "
     "select *, case when score >= 90 then 'A' when score >= 75 then 'B' when score >= 60 then 'C' when score >= 40 then 'D' else 'F' end as grade from scored",
     "fix_plan": _WITH + f"select host, row_number() over (partition by host order by {_WEIGHT} desc, n_pages desc, rule) as position, rule, n_pages from site",
+    "shared_values": _WITH + _SHARED,
     "duplicate_titles": _WITH + "select title, count(*) as n_pages, min(page_id) as first_page from page_view where title <> '' group by title having count(*) > 1",
     "page_links": _LINKS,
     "broken_links": f"with links as ({_LINKS}), wanted as (select host, regexp_extract(href, '^([^?#]*)', 1) as href, count(*) as n_links from links where starts_with(href, '/') group by 1, 2) "
