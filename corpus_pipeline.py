@@ -33,10 +33,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, from not at all to twice."""
-    copies = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies"))
-    copies = small_or_not(written(copies, "copies"))
-    return docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """Each document as often as the mix takes it, from not at all to twice. A null id matches null ids."""
+    taken = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("mix_id")).agg(F.max("copies").cast("int").alias("mix_copies"))
+    taken = small_or_not(written(taken, "copies"))
+    copies = F.explode(F.sequence(F.lit(1), taken["mix_copies"])).alias("mix_copy")
+    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["mix_id"])).select(*(docs[c] for c in docs.columns), copies).drop("mix_copy")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

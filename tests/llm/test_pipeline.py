@@ -145,3 +145,20 @@ def test_stages(spark, folder):
         assert name == "token ids" or docs.columns == columns
         assert got
     same([r.asDict() for r in corpus_pipeline.run(spark, folder).collect()], got)
+
+
+def test_odd_and_empty_documents(spark, tmp_path):
+    """Null ids, texts, languages and sources, repeated rows, blank texts and columns named as inner ones pass every stage."""
+    body = lambda k: " ".join(f"w{k}x{j}" for j in range(80))
+    rows = [(None, body(0), "en", "a"), (1, body(1), None, None), (2, None, None, "a"), (3, "", "en", "b"), (4, " \n ", "en", "b"), (5, body(5), "de", "b"), (6, body(5), "de", "b"), (7, body(7), "en", "a"), (7, body(7), "en", "a")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, copies string, key string, kept string"
+    odd = spark.createDataFrame([(*r, None, "c", "k", None) for r in rows], schema)
+    for name, docs in (("odd", odd), ("none", odd.where("false"))):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        docs = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        for stage, (_, function) in enumerate(corpus_pipeline.STAGES[:-1]):
+            before, docs = docs, written(function(spark, docs, str(tmp_path / name)), "stage")
+            assert docs.columns == before.columns
+            if name == "odd" and stage < 3:
+                assert sorted(str(r.doc_id) for r in docs.collect()) == [["1", "5", "6", "7", "7", "None"], ["1", "5", "6", "7", "7", "None"], ["1", "5", "7", "7", "None"]][stage]
+        assert (corpus_pipeline.run(spark, str(tmp_path / name)).count() > 0) == (name == "odd")
