@@ -56,7 +56,7 @@ def estimate(matches: np.ndarray, hashes: int) -> np.ndarray:
     return (matches / hashes - chance) / (1 - chance)
 
 
-_words = Memo(xxhash.xxh64_intdigest, 300_000)
+_words = Memo(xxhash.xxh64_intdigest, 40_000)
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
