@@ -33,6 +33,9 @@ SECRETS = {
     "Private key": ("critical", r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----"),
     "Google API key": ("info", r"\bAIza[0-9A-Za-z_-]{35}\b"),
 }
+# A JWT of this role counts; other roles (anon) are expected in public.
+JWT = r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"
+SERVICE_ROLE = ("Supabase service_role key", "critical", "service_role")
 
 
 def labels(text: Column, patterns: dict[str, str]) -> Column:
@@ -50,8 +53,16 @@ def redact(value: Column) -> Column:
     return F.concat(F.left(value, F.lit(6)), F.lit("…("), F.length(value).cast("string"), F.lit(" chars)"))
 
 
+def jwt_role(token: Column) -> Column:
+    """The role in a JWT's payload; null where the payload is no JSON object or has none."""
+    payload = F.translate(F.split_part(token, F.lit("."), F.lit(2)), "-_", "+/")
+    # a last character alone in its group of four holds no whole byte, and unbase64 refuses it
+    whole = F.when(F.length(payload) % 4 == 1, F.left(payload, F.length(payload) - 1)).otherwise(payload)
+    return F.try_variant_get(F.try_parse_json(F.make_valid_utf8(F.unbase64(whole).cast("string"))), "$.role", "string")
+
+
 def secrets(text: Column) -> Column:
-    """Structs (kind, severity, value); a value belongs to the first pattern that finds it. Row by row, no shuffle."""
+    """Structs (kind, severity, value); a value belongs to the first pattern that finds it, service_role tokens come last. Row by row, no shuffle."""
 
     def labelled(values: Column, kind: str, severity: str) -> Column:
         return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), v.alias("value")))
@@ -61,4 +72,7 @@ def secrets(text: Column) -> Column:
         values = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
         found.append(labelled(F.array_except(values, seen), kind, severity))
         seen = F.concat(seen, values)
+    kind, severity, role = SERVICE_ROLE
+    tokens = F.array_except(F.array_distinct(F.regexp_extract_all(text, F.lit(JWT), F.lit(0))), seen)
+    found.append(labelled(F.filter(tokens, lambda v: F.coalesce(jwt_role(v) == role, F.lit(False))), kind, severity))
     return F.concat(*found)

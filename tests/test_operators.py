@@ -1,7 +1,11 @@
+import base64
+
+import duckdb
 from pyspark.sql import functions as F
 
 from siltstone.functions import html, text
 from siltstone.operators import graph, robots, rules
+from siltstone.plans import catalogue
 from siltstone.streaming.runs import activity_stream
 
 
@@ -17,6 +21,39 @@ def test_secrets_belong_to_the_first_pattern(spark):
     assert [(x.kind, x.value) for x in found[0].s] == [("Anthropic API key", key), ("AWS access key id", "AKIA" + "A" * 16)]
 
 
+def jwt(payload: bytes) -> str:
+    part = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+    return ".".join([part(b'{"alg":"HS256"}'), part(payload), "s" * 20])
+
+
+def test_service_role_tokens(spark):
+    good = [jwt(b'{"iss":"supabase","role":"service_role"}'), jwt('{"name":"\u00fe\u00ff\u00bf?>~","role":"service_role"}'.encode()), jwt(b'{"x":"\xff\xfe","role":"service_role"}')]
+    head, body, tail = good[0].split(".")
+    good.append(f"{head}.{body}.{tail}x")
+    bad = [jwt(p) for p in (b'{"role":"anon","a":"service_role"}', b'{"iss":"supabase"}', b'{"role":["service_role"]}', b'{"a":{"role":"service_role"}}', b'{"role":"service_role"')]
+    bad += [f"{head}.{body[:-9]}.{tail}", f"{head}.eyJ{'A' * 14}.{tail}", f"{head}.{tail}"]
+    assert len(f"eyJ{'A' * 14}") % 4 == 1
+    rows = [(k, f"a {t} b {t}") for k, t in enumerate(good + bad)] + [(99, None), (100, f"AKIA{'A' * 16} {good[0]}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, catalogue.secret_hits(docs).collect()))
+    kind = "Supabase service_role key"
+    want = [(k, kind, "critical", f"eyJhbG…({len(t)} chars)") for k, t in enumerate(good)] + [(100, kind, "critical", f"eyJhbG…({len(good[0])} chars)"), (100, "AWS access key id", "critical", "AKIAAA…(20 chars)")]
+    assert got == sorted(want)
+
+    # the same tokens by SQL of its own: DuckDB decodes and reads the JSON
+    duck = duckdb.connect()
+    duck.execute("create table documents (doc_id bigint, text varchar)")
+    duck.executemany("insert into documents values (?, ?)", rows)
+    found = duck.sql("""
+        with t as (select distinct doc_id, unnest(regexp_extract_all(text, '\\beyJ[\\w-]{10,}[.]eyJ[\\w-]{10,}[.][\\w-]{10,}')) as v from documents),
+        p as (select *, translate(split_part(v, '.', 2), '-_', '+/') as b from t),
+        j as (select *, try(decode(from_base64(rpad(b, ((length(b) + 3) // 4 * 4)::int, '=')))) as j from p)
+        select doc_id, left(v, 6) || '…(' || length(v) || ' chars)' from j where json_valid(j) and json_extract_string(j, '$.role') = 'service_role'
+    """).fetchall()
+    # row 2's payload is not all UTF-8, which DuckDB's decode() refuses and the reference replaces
+    assert sorted(found) == [(k, preview) for k, what, _, preview in got if what == kind and k != 2]
+
+
 def test_page_rules_on_null_and_empty(spark):
     pages = spark.createDataFrame([(1, "http://a.b/", None), (2, None, "<title>x</title>")], "page_id long, url string, html string")
     assert rules.page_findings(pages).where("page_id = 1 and rule = 'seo.missing-title'").count() == 1
