@@ -13,6 +13,7 @@ STAGE = r"(?i)(?:^|\.)(?:staging|preview|dev|test)\."
 PREVIEW = r"(?i)\.(?:vercel\.app|netlify\.app|pages\.dev|lovable\.app|lovableproject\.com|bolt\.host|replit\.app|github\.io|web\.app|onrender\.com)$"
 ORIGIN = r"^(?i:https?)://[^/?#]+"
 HOST_PORT = r"^[A-Za-z]+://([^/?#]+)"
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 PATH = r"^[A-Za-z]+://[^/?#]+([^?#]*)"
 
 
@@ -24,6 +25,24 @@ def normalised(url: Column) -> Column:
     return F.when(origin != "", F.concat(origin, F.when(path == "", "/").otherwise(path), F.regexp_extract(bare, r"\?.*$", 0)))
 
 
+def resolved(href: Column, base: Column) -> Column:
+    """The absolute address of a link on a page at `base`, dot segments folded."""
+    bare = F.regexp_replace(base, r"[?#].*$", "")
+    root, path = F.regexp_extract(base, ORIGIN, 0), F.regexp_extract(bare, PATH, 1)
+    whole = (
+        F.when(href.rlike(SCHEME), href)
+        .when(F.startswith(href, F.lit("//")), F.concat(F.regexp_extract(base, r"^[A-Za-z]+:", 0), href))
+        .when(F.startswith(href, F.lit("/")), F.concat(root, href))
+        .when(F.startswith(href, F.lit("?")), F.concat(bare, href))
+        .when(F.startswith(href, F.lit("#")), F.concat(F.regexp_replace(base, r"#.*$", ""), href))
+        .otherwise(F.concat(root, F.regexp_replace(path, r"[^/]*$", ""), F.when(path == "", "/").otherwise(""), href))
+    )
+    parts = F.split(F.regexp_extract(whole, PATH, 1), "/")
+    step = lambda done, x: F.when(x == "..", F.regexp_replace(done, r"/[^/]*$", "")).when(x == ".", done).otherwise(F.concat(done, F.lit("/"), x))
+    folded = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), F.lit(""), step)
+    return F.when(whole.rlike(ORIGIN), F.concat(F.regexp_extract(whole, ORIGIN, 0), folded, F.regexp_extract(whole, r"[?#].*$", 0))).otherwise(whole)
+
+
 def origin(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, ORIGIN, 0))
 

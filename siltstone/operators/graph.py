@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import host_of, links, path_of
+from ..functions import urls
+from ..functions.html import HREF, host_of, links, path_of
 
 
 def broken_links(pages: DataFrame) -> DataFrame:
@@ -16,6 +19,40 @@ def broken_links(pages: DataFrame) -> DataFrame:
     return wanted.join(have, ["host", "path"], "left_anti").select("host", F.col("path").alias("href"), "n_links")
 
 
+def addresses(pages: DataFrame) -> DataFrame:
+    """page_id, page, href, url: each page's own URL and its links, as written (href) and absolute (url)."""
+    hrefs = pages.select("page_id", F.col("url").alias("page"), F.explode(F.regexp_extract_all("html", F.lit(HREF), 1)).alias("href")).where("href <> '' and not startswith(href, '#')")
+    own = pages.select("page_id", F.col("url").alias("page"), F.col("url").alias("href"), F.col("url").alias("url"))
+    return own.unionByName(hrefs.select("page_id", "page", "href", urls.resolved(F.col("href"), F.col("page")).alias("url")))
+
+
+def page_reach(pages: DataFrame) -> DataFrame:
+    """origin, node, depth: what a crawl from each origin's root reaches by links that it would follow, until no link is new.
+
+    One join and one written frontier a level; the levels end when a frontier is empty.
+    """
+    src, dst = urls.normalised(F.col("page")), urls.normalised(F.col("url"))
+    edges = addresses(pages).where(urls.crawlable(F.col("url"), urls.origin(F.col("page")))).select(src.alias("src"), dst.alias("dst")).distinct()
+    starts = pages.select(urls.origin(F.col("url")).alias("origin")).where("origin <> ''").distinct()
+    seen = starts.select("origin", F.concat("origin", F.lit("/")).alias("node"), F.lit(0).alias("depth"))
+    edges, seen = _kept(edges), _kept(seen)
+    frontier, level = seen, 0
+    while not frontier.isEmpty():
+        level += 1
+        step = edges.join(frontier, edges["src"] == frontier["node"]).select("origin", F.col("dst").alias("node")).distinct()
+        frontier = _kept(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(level)))
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """`df` in the checkpoint folder; a folder of our own where none is set, as in tests."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-"))
+    return df.checkpoint()
+
+
 def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """node, depth: nodes within so many steps of the starts (node), with the least number of steps. One join a level."""
     seen = starts.select("node").distinct().withColumn("depth", F.lit(0))

@@ -26,6 +26,7 @@ POLICIES = {
     "deletion": "data.?deletion|delete.?(?:your.)?account|erase.?my.?data|dsar|subject.?access",
 }
 COMMERCE = r"(?i)\b(?:add to (?:cart|basket)|checkout|buy now|subscribe|start (?:free )?trial|per month|/mo\b|billed annually)\b"
+COMMERCE_HREF = r"(?i)/(?:checkout|cart|pricing|plans|subscribe|billing)\b"
 
 
 def third_party_kind(origin: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html, text, urls, values
-from ..operators import checks, graph, robots, rules, runs
+from ..operators import checks, graph, readiness, robots, rules, runs
 from ..sources.tables import table
 from . import measured
 
@@ -76,6 +76,23 @@ def crawl_frontier(spark: SparkSession, folder: str) -> DataFrame:
     return graph.reach(_literal(spark, EDGES, "src, dst"), spark.createDataFrame([("/",)], "node string"), 3)
 
 
+def page_urls(pages: DataFrame) -> DataFrame:
+    """page_id, href and readings of each page's own URL and of its links; crawlable from the page's origin."""
+    url, of = F.col("url"), urls.origin(F.col("page"))
+    return graph.addresses(pages).select(
+        "page_id", "href", urls.normalised(url).alias("normalised"), urls.origin(url).alias("origin"), (urls.crawlable(url, of) & (of != "")).alias("crawlable"),
+        urls.staging(url).alias("staging"), urls.private_path(F.regexp_extract(url, urls.PATH, 1)).alias("private"),
+    )
+
+
+def page_commerce(pages: DataFrame) -> DataFrame:
+    """page_id, commercial: by the visible text or by a link's address."""
+    body = F.coalesce("html", F.lit(""))
+    paid = F.exists(F.regexp_extract_all(body, F.lit(html.HREF), 1), lambda h: h.rlike(readiness.COMMERCE_HREF))
+    words = F.regexp_replace(html.visible_text(body), r"\s+", " ")
+    return pages.select("page_id", (readiness.commercial(words) | paid).alias("commercial"))
+
+
 def robots_access(spark: SparkSession, folder: str) -> DataFrame:
     return robots.access(spark.createDataFrame([("s", "\n".join(ROBOTS))], "site string, text string"), _literal(spark, PROBES, "site, token, path"))
 
@@ -91,6 +108,9 @@ QUERIES: dict[str, Query] = {
     "duplicate_titles": _of("pages", rules.shared_titles),
     "page_links": _of("pages", html.links),
     "broken_links": _of("pages", graph.broken_links),
+    "page_reach": _of("pages", graph.page_reach),
+    "page_urls": _of("pages", page_urls),
+    "page_commerce": _of("pages", page_commerce),
     "placeholder_hits": _of("documents", placeholder_hits),
     "buzzword_hits": _of("documents", buzzword_hits),
     "secret_hits": _of("documents", secret_hits),
@@ -136,6 +156,20 @@ _AREAS = ", ".join(f"('{a}')" for a in rules.AREAS)
 _SECRETS = " union all ".join(
     f"select doc_id, {k} as k, '{kind}' as kind, '{severity}' as severity, unnest(regexp_extract_all(text, '{p}')) as value from documents" for k, (kind, (severity, p)) in enumerate(text.SECRETS.items())
 )
+_ORIGIN = lambda u: f"lower(regexp_extract({u}, '{urls.ORIGIN}', 0))"
+_WHOLE = (
+    f"case when regexp_matches(href, '{urls.SCHEME}') then href when starts_with(href, '//') then regexp_extract(page, '^[A-Za-z]+:', 0) || href when starts_with(href, '/') then regexp_extract(page, '{urls.ORIGIN}', 0) || href "
+    f"when starts_with(href, '?') then regexp_replace(page, '[?#].*$', '') || href else regexp_extract(page, '{urls.ORIGIN}', 0) || coalesce(nullif(regexp_replace(regexp_extract(page, '{urls.PATH}', 1), '[^/]*$', ''), ''), '/') || href end"
+)
+_ADDRESSES = (
+    f"select page_id, url as page, url as href, url from pages union all select page_id, page, href, case when regexp_matches(w, '{urls.ORIGIN}') then regexp_extract(w, '{urls.ORIGIN}', 0) || "
+    f"list_reduce(list_prepend('', string_split(regexp_extract(w, '{urls.PATH}', 1), '/')[2:]), lambda a, x: case x when '..' then regexp_replace(a, '/[^/]*$', '') when '.' then a else a || '/' || x end) || regexp_extract(w, '[?#].*$', 0) else w end "
+    f"from (select *, {_WHOLE} as w from (select page_id, url as page, unnest(regexp_extract_all(html, '{html.HREF}', 1)) as href from pages) where href <> '' and not starts_with(href, '#'))"
+)
+_NORMAL = lambda u: (
+    f"case when {_ORIGIN(u)} <> '' then {_ORIGIN(u)} || coalesce(nullif(regexp_replace(regexp_extract({u}, '{urls.PATH}', 1), '([^/])/$', '\\1'), ''), '/') || regexp_extract(regexp_replace({u}, '#.*$', ''), '[?].*$', 0) end"
+)
+_CRAWLED = f"{_ORIGIN('url')} = {_ORIGIN('page')} and not regexp_matches(regexp_extract(url, '{urls.PATH}', 1), '{urls.ASSET}')"
 _LUMINANCE = lambda c: " + ".join(
     f"{w} * case when v{k}{c} <= 0.03928 then v{k}{c} / 12.92 else pow((v{k}{c} + 0.055) / 1.055, 2.4) end" for k, w in enumerate((0.2126, 0.7152, 0.0722))
 )
@@ -156,6 +190,13 @@ ORACLE_SQL: dict[str, str] = {
     "page_links": _LINKS,
     "broken_links": f"with links as ({_LINKS}), wanted as (select host, regexp_extract(href, '^([^?#]*)', 1) as href, count(*) as n_links from links where starts_with(href, '/') group by 1, 2) "
     f"select * from wanted w where not exists (select 1 from pages where {_HOST} = w.host and {_PATH} = w.href)",
+    "page_reach": f"with recursive e as (select distinct {_NORMAL('page')} as src, {_NORMAL('url')} as dst from ({_ADDRESSES}) where {_CRAWLED} and {_ORIGIN('page')} <> ''), "
+    f"r(origin, node, depth) using key (node) as (select distinct {_ORIGIN('url')}, {_ORIGIN('url')} || '/', 0 from pages where {_ORIGIN('url')} <> '' "
+    "union select origin, dst, min(depth + 1) from r join e on src = node where not exists (select 1 from recurring.r s where s.node = dst) group by all) select origin, node, depth from r",
+    "page_urls": f"select page_id, href, {_NORMAL('url')} as normalised, {_ORIGIN('url')} as origin, {_CRAWLED} and {_ORIGIN('page')} <> '' as crawlable, "
+    + " or ".join(f"regexp_matches({_SERVER}, '{p}')" for p in (urls.LOCAL, urls.STAGE, urls.PREVIEW))
+    + f" as staging, regexp_matches(regexp_extract(url, '{urls.PATH}', 1), '{urls.PRIVATE}') as private from ({_ADDRESSES})",
+    "page_commerce": f"select page_id, regexp_matches(regexp_replace({_VISIBLE}, '\\s+', ' ', 'g'), '{readiness.COMMERCE}') or len(list_filter(regexp_extract_all({_BODY}, '{html.HREF}', 1), lambda h: regexp_matches(h, '{readiness.COMMERCE_HREF}'))) > 0 as commercial from pages",
     "placeholder_hits": " union all ".join(f"select doc_id, '{label}' as label from documents where regexp_matches(text, '{p}')" for label, p in text.PLACEHOLDERS.items()),
     "buzzword_hits": " union all ".join(f"select doc_id, '{b}' as phrase from documents where contains(lower(text), '{b}')" for b in text.BUZZWORDS),
     "secret_hits": f"with found as ({_SECRETS}), one as (select doc_id, value, arg_min(kind, k) as kind, arg_min(severity, k) as severity from found group by 1, 2) "

@@ -81,3 +81,28 @@ def test_activity_stream(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("activity").outputMode("complete").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(map(tuple, spark.table("activity").collect())) == sorted(map(tuple, activity_stream(events).collect()))
+
+
+def test_pages_are_read_whole(spark):
+    link = lambda *hrefs: "".join(f'<a href="{h}">x</a>' for h in hrefs)
+    rows = [
+        (1, "https://A.org/", link("/b/", "c?q=1#t", "mailto:x@y.z", "/p.png", "//a.org/d/../e", "http://a.org/no", "https://o.org/no", "#f")),
+        (2, "https://a.org/b", link("./f/./g", "../h", "?page=2", "/")),
+        *((10 + k, f"https://a.org/n{k}", link(f"n{k + 1}")) for k in range(5)),
+        (3, "https://a.org/b?page=2", link("n0")),
+        (4, "https://a.org/alone", link("/cart/x") + "<p>text</p>"),
+        (5, "http://localhost:3000/login#x", "<p>Buy <b>now</b></p>"),
+        (6, None, None),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {"page_reach": graph.page_reach(pages), "page_urls": catalogue.page_urls(pages), "page_commerce": catalogue.page_commerce(pages)}
+    reached = {r.node.removeprefix("https://a.org"): r.depth for r in got["page_reach"].collect() if r.origin == "https://a.org"}
+    assert reached == {"/": 0, "/b": 1, "/c?q=1": 1, "/e": 1, "/f/g": 2, "/h": 2, "/b?page=2": 2} | {f"/n{k}": 3 + k for k in range(6)}
+    assert {r.page_id for r in got["page_commerce"].collect() if r.commercial} == {4, 5}
+    duck = duckdb.connect()
+    duck.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    duck.executemany("insert into pages values (?, ?, ?)", rows)
+    for name, frame in got.items():
+        want = duck.sql(catalogue.ORACLE_SQL[name])
+        assert sorted(frame.columns) == sorted(want.columns)
+        assert sorted(map(repr, frame.select(*want.columns).collect())) == sorted(map(repr, frame.sparkSession.createDataFrame(want.fetchall(), frame.select(*want.columns).schema).collect()))
