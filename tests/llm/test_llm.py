@@ -141,6 +141,20 @@ def test_base_counts(spark):
         assert not (got.base_failed and got.kept)
 
 
+def test_mix_with_unequal_importance(spark):
+    """Over seeds, documents of equal size are taken as often as their importance says, and each draw fills the target."""
+    rows = [(k, "a b", "s", 1.0 + k % 3) for k in range(60)]
+    docs, seeds, taken = spark.createDataFrame(rows, "doc_id long, text string, source string, weight double").coalesce(1), 12, defaultdict(int)
+    for seed in range(seeds):
+        drawn = mixing.mix(docs, share=0.4, seed=seed, importance=F.col("weight")).collect()
+        assert abs(sum(r.taken for r in drawn) - 48) <= 1
+        for r in drawn:
+            taken[r.doc_id % 3] += r.copies
+    # 24 of 60 documents are expected: 4, 8 and 12 of the 20 of each importance
+    for k, want in enumerate((4, 8, 12)):
+        assert abs(taken[k] / seeds - want) < 1.6, taken
+
+
 OPERATORS = {
     "substring": lambda spark, docs: substring_dedup.dedup(docs),
     "bpe": lambda spark, docs: bpe.digests(docs, queries.vocabulary()),
