@@ -7,16 +7,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .memo import released
 from .store import small_or_not, written
 
-#: Rows that the codebooks are fitted on, at most about; dimensions of a subspace; centres of a subspace (four bits).
+#: Rows that the codebooks are fitted on, about; dimensions of a subspace; centres of a subspace (four bits).
 SAMPLE, WIDTH, CENTRES = 20_000, 2, 16
-#: Rows of a shard of codes, and queries of a block; one task scans one against the other.
+#: Rows of a shard of codes, and queries of a block; one is scanned against the other.
 SHARD, QUERIES = 16_384, 256
-#: Shards whose best candidates meet in one step of the merge.
+#: Queries of a wave, and bytes of its vectors, about: what the driver and each worker hold of the queries at once.
+WAVE, WAVE_BYTES = 16_384, 32 << 20
+#: Partitions whose best candidates meet in one step of the merge.
 FAN = 64
 
 
@@ -43,18 +46,24 @@ def assign(x: np.ndarray, books: Codebooks, rounds: int = 3) -> np.ndarray:
     turn, given the others, from the nearest centres on.
     """
     n, m, w = len(x), len(books.centres), books.weight - 1
-    parts = x.reshape(n, m, -1)
-    off = parts[:, :, None, :] - books.centres[None]
-    square = (off**2).sum(-1)
-    along = (off * parts[:, :, None, :]).sum(-1)
+    # subspace by subspace, so that each step reads one stretch of memory
+    parts = np.ascontiguousarray(x.reshape(n, m, -1).transpose(1, 0, 2))
+    product = parts @ books.centres.transpose(0, 2, 1)
+    along = (parts**2).sum(-1, keepdims=True) - product
+    square = along - product + (books.centres**2).sum(-1)[:, None, :]
+    row = np.arange(n)
     codes = square.argmin(-1)
-    total = np.take_along_axis(along, codes[:, :, None], 2)[:, :, 0].sum(1)
+    total = sum(along[s, row, codes[s]] for s in range(m))
     for _ in range(rounds):
         for s in range(m):
-            rest = total - along[np.arange(n), s, codes[:, s]]
-            best = (square[:, s] + w * (rest[:, None] + along[:, s]) ** 2).argmin(1)
-            codes[:, s] = best
-            total = rest + along[np.arange(n), s, best]
+            rest = total - along[s, row, codes[s]]
+            loss = along[s] + rest[:, None]
+            loss *= loss
+            loss *= w
+            loss += square[s]
+            codes[s] = loss.argmin(1)
+            total = rest + along[s, row, codes[s]]
+    codes = codes.T
     return codes.astype(np.uint8)
 
 
@@ -68,7 +77,7 @@ def fit(sample: np.ndarray, least: float = 0.2, rounds: int = 8, seed: int = 5)
     parts = x.reshape(n, m, WIDTH)
     centres = np.stack([parts[rng.choice(n, CENTRES, n < CENTRES), s] for s in range(m)])
     for _ in range(rounds):
-        codes = ((parts[:, :, None, :] - centres[None]) ** 2).sum(-1).argmin(-1)
+        codes = assign(x, Codebooks(centres, 1.0), 0)
         for s in range(m):
             for c in range(CENTRES):
                 if (own := codes[:, s] == c).any():
@@ -101,20 +110,22 @@ def usable(vector: Column) -> Column:
 
 
 def encoded(rows: DataFrame, books: Codebooks) -> DataFrame:
-    """shard, vec_ids, codes: rows (vec_id, vector of double) in packed shards of at most SHARD rows, two codes a byte."""
+    """n, vec_ids, codes: rows (vec_id, vector of double) in packed shards of at most SHARD rows, in order of id, two codes a byte."""
     held = rows.sparkSession.sparkContext.broadcast(books)  # 16 centres a subspace
 
+    @released
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, SHARD):
                 part = batch.slice(first, SHARD)
                 ids = np.asarray(part.column(0))
                 if len(ids):
-                    x = _padded(_matrix(part.column(1)))
+                    order = np.argsort(ids, kind="stable")
+                    x = _padded(_matrix(part.column(1)))[order]
                     codes = np.concatenate([assign(x[k : k + 2048], held.value) for k in range(0, len(x), 2048)])
                     codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
                     packed = codes[:, 0::2] << 4 | codes[:, 1::2]
-                    yield pa.RecordBatch.from_pydict({"n": [len(ids)], "vec_ids": pa.array([ids.tobytes()], pa.binary()), "codes": pa.array([packed.tobytes()], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"n": [len(ids)], "vec_ids": pa.array([ids[order].tobytes()], pa.binary()), "codes": pa.array([packed.tobytes()], pa.binary())})
 
     return rows.select("vec_id", "vector").mapInArrow(encode, "n long, vec_ids binary, codes binary")
 
@@ -128,8 +139,27 @@ def _padded(x: np.ndarray) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, -x.shape[1] % WIDTH)))
 
 
-def scan(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, packed: np.ndarray, books: Codebooks, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and approximate scores of the `top` rows for each query but the query's own row, by sums of table entries.
+def best_of(scores: np.ndarray, ids: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the `top` columns of each row: larger scores first, of equal ones the smaller ids. `ids` is like `scores`, or one row."""
+    ids = np.broadcast_to(ids, scores.shape)
+    if top < scores.shape[1]:
+        line = -np.partition(-scores, top - 1, axis=1)[:, top - 1 : top]
+        above, level = scores > line, scores == line
+        # of those level with the last place, the smallest ids fill the places left
+        want = top - above.sum(1)
+        tied = np.flatnonzero(level.sum(1) > want)
+        for k in tied.tolist():
+            at = np.flatnonzero(level[k])
+            level[k] = False
+            level[k, at[np.argsort(ids[k, at], kind="stable")[: want[k]]]] = True
+        at = np.nonzero(above | level)[1].reshape(len(scores), top)
+        scores, ids = np.take_along_axis(scores, at, 1), np.take_along_axis(ids, at, 1)
+    order = np.lexsort((ids, -scores))
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+
+
+def scan(queries: np.ndarray, ids: np.ndarray, packed: np.ndarray, books: Codebooks, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and approximate scores of the `top` rows for each query, by sums of table entries.
 
     For two codes in a byte there is one table of 256 sums a query, so a byte costs one look-up.
     """
@@ -141,10 +171,21 @@ def scan(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, packed: np
     scores = np.zeros((len(queries), len(ids)), np.float32)
     for b in range(packed.shape[1]):
         scores += pairs[:, b][:, packed[:, b]]
-    scores[query_ids[:, None] == ids[None]] = -np.inf
-    top = min(top, len(ids))
-    at = np.argpartition(-scores, top - 1, axis=1)[:, :top]
-    return ids[at], np.take_along_axis(scores, at, 1)
+    return best_of(scores, ids[None], top)
+
+
+def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
+    """vec_id, vector, ids of each distinct vector of `rows` (vec_id, vector, h1, h2, no two rows alike): the smallest id that
+    has it, and its k + 1 smallest ids in order, which are all that any query can need."""
+    same = ["h1", "h2"]
+    several = rows.groupBy(same).agg(F.min("vec_id").alias("least"), F.max("vec_id").alias("last")).where("last > least")
+    several = small_or_not(written(several.select(*same, "least"), "several"))
+    ids = rows.select(*same, "vec_id").join(several.select(*same), same)
+    # a limit by rank is applied before the shuffle too, so no task gets all ids of one vector
+    ids = ids.withColumn("place", F.row_number().over(Window.partitionBy(*same).orderBy("vec_id"))).where(F.col("place") <= k + 1)
+    ids = small_or_not(written(ids.groupBy(same).agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "ids"))
+    index = rows.join(several, same, "left").where("least is null or vec_id = least").join(ids, same, "left")
+    return index.select("vec_id", "vector", F.coalesce("ids", F.array("vec_id")).alias("ids"))
 
 
 def search(
@@ -152,65 +193,88 @@ def search(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the `k` rows of largest cosine that are found for each query, a row whose id is divisible by `every`.
 
-    The codebooks are fitted on about SAMPLE rows, chosen by a share of the ids' hash; every row is coded. Queries in blocks
-    meet shards of codes: the scan's rows are (block, shard), each holding whole arrays, and its results are merged FAN shards at
-    a time, so no query gathers more than FAN lists. The `rerank` best are scored exactly on the original
-    vectors in double precision; ties go to the smaller id.
+    The codebooks are fitted on about SAMPLE distinct vectors, chosen by a share of the range of a hash; every vector is
+    coded, once for all rows that have it. Codes stay where they are written: the queries come to them in waves of about WAVE, and a task
+    scans its shards against the wave's blocks, keeping the `rerank` best of each query. Those lists are merged FAN partitions at a time.
+    What is left is scored exactly on the original vectors in double precision, and rows of equal vectors
+    are told apart by id. At every cut ties go to the smaller id.
 
     A null id, and a vector that is null, empty, zero or has null or non-finite components, takes no part. All vectors have one
     length. Rows with the query's id are never its answers; other repeated ids are scored one by one and an id
-    is answered once. With fewer candidates than `k` all come; an empty table gives no rows. Other columns are ignored.
+    is answered once. A query whose id has several vectors asks with the one of least hash. With fewer candidates
+    than `k` all come; an empty table gives no rows. Other columns are ignored, whatever their names.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    rows = written(rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))), "vectors")
-    total = rows.count()
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vector_col).cast("array<double>"), lambda x: x + F.lit(0.0)).alias("vector"))
+    rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).select("*", F.xxhash64(F.lit(1), "vector").alias("h1"), F.xxhash64(F.lit(2), "vector").alias("h2"))
+    rows = written(rows.dropDuplicates(["vec_id", "h1", "h2"]), "vectors")
+    index = written(distinct_vectors(rows, k), "index")
+    total = index.count()
     share = min(1.0, SAMPLE / max(1, total))
-    sample = rows.where(F.xxhash64("vec_id").cast("double") / 2.0**64 + 0.5 <= share).select("vector").limit(2 * SAMPLE).toArrow().column(0)
+    sample = index.where(F.xxhash64("vec_id", "vector").cast("double") / 2.0**64 + 0.5 <= share).select("vector").toArrow().column(0)
     schema = "query_id long, rank int, vec_id long, score double"
     if not len(sample):
         return spark.createDataFrame([], schema)
     books = fit(np.concatenate([_matrix(c) for c in sample.chunks if len(c)]))
-    shards = written(encoded(rows, books).withColumn("shard", F.monotonically_increasing_id()), "codes")
-    wanted = rows.where(F.col("vec_id") % every == 0)
-    n_blocks = max(1, -(-wanted.count() // QUERIES))
-    asked = wanted.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("block")).agg(F.collect_list("vec_id").alias("query_ids"), F.flatten(F.collect_list("vector")).alias("queries"))
-    asked = written(asked, "queries")
+    shards = written(encoded(index, books), "codes")
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min_by("vector", F.struct("h1", "h2")).alias("query"))
+    asked = written(asked, "asked")
+    dimensions = len(sample[0])
+    waves = max(1, -(-asked.count() // max(1, min(WAVE, WAVE_BYTES // (8 * dimensions)))))
     held = spark.sparkContext.broadcast(books)
-
+    found = None
+    for wave in range(waves):
+        best = written(_scanned(shards, asked.where(F.pmod(F.xxhash64("query_id"), F.lit(waves)) == wave), held, rerank), "best")
+        found = best if found is None else found.unionByName(best)
+    return exact(found, index, asked, k)
+
+
+def _scanned(shards: DataFrame, asked: DataFrame, books, rerank: int) -> DataFrame:
+    """query_id, best (structs of -score and vec_id in order) of a wave of queries over all shards."""
+    spark = shards.sparkSession
+    wave = asked.select("query_id", "query").toArrow()  # WAVE rows, about
+    if not wave.num_rows:
+        return spark.createDataFrame([], "query_id long, best array<struct<d:double,vec_id:long>>")
+    wave = wave.combine_chunks().sort_by("query_id")
+    queries = spark.sparkContext.broadcast((np.asarray(wave.column(0)), _padded(np.concatenate([_matrix(c) for c in wave.column(1).chunks]))))
+    kind = pa.list_(pa.struct([("d", pa.float64()), ("vec_id", pa.int64())]))
+
+    @released
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books = held.value
+        query_ids, x = queries.value
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for r in range(batch.num_rows):
-                shard, n, ids, codes, query_ids, queries = (batch.column(c)[r] for c in range(6))
-                ids = np.frombuffer(ids.as_py(), np.int64)
-                packed = np.frombuffer(codes.as_py(), np.uint8).reshape(len(ids), -1)
-                query_ids = np.asarray(query_ids.values, np.int64)
-                x = _padded(np.asarray(queries.values, np.float64).reshape(len(query_ids), -1))
-                found, score = scan(x, query_ids, ids, packed, books, rerank)
-                best = [[{"score": float(s), "vec_id": int(i)} for s, i in zip(a, b, strict=True) if s > -np.inf] for a, b in zip(score, found, strict=True)]
-                kind = pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids), pa.array(np.full(len(query_ids), shard.as_py())), pa.array(best, kind)], names=["query_id", "shard", "best"])
-
-    # each shard of codes meets each block of the stated queries
-    pairs = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(asked, "block")
-    pairs = pairs.select("shard", "n", "vec_ids", "codes", "query_ids", "queries").repartition(max(1, min(2000, -(-total // SHARD) * n_blocks)))
-    best = pairs.mapInArrow(look, "query_id long, shard long, best array<struct<score:double,vec_id:long>>")
-    levels = max(1, int(np.ceil(np.log(max(2, total / SHARD)) / np.log(FAN))))
-    for _ in range(levels):
-        best = best.groupBy("query_id", F.floor(F.col("shard") / FAN).alias("shard")).agg(F.slice(F.sort_array(F.flatten(F.collect_list("best")), False), 1, rerank).alias("best"))
-    best = best.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best")), False), 1, rerank).alias("best"))
-    candidates = best.select("query_id", F.explode("best.vec_id").alias("vec_id")).distinct()
-    return exact(candidates, rows, wanted, k)
-
-
-def exact(candidates: DataFrame, rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """The `k` best of the candidates (query_id, vec_id) by cosine on the original vectors."""
+            for ids, codes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                ids = np.frombuffer(ids, np.int64)
+                packed = np.frombuffer(codes, np.uint8).reshape(len(ids), -1)
+                for first in range(0, len(x), QUERIES):
+                    got, score = scan(x[first : first + QUERIES], ids, packed, books.value, rerank)
+                    if first in best:
+                        got, score = (np.concatenate(both, axis=1) for both in zip(best[first], (got, score), strict=True))
+                        got, score = best_of(score, got, rerank)
+                    best[first] = got, score
+        for first, (got, score) in best.items():
+            of = pa.StructArray.from_arrays([pa.array(-score.astype(np.float64).ravel()), pa.array(got.ravel())], names=["d", "vec_id"])
+            lists = pa.ListArray.from_arrays(np.arange(len(got) + 1, dtype=np.int32) * got.shape[1], of).cast(kind)
+            yield pa.RecordBatch.from_arrays([pa.array(query_ids[first : first + QUERIES]), lists], names=["query_id", "best"])
+
+    best = shards.mapInArrow(look, "query_id long, best array<struct<d:double,vec_id:long>>").withColumn("part", F.spark_partition_id())
+    merged = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, rerank).alias("best")
+    parts = shards.rdd.getNumPartitions()
+    while parts > 1:
+        parts = -(-parts // FAN)
+        best = best.groupBy("query_id", F.floor(F.col("part") / FAN).alias("part")).agg(merged)
+    return best.select("query_id", "best")
+
+
+def exact(best: DataFrame, index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The `k` best of the candidates (query_id, best) by cosine on the original vectors, each told apart in the ids that have it."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    asked = small_or_not(written(wanted.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query")).dropDuplicates(["query_id"]), "asked"), 20_000)
-    scored = candidates.join(rows, "vec_id").join(asked, "query_id").select(
-        "query_id", "vec_id", (dot(F.col("query"), F.col("vector")) / (F.sqrt(dot(F.col("query"), F.col("query"))) * F.sqrt(dot(F.col("vector"), F.col("vector"))))).alias("score")
-    )
-    top = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).groupBy("query_id").agg(F.collect_list(F.struct((-F.col("score")).alias("d"), "vec_id")).alias("all"))
-    ranked = top.select("query_id", F.posexplode(F.slice(F.array_sort("all"), 1, k)).alias("pos", "hit"))
+    candidates = best.select("query_id", F.explode("best.vec_id").alias("vec_id")).distinct()
+    cosine = dot(F.col("query"), F.col("vector")) / (F.sqrt(dot(F.col("query"), F.col("query"))) * F.sqrt(dot(F.col("vector"), F.col("vector"))))
+    scored = candidates.join(index, "vec_id").join(small_or_not(asked), "query_id").select("query_id", (-cosine).alias("d"), F.explode("ids").alias("vec_id"))
+    # an id may have several vectors; its best score counts
+    scored = scored.where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("d").alias("d"))
+    top = scored.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "vec_id"))), 1, k).alias("top"))
+    ranked = top.select("query_id", F.posexplode("top").alias("pos", "hit"))
     return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "hit.vec_id", (-F.col("hit.d")).alias("score"))

@@ -6,23 +6,44 @@ import tempfile
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_OWN = []
+_OWN: list[str] = []
+_MADE: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's `spark.checkpoint.dir`; a folder of our own only where it is unset, as in tests."""
+    """The cluster's `spark.checkpoint.dir`. Where it is unset, a folder of our own if driver and executors are one
+    process, as in tests; on a cluster that is an error, as executors would write to their own disks."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="siltstone-"))
     return _OWN[0]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def tables_made() -> int:
+    """How many paths this process has taken so far; see `drop_tables`."""
+    return len(_MADE)
+
+
+def drop_tables(first: int, last: int | None = None) -> None:
+    """Delete what was written under the paths taken from number `first` on, up to `last`: for jobs whose result stands elsewhere."""
+    last = len(_MADE) if last is None else last
+    for k in range(first, last):
+        store, path = opened(_MADE[k])
+        if _MADE[k] and store.get_file_info(path).type == fs.FileType.Directory:
+            store.delete_dir(path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -60,10 +81,32 @@ def write_whole(folder: str, name: str, body) -> str:
     return uri
 
 
-#: A side with at most so many narrow rows (ids, hashes, numbers: some tens of bytes each) may be broadcast.
-BROADCAST_ROWS = 200_000
+#: A side with at most so many rows and bytes may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+
+
+def _bytes(column: Column, kind: T.DataType) -> Column:
+    """Bytes of a value, about."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        inner = 8 if isinstance(kind.elementType, T.NumericType | T.BooleanType) else 64
+        return F.greatest(F.size(column), F.lit(0)) * inner + 24
+    return F.lit(16)
+
+
+def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """`df`, a table that `written` has made, marked for broadcasting if its counted rows and summed bytes are few; else left
+    to a shuffle join, whose large partitions adaptive execution splits."""
+    width = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0))
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return df.hint("broadcast") if n <= rows and size <= most_bytes else df
 
 
-def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df`, a table that `written` has made, marked for broadcasting if its counted rows are few; else left to a shuffle join."""
-    return df.hint("broadcast") if df.count() <= rows else df
+def fresh(name: str, taken: list[str]) -> str:
+    """`name`, or the first of name_1, name_2, ... that isn't among the names taken, whatever their case."""
+    low, found, k = {x.lower() for x in taken}, name, 0
+    while found.lower() in low:
+        k += 1
+        found = f"{name}_{k}"
+    return found
