@@ -7,9 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .memo import released
+from .store import small_or_not, written
+
 #: n-grams of so many bytes of the lower-cased text, hashed to so many bins.
 SIZES, BIN_BITS = (1, 2, 3, 4), 12
 BINS = 1 << BIN_BITS
@@ -80,19 +83,55 @@ def clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
+def _frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
+    """Number of all texts, and by bin of those that have an n-gram there. A task sends one row."""
+
+    @released
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, seen = 0, np.zeros(BINS, np.int64)
+        for batch in batches:
+            for _, run in _pieces(batch.column(0).to_pylist()):
+                seen += (counts(run) > 0).sum(axis=0)
+                n += len(run)
+        if n:
+            yield pa.RecordBatch.from_pydict({"n": [n], "seen": [seen.tolist()]})
+
+    rows = texts.select("text").mapInArrow(count, "n long, seen array<long>")
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    by_bin = rows.select(F.posexplode("seen").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # BINS rows
+    seen = np.zeros(BINS, np.int64)
+    seen[by_bin["bin"].to_numpy(int)] = by_bin["n"].to_numpy(np.int64)
+    return total, seen
+
+
+def sampled(usable: DataFrame, per_lang: int) -> DataFrame:
+    """lang, text: of each language the `per_lang` distinct texts of least hash, or all if it has fewer.
+
+    The rank is cut before the shuffle too, so a language or a text of any number of rows sends at most `per_lang` hashes a task.
+    """
+    keys = usable.select("lang", F.xxhash64("text").alias("hash")).distinct()
+    least = keys.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).where(F.col("place") <= per_lang)
+    least = small_or_not(written(least.select("lang", "hash"), "sample"))
+    return usable.select("lang", "text", F.xxhash64("text").alias("hash")).join(least, ["lang", "hash"], "left_semi").groupBy("lang", "hash").agg(F.min("text").alias("text"))
+
+
 def fit(labelled: DataFrame, per_lang: int = 500, k: int = 4, slack: float = 0.5) -> Model:
-    """Learn from text and lang of `labelled`: about `per_lang` rows of each language, taken by a share of the range of the texts' hash.
+    """Learn from text and lang of `labelled` (rows with both and a letter in the text).
 
-    The rows are counted on the executors and come to the driver as sparse counts. idf is theirs. A language has up to `k` centroids; a centroid rejects
-    what is less similar to it than `slack` times the least similar of its own rows.
+    idf is counted over all rows. Centroids are learned from `per_lang` distinct texts of each language (`sampled`), which come to
+    the driver as sparse counts; every language that has a usable row is learned. A language has up to `k` centroids;
+    a centroid rejects what is less similar to it than `slack` times the least similar of its own rows.
+
+    Rows of null text or lang teach nothing. Repeated rows count in idf and are one text for the centroids. Of no rows nothing is learned.
+    Equal cosines in clustering go to the earlier centroid. Other columns are ignored.
     """
-    usable = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = usable.groupBy("lang").count().collect()
-    if not rows:
+    usable = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
+    total, seen = _frequencies(usable)
+    if not total:
         return Model([], np.zeros(BINS), np.zeros((0, BINS), np.float32), np.zeros(0, int), np.zeros(0))
-    at = F.xxhash64("text").cast("double") / 2.0**64 + 0.5
-    share = F.create_map(*[x for r in rows for x in (F.lit(r["lang"]), F.lit(min(1.0, per_lang / r["count"])))])
+    idf = (np.log((1 + total) / (1 + seen)) + 1).astype(np.float32)
 
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -104,18 +143,16 @@ def fit(labelled: DataFrame, per_lang: int = 500, k: int = 4, slack: float = 0.5
                     values.append(row[at].tobytes())
                 yield pa.RecordBatch.from_pydict({"lang": langs[first : first + len(run)], "bins": pa.array(bins, pa.binary()), "counts": pa.array(values, pa.binary())})
 
-    chosen = usable.where(at <= share[F.col("lang")]).select("lang", "text").mapInArrow(count, "lang string, bins binary, counts binary").collect()
-    chosen.sort(key=lambda r: (r["lang"], bytes(r["bins"]), bytes(r["counts"])))
-    tf = np.zeros((len(chosen), BINS), np.float32)
-    for k_row, r in enumerate(chosen):
-        tf[k_row, np.frombuffer(r["bins"], np.int16)] = np.frombuffer(r["counts"], np.float32)
-    idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))) + 1).astype(np.float32)
-    x = _weighed(tf, idf)
-    langs = sorted({r["lang"] for r in chosen})
-    of = np.array([langs.index(r["lang"]) for r in chosen])
+    chosen = sampled(usable, per_lang).select("lang", "text").mapInArrow(count, "lang string, bins binary, counts binary").collect()
+    by_lang: dict[str, list] = {}
+    for r in sorted(chosen, key=lambda r: (r["lang"], bytes(r["bins"]), bytes(r["counts"]))):
+        by_lang.setdefault(r["lang"], []).append(r)
     centroids, owner, floor = [], [], []
-    for k_lang in range(len(langs)):
-        own = x[of == k_lang]
+    for k_lang, rows in enumerate(by_lang.values()):
+        tf = np.zeros((len(rows), BINS), np.float32)  # one language at a time is dense
+        for k_row, r in enumerate(rows):
+            tf[k_row, np.frombuffer(r["bins"], np.int16)] = np.frombuffer(r["counts"], np.float32)
+        own = _weighed(tf, idf)
         centres = clusters(own, k)
         close = own @ centres.T
         for c in range(len(centres)):
@@ -123,17 +160,19 @@ def fit(labelled: DataFrame, per_lang: int = 500, k: int = 4, slack: float = 0.5
             centroids.append(centres[c])
             owner.append(k_lang)
             floor.append(slack * float(members.min()) if len(members) else 1.0)
-    return Model(langs, idf, np.array(centroids, np.float32), np.array(owner), np.array(floor))
+    return Model(list(by_lang), idf, np.array(centroids, np.float32), np.array(owner), np.array(floor))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred (the nearest centroid's language), score (its cosine, 0 to 1), rejected; no shuffle.
 
     A text that is null or has no letters is `und` with score 0 and rejected, and so is any where nothing was learned. Equal
-    cosines go to the first language in order. Repeated rows repeat; an empty table gives no rows.
+    cosines go to the first language in order. A long text is counted whole, as a run of its own. Repeated rows repeat; an
+    empty table gives no rows. Other columns are ignored, whatever their names.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # centroids of the learned languages, 16 KB each
 
+    @released
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
@@ -156,6 +195,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def predict_all(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """Learn from the rows that aren't held out, and predict all."""
+    """Learn from the rows that aren't held out, and predict all: doc_id, held_out, lang_pred, score, rejected.
+
+    Null ids count as an empty text in the fold. The rest is as in `fit` and `predict`.
+    """
     model = fit(docs.where(~held_out(F.col("doc_id"))).select("text", "lang"), **options)
     return predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
