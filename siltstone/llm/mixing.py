@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,35 +20,65 @@ def uniform(key: Column, seed: int) -> Column:
     return (F.conv(head, 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
+def _turns(sizes: DataFrame, n_weights: int) -> DataFrame:
+    """source, source_size, turn: the place of each source in code-point order, null last, modulo `n_weights`.
+
+    A range partition orders the sources; a place is the one in its partition plus the rows of the partitions before.
+    """
+    ordered = sizes.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    ordered = written(ordered.select("source", "source_size", F.spark_partition_id().alias("part"), (F.monotonically_increasing_id() % 2**33).alias("at")), "sources")
+    # one row a partition
+    before, rows = 0, []
+    for r in ordered.groupBy("part").count().sort("part").collect():
+        rows.append((r["part"], before))
+        before += r["count"]
+    starts = sizes.sparkSession.createDataFrame(rows, "part int, start long")
+    return ordered.join(F.broadcast(starts), "part").select("source", "source_size", ((F.col("start") + F.col("at")) % n_weights).cast("int").alias("turn"))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
     """source, source_size -> target.
 
     Sources in code-point order, null last, have `weights` in turn and divide `share` times all sizes.
     A target stops at `cap` times its source's size and the excess is divided anew by weight until none
-    is above: with the sources ranked by cap/weight, those before the level line are full and the rest
-    get the level times their weight. One row per source, so the unpartitioned windows are small.
+    is above: of a level, sources with cap/weight up to it are full and the others get the level times their weight.
+    Each round is one sum over the sources, however many they are, and raises the level until no more are full.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = (F.row_number().over(order) - 1) % len(weights)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int"))
-    every = Window.partitionBy()
-    before = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (
-        sizes.withColumn("weight", weight)
-        .withColumn("most", F.col("source_size") * F.lit(float(cap)))
-        .withColumn("ratio", F.col("most") / F.col("weight"))
-        .withColumn("total", F.sum("source_size").over(every) * F.lit(float(share)))
-        .withColumn("full_before", F.coalesce(F.sum("most").over(before), F.lit(0.0)))
-        .withColumn("weight_left", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("full", F.col("ratio") * F.col("weight_left") <= F.col("total") - F.col("full_before"))
-    )
-    left = F.col("total") - F.coalesce(F.sum(F.when(F.col("full"), F.col("most"))).over(every), F.lit(0.0))
-    open_weight = F.sum(F.when(~F.col("full"), F.col("weight"))).over(every)
-    level = left / open_weight
-    target = F.when(F.col("full"), F.col("most")).otherwise(level * F.col("weight"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("turn") + 1)
+    ranked = _turns(sizes, len(weights)).select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(cap))).alias("most"))
+    ranked = written(ranked.withColumn("ratio", F.col("most") / F.col("weight")), "weights")
+    total, level, last = 0.0, -1.0, None
+    while level != last:
+        last, full = level, F.col("ratio") <= F.lit(level)
+        r = ranked.agg(F.sum("source_size"), F.sum(F.when(full, F.col("most"))), F.sum(F.when(~full, F.col("weight")))).first()
+        total = float(share) * (r[0] or 0)
+        level = (total - (r[1] or 0.0)) / r[2] if r[2] else math.inf
+    target = F.when(F.col("ratio") <= F.lit(level), F.col("most")).otherwise(F.lit(level) * F.col("weight"))
     return ranked.select("source", "source_size", F.round(target, 6).alias("target"))
 
 
+def levels(sized: DataFrame, sources: DataFrame, cap: float) -> DataFrame:
+    """`sources` (source, target, ...) with level: a document expects the smaller of `cap` and level times its importance.
+
+    What the cap cuts off goes to the others of the source: each round sums, source by source, what is full and the weight that is
+    open, and raises the levels until no more documents are full. Without documents of any importance the level is 0.
+    """
+    level = F.when(F.col("weighted") > 0, F.col("target") / F.col("weighted")).otherwise(0.0)
+    known, raised = written(sources.withColumn("level", level), "levels"), 1
+    while raised:
+        joined = sized.alias("d").join(small_or_not(known).alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
+        full = F.col("importance") * F.col("level") >= F.lit(float(cap))
+        sums = joined.groupBy(F.col("d.source").alias("of")).agg(
+            F.coalesce(F.sum(F.when(full, F.col("size"))), F.lit(0)).alias("full"), F.coalesce(F.sum(F.when(~full, F.col("size") * F.col("importance"))), F.lit(0.0)).alias("open")
+        )
+        rest = F.col("target") - F.col("full") * F.lit(float(cap))
+        up = F.when((F.col("open") > 0) & (rest / F.col("open") > F.col("level") * (1 + 1e-12)), rest / F.col("open"))
+        known = written(known.join(small_or_not(written(sums, "sums")), F.col("source").eqNullSafe(F.col("of")), "left").select(*sources.columns, F.coalesce(up, "level").alias("level"), up.isNotNull().alias("up")), "levels")
+        raised = known.where("up").count()
+        known = known.drop("up")
+    return known
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = (5, 2, 1),
@@ -60,8 +92,8 @@ def mix(
 ) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken.
 
-    Each document expects target / source_size copies, times its `importance` (1 by default, so all words of
-    a source count alike). Whole copies are certain. The fraction left is the document's inclusion
+    Each document expects target / source_size copies, in proportion to its `importance` (1 by default, so all words of
+    a source count alike) but `cap` at most, the excess going to the others of its source (`levels`). Whole copies are certain. The fraction left is the document's inclusion
     probability p; documents are ranked by odds(u) / odds(p), u being fixed by the id, and the first
     ones of their source are taken until the words reach what the whole copies leave of the target,
     to within half of the document on the line.
@@ -70,10 +102,12 @@ def mix(
     BIN_ROWS documents, the bins are summed, and only the bin on the line is ordered row by row.
 
     Null text has size 0. A null source is a source of its own, last in order. Null ids are ranked as
-    an empty id. Rows with equal id tie and are taken in order of size. An empty table gives no rows. Other columns
-    are ignored.
+    an empty id. Rows with equal id tie and are taken in order of size, then as they come, as rows of one id and size
+    are alike here. A null importance is 1, one below 0 is 0; if a source's importances are all 0 nothing of it is taken. A very
+    long text is counted whole. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
-    importance = F.lit(1.0) if importance is None else F.coalesce(importance.cast("double"), F.lit(1.0))
+    equal = importance is None
+    importance = F.lit(1.0) if equal else F.greatest(F.coalesce(importance.cast("double"), F.lit(1.0)), F.lit(0.0))
     sized = written(
         docs.select(
             F.col(id_col).alias("doc_id"),
@@ -89,14 +123,15 @@ def mix(
         F.count(F.lit(1)).alias("n_docs"),
     )
     targets = source_targets(sources.select("source", "source_size"), weights, share, cap)
-    targets = small_or_not(written(
-        targets.alias("t")
-        .join(sources.alias("s"), F.col("t.source").eqNullSafe(F.col("s.source")))
-        .select("t.*", "s.weighted", F.greatest(F.lit(1), F.ceil(F.col("s.n_docs") / BIN_ROWS)).alias("n_bins")),
-        "targets",
-    ))
+    sources = written(sources, "source-sums")
+    targets = targets.alias("t").join(sources.alias("s"), F.col("t.source").eqNullSafe(F.col("s.source"))).select(
+        "t.*", "s.weighted", F.greatest(F.lit(1), F.ceil(F.col("s.n_docs") / BIN_ROWS)).alias("n_bins")
+    )
+    # of equal importance nothing is above the cap, as no target is
+    level = F.when(F.col("weighted") > 0, F.col("target") / F.col("weighted")).otherwise(0.0)
+    targets = small_or_not(written(targets.withColumn("level", level), "targets") if equal else levels(sized, targets, cap))
     u = uniform(F.col("doc_id"), seed)
-    expects = F.when(F.col("weighted") > 0, F.col("target") * F.col("importance") / F.col("weighted")).otherwise(0.0)
+    expects = F.col("level") * F.col("importance")
     chance = F.col("expects") - F.col("whole")
     rank = (F.col("u") / (1 - F.col("u"))) / (chance / (1 - chance))
     ranked = (
@@ -116,7 +151,10 @@ def mix(
     lines = (
         by_bin.withColumn("rest", F.col("target") - F.sum("certain").over(Window.partitionBy("source")))
         .where(F.col("bin").isNotNull())
+        .withColumn("all", F.sum("words").over(Window.partitionBy("source")))
         .withColumn("start", F.coalesce(F.sum("words").over(run), F.lit(0)))
+        # a rest of more than all ranked words takes them all: the line is in the last bin
+        .withColumn("rest", F.least("rest", "all"))
         .where((F.col("start") <= F.col("rest")) & (F.col("rest") <= F.col("start") + F.col("words")))
         .groupBy("source")
         .agg(F.min_by(F.struct("bin", "start", "rest"), "bin").alias("line"))
