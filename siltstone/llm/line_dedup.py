@@ -47,32 +47,36 @@ def remove_boilerplate(docs: DataFrame, least_sites: int = 10, id_col: str = "do
     """`docs` with the text cleared of lines that occur on `least_sites` distinct sites or more, and n_lines, n_removed.
 
     All occurrences go; lines of white space only stay and are never counted. Only line hashes are shuffled.
-    Where the positions to remove are few they are broadcast to the scan, else joined by a shuffle.
+    Where lines or positions to remove are few they are broadcast to the scan, else joined by a shuffle that adaptive
+    execution splits where one line or text is very common.
 
     Null text stays null, with no lines. A null site is no site, but its documents are cleared too. Repeated
-    rows are cleared alike. A text may become empty; its row stays. An empty table gives no rows. Other
-    columns are carried along; those named n_lines or n_removed are replaced.
+    rows are cleared alike; equal lines tie in nothing. A text may become empty; its row stays. A very long text is cut in time
+    linear in its lines, but held whole in a row. An empty table gives no rows. Other columns are carried along, whatever
+    their names; those named n_lines or n_removed are replaced.
     """
     keys = written(line_keys(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(site_col).cast("string").alias("site"))), "lines")
     lines = small_or_not(spread_lines(keys, least_sites))
     same = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
     # equal rows have equal positions, so a set of them is one row's
-    cuts = keys.join(lines, ["h1", "h2"]).groupBy(same.alias("cut_id"), F.col("key").alias("cut_key")).agg(F.collect_set("pos").alias("cut_pos"))
+    cuts = keys.join(lines, ["h1", "h2"]).groupBy(same.alias("id"), "key").agg(F.collect_set("pos").alias("cut"))
     cuts = small_or_not(written(cuts, "cuts"))
-    match = (F.coalesce(docs[id_col].cast("string"), F.lit("-")) == F.col("cut_id")) & (F.xxhash64(docs[text_col]) == F.col("cut_key"))
-    parts = F.split(F.col(text_col), "\n", -1)
-    left = F.array_join(F.filter(parts, lambda _, k: ~F.array_contains("cut_pos", k)), "\n")
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    joined = docs.select(*columns).join(cuts, match, "left")
+    # the row travels in a struct, so its columns can't clash with those of the join
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(id_col).cast("string"), F.lit("-")).alias("id"), F.xxhash64(text_col).alias("key"))
+    joined = rows.join(cuts, ["id", "key"], "left")
+    text, cut = F.col("row").getField(text_col), F.col("cut")
+    parts = F.split(text, "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), cut)
+    left = F.array_join(F.transform(stay, lambda k: F.get(parts, k)), "\n")
     return joined.select(
-        *(F.when(F.col("cut_pos").isNull(), F.col(c)).otherwise(left).alias(c) if c == text_col else F.col(c) for c in columns),
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
-        F.when(F.col("cut_pos").isNull(), 0).otherwise(F.size("cut_pos")).cast("long").alias("n_removed"),
+        *(F.when(cut.isNull(), text).otherwise(left).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")),
+        F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
+        F.when(cut.isNull(), 0).otherwise(F.size(cut)).cast("long").alias("n_removed"),
     )
 
 
 def digests(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept_sha256 of remove_boilerplate."""
+    """doc_id, n_lines, n_removed, kept_sha256 of remove_boilerplate, whose odd cases hold; a null text's digest is that of an empty one."""
     return remove_boilerplate(docs, **options).select("doc_id", "n_lines", "n_removed", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 
