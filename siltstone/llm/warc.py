@@ -14,6 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .memo import released
 from .store import make_folder, new_path, opened, small_or_not, write_whole, written
 
 #: Fixed values of the .warc.zst format: the magic number of the skippable frame that holds the dictionary.
@@ -76,6 +77,7 @@ def write_archives(pages: DataFrame, folder: str, dictionary: bytes, date: str =
     make_folder(folder)
     held = pages.sparkSession.sparkContext.broadcast(dictionary)  # DICTIONARY_BYTES at most
 
+    @released
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*(c for c in batch.columns), strict=True))
         dictionary = zstandard.ZstdCompressionDict(held.value)
@@ -128,6 +130,7 @@ READ_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest stri
 def read_archives(files: DataFrame) -> DataFrame:
     """One row a record of the archives listed by `uri`; a response whose payload and digest differ raises."""
 
+    @released
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri in batch.column(0).to_pylist():
@@ -162,32 +165,43 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, sha -> refers_to: for each payload of `least_bytes` or more, all rows but those with its smallest page_id."""
+    """page_id, sha -> refers_to: for each payload of `least_bytes` or more, all rows but those with its smallest page_id.
+
+    The payloads that several pages have are written, so that none of their aggregation stands between the shuffle of a very
+    common payload's pages and their join: it is broadcast if small, else adaptive execution can split those pages.
+    """
     keyed = pages.where(F.octet_length("html") >= least_bytes).select("page_id", "sha")
     first = keyed.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to")
+    first = small_or_not(written(first.select("sha", "refers_to"), "payloads"))
     return keyed.join(first, "sha").where("page_id > refers_to").select("page_id", "sha", "refers_to").distinct()
 
 
+def samples_of(pages: DataFrame, records: int) -> list[bytes]:
+    """Records of about `records` pages for the dictionary, cut to SAMPLE_BYTES: those in a share of the range of a hash, one a payload."""
+    share = records / max(records, pages.count())
+    at = F.xxhash64("page_id", "sha").cast("double") / 2.0**64 + 0.5
+    chosen = pages.where(at <= share).groupBy("sha").agg(F.min(F.struct(F.col("page_id"), F.col("url"), F.substring("html", 1, SAMPLE_BYTES).alias("html"))).alias("page"))
+    return [record(r.page_id, r.url, r.html.encode("utf-8", "surrogatepass")[:SAMPLE_BYTES], None, "2020-01-01T00:00:00Z") for r in chosen.select("page.*").sort("page_id", "html").collect()]
+
+
 def archive(
     spark: SparkSession, pages: DataFrame, folder: str | None = None, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
     """Write every page as a record and return the archives' uri and n_records.
 
     Only ids and digests are shuffled. The table of revisits is broadcast to the writers if it has few
-    rows, else joined by a shuffle; the html goes from the scan to the archives.
+    rows, else joined by a shuffle; the html goes from the scan to the archives. The dictionary is trained on a bounded sample:
+    the first SAMPLE_BYTES of about SAMPLE_RECORDS records, of distinct payloads. Every record is written whole.
 
     Null html is an empty payload. A null url becomes urn:page:<id>. A null page_id is never the smallest
-    and never a revisit. Rows with the same page_id and payload are all what the first is. Of an empty
-    table nothing is written. Other columns are ignored.
+    and never a revisit. Rows with the same page_id and payload are all what the first is; of equal payloads the smallest
+    page_id wins. A record is held whole while it is written and read. Of an empty table nothing is written. Other columns are
+    ignored, whatever their names.
     """
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     pages = pages.withColumn("sha", F.sha1(F.encode("html", "UTF-8")))
     again = small_or_not(written(revisits(pages, least_bytes), "revisits"))
-    # a share of the hash's range that holds SAMPLE_RECORDS rows on average: what reaches the driver doesn't grow
-    share = SAMPLE_RECORDS / max(SAMPLE_RECORDS, pages.count())
-    at = F.xxhash64("page_id", "sha").cast("double") / 2.0**64 + 0.5
-    sample = pages.where(at <= share).select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html")).limit(2 * SAMPLE_RECORDS).collect()
-    samples = [record(r.page_id, r.url, r.html.encode("utf-8", "surrogatepass")[:SAMPLE_BYTES], None, "2020-01-01T00:00:00Z") for r in sample]
+    samples = samples_of(pages, SAMPLE_RECORDS)
     joined = pages.join(again, ["page_id", "sha"], "left")
     return write_archives(joined, folder or new_path(spark, "warc"), train_dictionary(samples))
 
