@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .memo import Memo
+from .memo import Memo, released
 from .store import small_or_not, written
 from .words import words_of
 
@@ -23,7 +23,8 @@ CHOICES = WINDOW - ANCHOR + 1
 SHARD_WORDS, MOST_CONTEXTS = 50_000, 2_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0xD6E8FEB86659FD93
-_words = Memo(xxhash.xxh64_intdigest, 300_000)
+#: Kinds of contexts of one anchor in a batch, above which they are dealt by kind, as such an anchor may be very common.
+KINDS = 2
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -43,13 +44,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def contexts(words: list[bytes]) -> tuple[np.ndarray, ...]:
+def contexts(words: list[bytes], words_seen: Memo) -> tuple[np.ndarray, ...]:
     """anchor, key, first window, windows: for each anchor's place the run of windows that own it, and hashes of both.
 
     Equal windows have equal anchors at equal places, wherever they stand. Runs are in order and disjoint.
     """
     n = len(words)
-    hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
+    hashes = np.fromiter(map(words_seen.__getitem__, words), np.uint64, n)
     up, down = _powers_to(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(hashes * up[:n], out=sums[1:])
@@ -123,11 +124,11 @@ class SuffixAutomaton:
                 yield place, first[state]
 
 
-def shard_masks(rows: list[tuple[int, int, bytes]]) -> list[int]:
-    """Of contexts (doc, first window, words), the windows (bits) that also start earlier in the shard."""
-    order = sorted(range(len(rows)), key=lambda k: rows[k][:2])
+def shard_masks(rows: list[tuple[int, int, int, bytes]]) -> list[int]:
+    """Of contexts (doc, row, first window, words), the windows (bits) that also start earlier in the shard."""
+    order = sorted(range(len(rows)), key=lambda k: rows[k][:3])
     number: dict[bytes, int] = {}
-    strings = [[number.setdefault(w, len(number)) for w in words.split(b" ")] for _, _, words in rows]
+    strings = [[number.setdefault(w, len(number)) for w in words.split(b" ")] for *_, words in rows]
     automaton, starts, at = SuffixAutomaton(), [], 0
     for k in order:
         automaton.add(strings[k], at)
@@ -136,70 +137,92 @@ def shard_masks(rows: list[tuple[int, int, bytes]]) -> list[int]:
     bounds = np.array(starts)
     masks = [0] * len(rows)
     for k in order:
-        doc, low, _ = rows[k]
+        doc, row, low, _ = rows[k]
         places, firsts = zip(*automaton.first_ends(strings[k], WINDOW), strict=True)
         begins = np.array(firsts) - WINDOW + 1
         owner = np.searchsorted(bounds, begins, "right") - 1
         for place, begin, o in zip(places, begins.tolist(), owner.tolist(), strict=True):
             j = place - WINDOW + 1
             other = rows[order[o]]
-            if (other[0], other[1] + begin - starts[o]) < (doc, low + j):
+            if (other[0], other[1], other[2] + begin - starts[o]) < (doc, row, low + j):
                 masks[k] |= 1 << j
     return masks
 
 
+@released
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts of each document. Those that a batch has earlier are marked here and needn't meet others."""
+    """Contexts of each document. Those that a batch has earlier are marked here and needn't meet others.
+
+    Contexts meet where their route says: by anchor, or, if the batch has over KINDS kinds of the anchor, each kind on its own
+    (`many`); then one more row without a document tells the anchor's route that there are others.
+    """
+    words_seen = Memo(xxhash.xxh64_intdigest, 300_000)
     for batch in batches:
         found = []
         for doc, row, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             words = words_of(text)
             if len(words) >= WINDOW:
-                anchor, key, low, count = contexts(words)
+                anchor, key, low, count = contexts(words, words_seen)
                 n = len(low)
                 found.append((anchor, key, np.full(n, doc), np.full(n, row), low * 16 + count))
         if not found:
             continue
         anchor, key, doc, row, at = map(np.concatenate, zip(*found, strict=True))
-        order = np.lexsort((at, doc, key, anchor))
+        order = np.lexsort((at, row, doc, key, anchor))
         anchor, key, doc, row, at = (x[order] for x in (anchor, key, doc, row, at))
-        new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1])])
+        new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+        new = new_anchor | np.concatenate([[True], key[1:] != key[:-1]])
         lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-        later = (doc != doc[lead]) | (at != at[lead])
+        # a row that is there twice is marked once
+        again = np.concatenate([[False], ~new[1:] & (doc[1:] == doc[:-1]) & (row[1:] == row[:-1]) & (at[1:] == at[:-1])])
+        later = (doc != doc[lead]) | (row != row[lead]) | (at != at[lead])
+        of = np.cumsum(new_anchor) - 1
+        many = (np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_anchor)) > KINDS)[of]
         # a marked one goes where its document's key says
-        anchor = np.where(later, row.astype(np.uint64), anchor).view(np.int64)
-        columns = [anchor, key.view(np.int64), doc, row, at]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(later)], names=["anchor", "key", "doc", "row", "at", "marked"])
+        route = np.where(later, row.astype(np.uint64), np.where(many, _mixed(anchor ^ key), anchor))
+        told = np.flatnonzero(new_anchor & many)
+        own = np.flatnonzero(~again)
+        columns = [np.concatenate([x[own], y[told]]) for x, y in ((route, anchor), (anchor, anchor), (key, key), (doc, doc), (row, row), (at, np.full(len(at), -1)))]
+        flags = [np.concatenate([x[own], np.full(len(told), y)]) for x, y in ((later, False), (many, True))]
+        arrays = [*(pa.array(x.view(np.int64)) for x in columns), *map(pa.array, flags)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["route", "anchor", "key", "doc", "row", "at", "marked", "many"])
 
 
+@released
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted contexts, those that aren't the first of their kind, marked; and the first ones of anchors with several kinds."""
-    kinds, held = 0, None  # kinds of contexts of the anchor that is open; its first context, while it is the only one
-    last: tuple = (None, None, None, None)  # anchor, key, document and place of the open kind's first context
+    """Of contexts sorted by route, anchor, whether they are marked and many, key and place: those that aren't the first of their kind,
+    marked; and the first ones of anchors with several kinds."""
+    several, held = False, None  # whether the open anchor has several kinds; its first context, while it seems the only one
+    last: tuple = (None,) * 6  # route, anchor, key, document, row and place of the open kind's first context
     for batch in batches:
         out = []
-        for anchor, key, doc, row, at, marked in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+        for route, anchor, key, doc, row, at, marked, many in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
             if marked:
                 out.append((anchor, doc, row, at, True))
                 continue
-            if anchor != last[0]:
-                kinds, held = 0, None
-            if (anchor, key) != last[:2]:
-                last = (anchor, key, doc, at)
-                kinds += 1
-            elif (doc, at) != last[2:]:
-                out.append((anchor, doc, row, at, True))
+            if (route, anchor) != last[:2]:
+                several, held, last = False, None, (route, anchor, None, None, None, None)
+            if many and not several:
+                several = True
+                out += [held] if held else []
+            if at < 0:
                 continue
-            if kinds == 1:
-                held = [*(held or []), (anchor, doc, row, at, False)]
-            else:
-                out += [*(held or []), (anchor, doc, row, at, False)]
-                held = None
+            if (route, anchor, key) != last[:3]:
+                several = several or last[2] is not None
+                last = (route, anchor, key, doc, row, at)
+                out += [held] if held and several else []
+                held = (anchor, doc, row, at, False)
+                if several:
+                    out.append(held)
+                    held = None
+            elif (doc, row, at) != last[3:]:
+                out.append((anchor, doc, row, at, True))
         columns = list(zip(*out, strict=True)) if out else [[]] * 5
         arrays = [pa.array(c, t) for c, t in zip(columns, [*[pa.int64()] * 4, pa.bool_()], strict=True)]
         yield pa.RecordBatch.from_arrays(arrays, names=["anchor", "doc", "row", "at", "marked"])
 
 
+@released
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of the contexts asked for."""
     for batch in batches:
@@ -216,11 +239,12 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["anchor", "hot", "doc", "row", "at", "words"])
 
 
+@released
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shards of whole anchors, in order: an automaton of each, and what its contexts' statistics say."""
 
     def judged(rows: list[tuple]) -> pa.RecordBatch:
-        masks = shard_masks([(doc, at >> 4, words) for _, doc, _, at, words in rows])
+        masks = shard_masks([(doc, row, at >> 4, words) for _, doc, row, at, words in rows])
         hits = [(doc, row, (at >> 4) << 15 | mask) for (_, doc, row, at, _), mask in zip(rows, masks, strict=True) if mask]
         columns = list(zip(*hits, strict=True)) if hits else [[]] * 3
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc", "row", "mark"])
@@ -237,6 +261,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield judged(rows)
 
 
+@released
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each window of the contexts by a digest of its words."""
     for batch in batches:
@@ -250,6 +275,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["window", "doc", "row", "begin"])
 
 
+@released
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits = np.arange(15)
     for batch in batches:
@@ -282,8 +308,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeats(rows: DataFrame) -> DataFrame:
     """doc, row, mark: first word of a run of windows (shifted left by 15) and, as bits, those of them that also start earlier."""
-    found = rows.select("doc", "row", "text").mapInArrow(_find, "anchor long, key long, doc long, row long, at long, marked boolean")
-    judged = found.repartition("anchor").sortWithinPartitions("anchor", "key", "doc", "at")
+    found = rows.select("doc", "row", "text").mapInArrow(_find, "route long, anchor long, key long, doc long, row long, at long, marked boolean, many boolean")
+    judged = found.repartition("route").sortWithinPartitions("route", "anchor", "marked", F.desc("many"), "key", "doc", "row", "at")
     judged = written(judged.mapInArrow(_judge, "anchor long, doc long, row long, at long, marked boolean"), "judged")
     full = F.expr("shiftleft(1L, cast(at % 16 as int)) - 1")
     marks = judged.where("marked").select("doc", "row", F.shiftleft(F.shiftright("at", 4), 15).bitwiseOR(full).alias("mark"))
@@ -298,8 +324,8 @@ def repeats(rows: DataFrame) -> DataFrame:
     cool = asked.where("not hot").select("anchor", "doc", "row", "at", "words").repartition("anchor").sortWithinPartitions("anchor")
     marks = marks.unionByName(cool.mapInArrow(_match, "doc long, row long, mark long"))
     windows = asked.where("hot").select("doc", "row", "at", "words").mapInArrow(_windows, "window binary, doc long, row long, begin long")
-    first = windows.groupBy("window").agg(F.min(F.struct("doc", "begin")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = windows.join(first, "window").where(F.struct("doc", "begin") > F.col("first"))
+    first = windows.groupBy("window").agg(F.min(F.struct("doc", "row", "begin")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = windows.join(first, "window").where(F.struct("doc", "row", "begin") > F.col("first"))
     return marks.unionByName(later.select("doc", "row", (F.shiftleft("begin", 15) + 1).alias("mark")))
 
 
@@ -319,8 +345,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     4. Spans of marked windows are merged and cut out of each document.
 
     Null or blank text has no words; under WINDOW words nothing goes. A null id counts as larger than all others.
-    Rows with one id are in no order: a window at one place of both stays in both, unless it starts earlier
-    elsewhere. An empty table gives no rows. Other columns are ignored.
+    Rows of one id follow each other in order of a hash of their texts; equal rows are one, and each gets its result. A very long
+    text is read whole, one at a time. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     rows = _keyed(docs, id_col, text_col)
     marks = written(repeats(rows), "marks")
