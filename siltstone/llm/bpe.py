@@ -13,7 +13,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .memo import Memo
+from .automaton import SuffixAutomaton
+from .memo import Memo, released
 
 #: Fixed value: how the vocabulary's format cuts text before the merges.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -36,7 +37,7 @@ class Uneven(Exception):
     """Spaces that aren't just one between words."""
 
 
-class SuffixAutomaton:
+class Suffixes(SuffixAutomaton):
     """Suffix automaton of a set of strings of bytes, and for each state the strings that end there.
 
     From a state and match length, an edge (or else the suffix links up to one) leads over the next byte to
@@ -44,13 +45,9 @@ class SuffixAutomaton:
     """
 
     def __init__(self, words: dict[bytes, int]):
-        self.link, self.length, edges = [-1], [0], [{}]
-        ends: list[int] = []
-        for word in words:
-            last = 0
-            for c in word:
-                last = self._extend(edges, last, c)
-            ends.append(last)
+        super().__init__()
+        ends = [self.add(word) for word in words]
+        edges = self.edges
         # the states of whole words; a state may hold several, its suffixes of other lengths
         own: list[list[tuple[int, int]]] = [[] for _ in edges]
         for (word, number), state in zip(words.items(), ends, strict=True):
@@ -66,37 +63,8 @@ class SuffixAutomaton:
         for state in order[1:]:
             above = self.ending[self.link[state]]
             self.ending[state] = (*own[state], *above) if own[state] else above
-        self.edges = {state << 8 | c: to for state, out in enumerate(edges) for c, to in out.items()}
-
-    def _extend(self, edges: list[dict[int, int]], last: int, c: int) -> int:
-        link, length = self.link, self.length
-        known = edges[last].get(c)
-        if known is not None:
-            return known if length[known] == length[last] + 1 else self._split(edges, last, c, known)
-        new = len(edges)
-        edges.append({})
-        link.append(0)
-        length.append(length[last] + 1)
-        at = last
-        while at >= 0 and c not in edges[at]:
-            edges[at][c] = new
-            at = link[at]
-        if at >= 0:
-            to = edges[at][c]
-            link[new] = to if length[to] == length[at] + 1 else self._split(edges, at, c, to)
-        return new
-
-    def _split(self, edges: list[dict[int, int]], at: int, c: int, to: int) -> int:
-        link, length = self.link, self.length
-        copy = len(edges)
-        edges.append(dict(edges[to]))
-        link.append(link[to])
-        length.append(length[at] + 1)
-        link[to] = copy
-        while at >= 0 and edges[at].get(c) == to:
-            edges[at][c] = copy
-            at = link[at]
-        return copy
+        self.edge_to = {state << 8 | c: to for state, out in enumerate(edges) for c, to in out.items()}
+        self.edges, self.first = [], []  # not needed any more
 
 
 class Encoder:
@@ -127,7 +95,7 @@ class Encoder:
                 self.parts[c], self.made[c] = (a, b), rank
         # a token whose own bytes encode to something else never comes out
         self.whole = {text: i for text, i in self.id_of.items() if self._merged(text) == [i]}
-        self.automaton = SuffixAutomaton(self.whole)
+        self.automaton = Suffixes(self.whole)
         self._fits: dict[int, bool] = {}
         self.words = Memo(self._after_space, remembered // 2)
         self.chunks = Memo(self._chunk, remembered // 8)
@@ -182,7 +150,7 @@ class Encoder:
         It is the one suffix of the prefix in the vocabulary that fits the last token of what is before it.
         The automaton lists those suffixes.
         """
-        edges, link, length = self.automaton.edges, self.automaton.link, self.automaton.length
+        edges, link, length = self.automaton.edge_to, self.automaton.link, self.automaton.length
         ending, known, fits = self.automaton.ending, self._fits.get, self.fits
         for end, c in enumerate(text, len(last)):
             to = edges.get(state << 8 | c)
@@ -283,7 +251,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     """doc_id, ids (array of int), decoded, n_tokens, ids_sha256, decoded_sha256 and the carried columns, row by row.
 
     No shuffle. Each worker holds the automaton of the vocabulary and two bounded memos of pieces.
-    Null text counts as empty and gives no ids. Repeated rows give repeated results, an empty table none.
+    Null text counts as empty and gives no ids. A very long text is encoded whole, one at a time. Repeated rows give repeated
+    results, an empty table none. Columns that aren't carried are ignored; a carried one may not have an output's name.
     """
     return _encoded(docs, vocabulary, id_col, text_col, carry, True)
 
@@ -298,6 +267,7 @@ def _encoded(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, carry
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     schema += ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * whole
 
+    @released
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(vocabulary)
         for batch in batches:

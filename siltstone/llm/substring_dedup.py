@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .automaton import SuffixAutomaton
 from .memo import Memo, released
 from .store import small_or_not, written
 from .words import words_of
@@ -63,47 +64,8 @@ def contexts(words: list[bytes], words_seen: Memo) -> tuple[np.ndarray, ...]:
     return short[place[low]], key, low, count
 
 
-class SuffixAutomaton:
-    """Of the strings given, in order; each state knows where the first of its strings' occurrences ends."""
-
-    def __init__(self):
-        self.edges, self.link, self.length, self.first = [{}], [-1], [0], [-1]
-
-    def add(self, string: list[int], start: int) -> None:
-        """`start`: number of the string's first place."""
-        edges, link, length, first = self.edges, self.link, self.length, self.first
-        last = 0
-        for place, c in enumerate(string, start):
-            known = edges[last].get(c)
-            if known is not None:
-                last = known if length[known] == length[last] + 1 else self._split(last, c, known)
-                continue
-            new = len(edges)
-            edges.append({})
-            link.append(0)
-            length.append(length[last] + 1)
-            first.append(place)
-            at = last
-            while at >= 0 and c not in edges[at]:
-                edges[at][c] = new
-                at = link[at]
-            if at >= 0:
-                to = edges[at][c]
-                link[new] = to if length[to] == length[at] + 1 else self._split(at, c, to)
-            last = new
-
-    def _split(self, at: int, c: int, to: int) -> int:
-        edges, link, length = self.edges, self.link, self.length
-        copy = len(edges)
-        edges.append(dict(edges[to]))
-        link.append(link[to])
-        length.append(length[at] + 1)
-        self.first.append(self.first[to])
-        link[to] = copy
-        while at >= 0 and edges[at].get(c) == to:
-            edges[at][c] = copy
-            at = link[at]
-        return copy
+class Statistics(SuffixAutomaton):
+    """What a string streamed through the automaton matches."""
 
     def first_ends(self, string: list[int], least: int) -> Iterator[tuple[int, int]]:
         """Streams a string: (its place, place where the last `least` items first end) wherever so many match."""
@@ -129,7 +91,7 @@ def shard_masks(rows: list[tuple[int, int, int, bytes]]) -> list[int]:
     order = sorted(range(len(rows)), key=lambda k: rows[k][:3])
     number: dict[bytes, int] = {}
     strings = [[number.setdefault(w, len(number)) for w in words.split(b" ")] for *_, words in rows]
-    automaton, starts, at = SuffixAutomaton(), [], 0
+    automaton, starts, at = Statistics(), [], 0
     for k in order:
         automaton.add(strings[k], at)
         starts.append(at)
