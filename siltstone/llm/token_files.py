@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import CUTS
-from .memo import Memo
+from .memo import Memo, released
 from .store import make_folder, new_path, opened, write_whole, written
 
 #: Fixed values of the seekable Zstandard format: skippable frames and the table's last four bytes.
@@ -215,12 +215,14 @@ def write_tokens(
     """Encode each text, append `end_id`, and write the ids in ascending order of id: uri, part, n_docs, n_tokens of each file.
 
     A range partition by id gives each task a stretch of documents, which it sorts, encodes and streams
-    into one file. Null text counts as empty; null ids come first; rows of equal id follow each other in order of their text.
-    An empty table gives no file with documents. Other columns are ignored.
+    into one file. Null text counts as empty; null ids come first; rows of equal id follow each other in order of a hash of their
+    text, by which many of them are dealt to several tasks. A very long text is a run of its own. An empty table gives no file with
+    documents. Other columns are ignored, whatever their names.
     """
     folder = folder or new_path(spark, "tokens")
     make_folder(folder)
 
+    @released
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = library_encoder(vocabulary)
         end = b"" if end_id is None else np.array([end_id], f"<u{codec.width}").tobytes()
@@ -231,22 +233,25 @@ def write_tokens(
             for batch in batches:
                 for part in runs(batch):
                     ids = part.column(0).to_pylist()
-                    least.extend(ids[:1] if not least else [])
+                    least.extend([] if least else [ids[0], part.column(2)[0].as_py()])
                     yield from zip(ids, (x + end for x in codec.encode_all(part.column(1).to_pylist())), strict=True)
 
         uri = write_whole(folder, "tokens.zst", lambda out: made.append(write_file(out, documents(), codec.width)))
         if made[0][0]:
-            yield pa.RecordBatch.from_pydict({"uri": [uri], "least": pa.array(least, pa.int64()), "n_docs": [made[0][0]], "n_tokens": [made[0][1]]})
+            yield pa.RecordBatch.from_pydict({"uri": [uri], "least": pa.array(least[:1], pa.int64()), "least_hash": pa.array(least[1:], pa.int64()), "n_docs": [made[0][0]], "n_tokens": [made[0][1]]})
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    files = written(ordered.mapInArrow(write, "uri string, least long, n_docs long, n_tokens long"), "token-files")
-    before = Window.orderBy(F.col("least").asc_nulls_first(), "uri").rowsBetween(Window.unboundedPreceding, -1)
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash")
+    files = written(ordered.mapInArrow(write, "uri string, least long, least_hash long, n_docs long, n_tokens long"), "token-files")
+    # one row a file
+    before = Window.orderBy(F.col("least").asc_nulls_first(), "least_hash", "uri").rowsBetween(Window.unboundedPreceding, -1)
     return written(files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))), "token-files")
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document of the files, from their frames."""
 
+    @released
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
