@@ -79,7 +79,7 @@ def levels(sized: DataFrame, sources: DataFrame, cap: float) -> DataFrame:
     return known
 
 
-def mix(
+def decisions(
     docs: DataFrame,
     weights: tuple[int, ...] = (5, 2, 1),
     share: float = 1.5,
@@ -90,7 +90,7 @@ def mix(
     source_col: str = "source",
     importance: Column | None = None,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken.
+    """doc_id, source, size, source_size, target, copies, taken of each row.
 
     Each document expects target / source_size copies, in proportion to its `importance` (1 by default, so all words of
     a source count alike) but `cap` at most, the excess going to the others of its source (`levels`). Whole copies are certain. The fraction left is the document's inclusion
@@ -102,8 +102,7 @@ def mix(
     BIN_ROWS documents, the bins are summed, and only the bin on the line is ordered row by row.
 
     Null text has size 0. A null source is a source of its own, last in order. Null ids are ranked as
-    an empty id. Rows with equal id tie and are taken in order of size, then as they come, as rows of one id and size
-    are alike here. A null importance is 1, one below 0 is 0; if a source's importances are all 0 nothing of it is taken. A very
+    an empty id. Rows with equal id tie and are ranked in order of size; those of equal id and size are taken alike. A null importance is 1, one below 0 is 0; if a source's importances are all 0 nothing of it is taken. A very
     long text is counted whole. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     equal = importance is None
@@ -161,18 +160,23 @@ def mix(
     )
     lines = small_or_not(written(lines, "lines"))
     placed = ranked.alias("r").join(lines.alias("l"), F.col("r.source").eqNullSafe(F.col("l.source")), "left").select("r.*", "line")
-    on_line = Window.partitionBy("source", "bin").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    # whole bins are decided by their number, so only the bins on the line are ever ordered
+    # whole bins are decided by their number, so only the bins on the line are ever ordered, rows of one id and size as one
     decided = placed.where(F.col("rank").isNull() | F.col("line").isNull() | (F.col("bin") != F.col("line.bin"))).withColumn(
         "extra", F.coalesce((F.col("bin") < F.col("line.bin")).cast("long"), F.lit(0).cast("long"))
     )
-    ordered = placed.where(F.col("rank").isNotNull() & (F.col("bin") == F.col("line.bin"))).withColumn(
-        "extra",
-        (F.col("line.start") + F.coalesce(F.sum("size").over(on_line), F.lit(0)) + F.col("size") / 2 <= F.col("line.rest")).cast("long"),
+    on_line = placed.where(F.col("rank").isNotNull() & (F.col("bin") == F.col("line.bin")))
+    order = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    tied = on_line.groupBy("source", "rank", "doc_id", "size", "line").agg((F.col("size") * F.count(F.lit(1))).alias("words"))
+    tied = tied.select(
+        F.col("source").alias("of"), F.col("doc_id").alias("id"), F.col("size").alias("long"),
+        (F.col("line.start") + F.coalesce(F.sum("words").over(order), F.lit(0)) + F.col("words") / 2 <= F.col("line.rest")).cast("long").alias("extra"),
     )
+    tied = small_or_not(written(tied, "tied"))
+    ordered = on_line.join(tied, F.col("source").eqNullSafe(F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("size") == F.col("long"))).drop("of", "id", "long")
     copies = F.col("whole") + F.col("extra")
     return decided.unionByName(ordered).select(
         "doc_id",
+        "source",
         "size",
         "source_size",
         "target",
@@ -181,6 +185,25 @@ def mix(
     )
 
 
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, size, source_size, target, copies, taken of each row, as `decisions` has them."""
+    return decisions(docs, **options).select("doc_id", "size", "source_size", "target", "copies", "taken")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """Each row of `docs`, with its columns, whatever their names, as often as the mix takes it; odd cases as in `decisions`.
+
+    Rows of one id, source and size are taken alike, so the decisions are joined by these, broadcast if few.
+    """
+    made = decisions(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("copies > 0")
+    made = made.groupBy(F.struct("doc_id", "source", "size").alias("key")).agg(F.first("copies").cast("int").alias("copies"))
+    made = small_or_not(written(made, "copies"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    key = F.struct(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")).alias("key")
+    taken = docs.select(row, key).alias("d").join(made.alias("m"), F.col("d.key").eqNullSafe(F.col("m.key")))
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
+
+
 #: The whole mix in DuckDB's SQL, for one importance: every document orders in one window there.
 MIX_SQL = """
 WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM {docs}),
@@ -198,7 +221,8 @@ e AS (SELECT s.doc_id, s.size, t.*, least(CASE WHEN source_size > 0 THEN target
 k AS (SELECT *, floor(expects)::BIGINT AS whole FROM e),
 q AS (SELECT *, CASE WHEN expects - whole > 0 THEN (u / (1 - u)) / ((expects - whole) / (1 - (expects - whole))) END AS rank,
       target - sum(size * whole) OVER (PARTITION BY source) AS rest FROM k),
-c AS (SELECT *, sum(size) OVER (PARTITION BY source, rank IS NULL ORDER BY rank, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM q),
-p AS (SELECT *, whole + CASE WHEN rank IS NOT NULL AND run - size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END AS copies FROM c)
+c AS (SELECT *, sum(size) OVER (PARTITION BY source, rank IS NULL ORDER BY rank, doc_id, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run,
+      sum(size) OVER (PARTITION BY source, rank, doc_id, size) AS alike FROM q),
+p AS (SELECT *, whole + CASE WHEN rank IS NOT NULL AND run - alike / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END AS copies FROM c)
 SELECT doc_id, size, source_size, target, copies::BIGINT AS copies, (copies * size)::BIGINT AS taken FROM p
 """
