@@ -11,37 +11,41 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import bpe, line_dedup, minhash, mixing, quality
 from siltstone.llm.queries import vocabulary
-from siltstone.llm.store import small_or_not, written
+from siltstone.llm.store import drop_tables, small_or_not, tables_made, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or their cell's estimate reject go."""
+    """Documents that the base rules or their cell's estimate reject go; null and blank texts are among them. Equal rows go or stay together."""
     return quality.filter_quality(docs)
 
 
 def clear_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on ten distinct sources or more go; every document stays, with n_chars of what is left."""
-    cleared = line_dedup.remove_boilerplate(docs)
-    return cleared.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Lines on ten distinct sources or more go; every document stays, with n_chars of what is left. Null texts stay null; a null source is none."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text", "source"))).alias("row")
+    cleared = line_dedup.remove_boilerplate(docs.select("doc_id", "text", "source", row))
+    own = {"doc_id", "text", "source"}
+    return cleared.select(
+        *(F.col(c) if c in own else F.length("text").cast("long").alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns)
+    )
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, that of smallest id: five-word shingles, a similarity of 0.8 or more."""
+    """One document of each class stays, that of smallest id: five-word shingles, a similarity of 0.8 or more.
+
+    Rows of null id, and of blank or null text, stay; rows of one id go or stay together.
+    """
     found = minhash.near_duplicates(docs, minhash.Plan(width=5, percent=80))
     gone = small_or_not(written(found.where(~F.col("kept")).select("doc_id").distinct(), "gone"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, from not at all to twice. A null id matches null ids."""
-    taken = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("mix_id")).agg(F.max("copies").cast("int").alias("mix_copies"))
-    taken = small_or_not(written(taken, "copies"))
-    copies = F.explode(F.sequence(F.lit(1), taken["mix_copies"])).alias("mix_copy")
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["mix_id"])).select(*(docs[c] for c in docs.columns), copies).drop("mix_copy")
+    """Each row as often as the mix takes it, from not at all to twice; rows of one id, source and size are taken alike. Null ids, sources and texts are as in the mix."""
+    return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row; null text has no ids. An empty table gives no rows, here and in every stage."""
     return bpe.digests(docs, vocabulary())
 
 
@@ -58,7 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages over `documents`, each written and reread; what a stage wrote for itself goes when its result stands."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
+        first = tables_made()
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_tables(first, tables_made() - 1)
+        if before is not None:
+            drop_tables(before, before + 1)
+        before = tables_made() - 1
     return STAGES[-1][1](spark, docs, sf_dir)
