@@ -10,7 +10,7 @@ import pytest
 
 import corpus_pipeline
 from siltstone.llm import mixing, queries
-from siltstone.llm.quality import CAPITALS, PUNCTUATION, SYMBOLS, chi2_cdf, chi2_quantile
+from siltstone.llm.quality import CAPITALS, PUNCTUATION, SYMBOLS, chi2_cdf, chi2_quantile, estimates
 from siltstone.llm.store import written
 
 FOLDER = "/root/testdata/sf0.01"
@@ -37,19 +37,25 @@ def squared(x, mean, inverse):
 
 
 def estimate(x):
-    """Centre, inverse scatter and rows of the nearest three quarters after six steps of concentration."""
-    scale = 0.75 / chi2_cdf(chi2_quantile(0.75, 6), 8)
-    mean = np.median(x, axis=0)
-    inverse = np.diag(1 / ((1.4826 * np.median(np.abs(x - mean), axis=0)) ** 2 + FLOORS**2))
-    for _ in range(6):
-        level = np.floor(np.log2(1 + squared(x, mean, inverse)) * 32)
-        near = x[level <= np.sort(level)[math.ceil(0.75 * len(x)) - 1]]
-        mean = near.mean(axis=0)
-        inverse = np.linalg.inv((near.T @ near / len(near) - np.outer(mean, mean)) * scale + np.diag(FLOORS**2))
-    return mean, inverse, len(near)
-
-
-def quality(rows):
+    """Centre, inverse scatter and log-determinant of the nearest three quarters: the best of random starts, by exact ranks."""
+    scale, h, rng, best = 0.75 / chi2_cdf(chi2_quantile(0.75, 6), 8), math.ceil(0.75 * len(x)), np.random.default_rng(1), None
+    for _ in range(12):
+        near = x[rng.choice(len(x), min(len(x), 20), replace=False)]
+        last = math.inf
+        while True:
+            mean, scatter = near.mean(axis=0), np.cov(near.T, bias=True) * scale + np.diag(FLOORS**2)
+            inverse, logdet = np.linalg.inv(scatter), np.linalg.slogdet(scatter)[1]
+            if len(near) == h and logdet > last - 1e-9:
+                break
+            last = logdet if len(near) == h else math.inf
+            near = x[np.argsort(squared(x, mean, inverse), kind="stable")[:h]]
+        if best is None or last < best[2]:
+            best = mean, inverse, last
+    return best
+
+
+def cells_of(rows):
+    """The rows that pass the base rules, their statistics, and which of them are judged by the estimate of which."""
     stats = [statistics(r["text"]) for r in rows]
     good = [k for k, (n, twice, _) in enumerate(stats) if n >= 50 and 100 * twice <= 50 * n]
     pairs = Counter((rows[k]["lang"], rows[k]["source"]) for k in good)
@@ -60,13 +66,20 @@ def quality(rows):
     for k in good:
         pair = (rows[k]["lang"], rows[k]["source"])
         cells[pair if pairs[pair] >= 100 else pair[:1] if pooled[pair[0]] >= 100 else ()].append(k)
+    return stats, good, cells
+
+
+def quality(rows):
+    """Far rows go. The cut lies where no row's distance is, so that two estimates must agree on the verdict but not on distances."""
+    stats, good, cells = cells_of(rows)
     kept = set()
-    for members in cells.values():
-        x = np.array([stats[k][2] for k in members])
-        mean, inverse, n = estimate(x)
-        words = np.array([stats[k][0] for k in members])
-        far = squared(x, mean, inverse) * words / (words + 40) > 100 if n >= 75 else np.zeros(len(members), bool)
-        kept |= {k for k, f in zip(members, far, strict=True) if not f}
+    for name, members in cells.items():
+        mean, inverse, _ = estimate(np.array([stats[k][2] for k in (members if name else good)]))
+        x, words = np.array([stats[k][2] for k in members]), np.array([stats[k][0] for k in members])
+        far = squared(x, mean, inverse) * words / (words + 40)
+        cut = chi2_quantile(1 - 1e-12, 6)
+        assert not ((far > 0.8 * cut) & (far < 1.25 * cut)).any()
+        kept |= {k for k, f in zip(members, far > cut, strict=True) if not f}
     return [rows[k] for k in sorted(kept)]
 
 
@@ -147,18 +160,33 @@ def test_stages(spark, folder):
     same([r.asDict() for r in corpus_pipeline.run(spark, folder).collect()], got)
 
 
+def test_estimates_reach_the_smallest_determinant(spark):
+    """Of each cell, the operator's determinant is about that of the best of many random starts by exact ranks."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    rows = [r.asDict() for r in docs.collect()]
+    stats, good, cells = cells_of(rows)
+    groups = {str(name): good if not name else members for name, members in cells.items()} | {"()": good}
+    points = [(name, *map(float, stats[k][2])) for name, members in groups.items() for k in members]
+    got = {r.cell: r.logdet for r in estimates(spark.createDataFrame(points, "cell string, " + ", ".join(f"x{k} double" for k in range(6)))).collect()}
+    assert got.keys() == groups.keys()
+    for name, members in groups.items():
+        assert got[name] <= estimate(np.array([stats[k][2] for k in members]))[2] + 0.15, name
+
+
 def test_odd_and_empty_documents(spark, tmp_path):
     """Null ids, texts, languages and sources, repeated rows, blank texts and columns named as inner ones pass every stage."""
     body = lambda k: " ".join(f"w{k}x{j}" for j in range(80))
     rows = [(None, body(0), "en", "a"), (1, body(1), None, None), (2, None, None, "a"), (3, "", "en", "b"), (4, " \n ", "en", "b"), (5, body(5), "de", "b"), (6, body(5), "de", "b"), (7, body(7), "en", "a"), (7, body(7), "en", "a")]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, copies string, key string, kept string"
-    odd = spark.createDataFrame([(*r, None, "c", "k", None) for r in rows], schema)
+    inner = ["copies", "key", "kept", "row", "id", "bad_id", "mix_copy", "copy", "cut_pos", "n_lines", "n_removed", "size", "u", "rank", "bin", "line", "cell", "a", "b"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in inner)
+    odd = spark.createDataFrame([(*r, None, *inner) for r in rows], schema)
     for name, docs in (("odd", odd), ("none", odd.where("false"))):
         docs.write.parquet(str(tmp_path / name / "documents.parquet"))
         docs = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
         for stage, (_, function) in enumerate(corpus_pipeline.STAGES[:-1]):
             before, docs = docs, written(function(spark, docs, str(tmp_path / name)), "stage")
             assert docs.columns == before.columns
+            assert all(r[c] == c for r in docs.collect() for c in inner)
             if name == "odd" and stage < 3:
                 assert sorted(str(r.doc_id) for r in docs.collect()) == [["1", "5", "6", "7", "7", "None"], ["1", "5", "6", "7", "7", "None"], ["1", "5", "7", "7", "None"]][stage]
         assert (corpus_pipeline.run(spark, str(tmp_path / name)).count() > 0) == (name == "odd")
