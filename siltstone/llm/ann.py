@@ -14,7 +14,7 @@ from .memo import released
 from .store import small_or_not, written
 
 #: Rows that the codebooks are fitted on, about; dimensions of a subspace; centres of a subspace (four bits).
-SAMPLE, WIDTH, CENTRES = 20_000, 2, 16
+SAMPLE, WIDTH, CENTRES = 20_000, 1, 16
 #: Rows of a shard of codes, and queries of a block; one is scanned against the other.
 SHARD, QUERIES = 16_384, 256
 #: Queries of a wave, and bytes of its vectors, about: what the driver and each worker hold of the queries at once.
@@ -67,7 +67,7 @@ def assign(x: np.ndarray, books: Codebooks, rounds: int = 3) -> np.ndarray:
     return codes.astype(np.uint8)
 
 
-def fit(sample: np.ndarray, least: float = 0.2, rounds: int = 8, seed: int = 5) -> Codebooks:
+def fit(sample: np.ndarray, least: float = 0.2, rounds: int = 5, seed: int = 5) -> Codebooks:
     """Codebooks for rows of any norm, fitted on their directions: k-means per subspace, then rounds of anisotropic
     assignment and of the centres that minimise its loss, by least squares with the parallel term."""
     x = unit(sample.astype(np.float64))
@@ -76,31 +76,25 @@ def fit(sample: np.ndarray, least: float = 0.2, rounds: int = 8, seed: int = 5)
     rng = np.random.default_rng(seed)
     parts = x.reshape(n, m, WIDTH)
     centres = np.stack([parts[rng.choice(n, CENTRES, n < CENTRES), s] for s in range(m)])
-    for _ in range(rounds):
-        codes = assign(x, Codebooks(centres, 1.0), 0)
-        for s in range(m):
-            for c in range(CENTRES):
-                if (own := codes[:, s] == c).any():
-                    centres[s, c] = parts[own, s].mean(0)
     weight = anisotropic_weight(x.shape[1], least)
-    books = Codebooks(centres, weight)
-    for _ in range(rounds):
-        codes = assign(x, books)
-        centres = books.centres.copy()
-        residual = x.reshape(n, m, WIDTH) - centres[np.arange(m), codes]
-        total = (residual * parts).sum((1, 2))
-        for s in range(m):
-            rest = total - (residual[:, s] * parts[:, s]).sum(1)
-            for c in range(CENTRES):
-                own = codes[:, s] == c
-                if own.any():
-                    y = parts[own, s]
-                    # minimise sum |y - v|^2 + (weight - 1) (rest + y.(y - v))^2 over v
-                    left = own.sum() * np.eye(WIDTH) + (weight - 1) * y.T @ y
-                    right = y.sum(0) + (weight - 1) * y.T @ (rest[own] + (y * y).sum(1))
-                    centres[s, c] = np.linalg.solve(left + 1e-9 * np.eye(WIDTH), right)
-        books = Codebooks(centres, weight)
-    return books
+    for k in range(2 * rounds):
+        w = weight if k >= rounds else 1.0
+        codes = assign(x, Codebooks(centres, w), 2 if w > 1 else 0)
+        own = (codes + np.arange(m, dtype=np.int64) * CENTRES).ravel()
+        total_of = lambda values: np.bincount(own, values.ravel(), m * CENTRES)  # noqa: B023, E731
+        along = ((parts - centres[np.arange(m), codes]) * parts).sum(2)
+        rest = along.sum(1, keepdims=True) - along + (parts**2).sum(2)
+        # minimise sum |y - v|^2 + (w - 1) (rest + y.(y - v))^2 over v, for each subspace and centre
+        count = np.bincount(own, minlength=m * CENTRES)
+        left = np.empty((m * CENTRES, WIDTH, WIDTH))
+        right = np.empty((m * CENTRES, WIDTH))
+        for i in range(WIDTH):
+            right[:, i] = total_of(parts[:, :, i]) + (w - 1) * total_of(parts[:, :, i] * rest)
+            for j in range(WIDTH):
+                left[:, i, j] = (count + 1e-9) * (i == j) + (w - 1) * total_of(parts[:, :, i] * parts[:, :, j])
+        found = np.linalg.solve(left, right[:, :, None])[:, :, 0].reshape(m, CENTRES, WIDTH)
+        centres = np.where((count > 0).reshape(m, CENTRES, 1), found, centres)
+    return Codebooks(centres, weight)
 
 
 def usable(vector: Column) -> Column:
