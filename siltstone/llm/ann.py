@@ -198,7 +198,7 @@ def search(
     is answered once. A query whose id has several vectors asks with the one of least hash. With fewer candidates
     than `k` all come; an empty table gives no rows. Other columns are ignored, whatever their names.
     """
-    spark = vectors.sparkSession
+    spark, rerank = vectors.sparkSession, max(rerank, k + 1)  # a query's own vector takes a place
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vector_col).cast("array<double>"), lambda x: x + F.lit(0.0)).alias("vector"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).select("*", F.xxhash64(F.lit(1), "vector").alias("h1"), F.xxhash64(F.lit(2), "vector").alias("h2"))
     rows = written(rows.dropDuplicates(["vec_id", "h1", "h2"]), "vectors")
