@@ -1,0 +1,132 @@
+"""Named queries on test runs, converted estates, paths and names; their SQL or expected rows are written on their own."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import names
+from ..operators import tester
+from ..sources.tables import table
+from .measured import Query, Rows
+
+RUNS = Rows("run, start_url", "('r1', 'https://a.test/'), ('r2', 'https://b.test/'), ('r3', 'https://c.test/')")
+RUN_PAGES = Rows(
+    "run, path, load_ms, bare_forms, bare_controls, images_without_alt, has_h1, has_landmark",
+    "('r1', '/', 18, 0, 0, 0, true, true), ('r1', '/slow', 3001, 1, 1, 2, true, true), ('r1', '/slower', 9001, 2, 5, 1, false, true), ('r1', '/exact', 3000, 0, 1, 0, true, false), ('r1', '/verge', 9000, 0, 3, 0, true, true), ('r3', '/', 1201, 0, 0, 0, false, false)",
+)
+BROKEN = Rows("run, url, status, error, referrer", "('r1', 'https://a.test/x', 404, null, '/'), ('r1', 'https://a.test/y', 503, null, '/slow'), ('r1', 'https://a.test/z', 0, 'net::ERR', '/'), ('r2', 'https://b.test/', 0, null, 'start')")
+ERRORS = Rows("run, path, n, message", "('r1', '/', 1, 'one'), ('r1', '/slow', 1, 'a'), ('r1', '/slow', 4, 'd'), ('r1', '/slow', 3, 'c'), ('r1', '/slow', 2, 'b')")
+REQUESTS = Rows("run, path, n, status, method, url", "('r1', '/', 1, 404, 'GET', '/p.png'), ('r1', '/slow', 1, 404, 'GET', '/q'), ('r1', '/slow', 2, 500, 'POST', '/r')")
+ELEMENTS = Rows("run, path, n, confidence", "('r1', '/', 1, 'high'), ('r1', '/', 2, 'low'), ('r1', '/slow', 1, 'low'), ('r1', '/slow', 2, 'medium'), ('r1', '/slow', 3, 'high'), ('r3', '/', 1, 'low')")
+
+WEAK = Rows("estate, strategy, value, confidence", "('e', 'xpath', '//div[3]/a', 0.3), ('e', 'css', '.c', 0.4), ('f', 'css', '#' || repeat('x', 100), 0.59)")
+TODOS = Rows("estate, raw", "('e', 'driver.magic()'), ('f', repeat('y', 81))")
+WAITS = Rows("estate, raw", "('e', 'Thread.sleep(500);')")
+UNTESTED = Rows("estate, test", "('e', 'logs in'), ('f', 'opens')")
+PLACES = Rows("estate, strategy, value, file", "('e', 'id', 'user', 'A.java'), ('e', 'id', 'user', 'B.java'), ('e', 'id', 'user', 'B.java'), ('e', 'id', 'pass', 'A.java'), ('f', 'css', repeat('z', 70), 'a.py'), ('f', 'css', repeat('z', 70), 'b.py')")
+
+# path, whether it may hold credentials, whether it is of a test: by the definitions of these kinds
+PATHS = [
+    ("a/.env", True, False), ("a/.env.local", True, False), (".env.example", False, False), ("prod.env", True, False), ("deploy/Server.PEM", True, False), ("credentials", True, False), ("secrets.yaml", True, False),
+    ("service-account-1.json", True, False), ("serviceaccount.json", True, False), ("home/.npmrc", True, False), ("src/secretary.ts", False, False), ("src/env.ts", False, False), ("tests/a.ts", False, True),
+    ("src/__tests__/b.js", False, True), ("src/a.test.tsx", False, True), ("src/a.spec.mjs", False, True), ("pkg/test_a.py", False, True), ("pkg/a_test.go", False, True), ("latest/a.ts", False, False), ("e2e/.env.sample", False, True),
+]
+# glob, path, whether it matches
+GLOBS = [
+    ("**/*.java", "A.java", True), ("**/*.java", "x/y/A.java", True), ("*.java", "x/A.java", False), ("src/**", "src/a/b", True), ("a?.ts", "ab.ts", True), ("a?.ts", "a/.ts", False), ("*.{ts,js}", "a.js", True),
+    ("*.{ts,js}", "a.jsx", False), ("a.b", "axb", False), ("x/**/y", "x/y", True), ("x/**/y", "x/1/2/y", True), ("(a)+[b]", "(a)+[b]", True), ("**", "any/thing", True), ("*", "", True),
+]
+# text, the totals of a runner's summary
+OUTPUTS = [
+    ("# tests 9\n# pass 6\n# fail 1\n# skipped 1\n# todo 1", "node:test", 6, 1, 2, 9), ("ℹ pass 4\nℹ fail 0", "node:test", 4, 0, 0, 4), (" Test Files  1 passed (1)\n      Tests  2 failed | 5 passed | 1 skipped (8)", "vitest", 5, 2, 1, 8),
+    ("Tests:       1 failed, 2 skipped, 7 passed, 10 total", "jest", 7, 1, 2, 10), ("==== 3 passed, 1 failed, 2 skipped in 0.12s ====", "pytest", 3, 1, 2, 6), ("  2 failed\n  1 skipped\n  5 passed (3.1s)", "playwright", 5, 2, 1, 8), ("nothing here", None, None, None, None, None),
+]
+
+
+def run_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tester.run_findings(*(t.frame(spark) for t in (RUNS, RUN_PAGES, BROKEN, ERRORS, REQUESTS, ELEMENTS)))
+
+
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tester.run_summary(RUN_PAGES.frame(spark), ELEMENTS.frame(spark))
+
+
+def estate_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tester.estate_findings(*(t.frame(spark) for t in (WEAK, TODOS, WAITS, UNTESTED, PLACES)))
+
+
+def path_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.col("path")
+    return spark.createDataFrame([(p,) for p, *_ in PATHS], "path string").select("path", names.secret_like(path).alias("secret_like"), names.test_path(path).alias("test"))
+
+
+def glob_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(g, p) for g, p, _ in GLOBS], "pattern string, path string")
+    return rows.select("pattern", "path", F.rlike("path", names.glob_regex(F.col("pattern"))).alias("matches"))
+
+
+def test_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(t,) for t, *_ in OUTPUTS], "output string")
+    return rows.select("output", names.test_totals(F.col("output")).alias("t")).select("output", "t.*")
+
+
+def page_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of all pages from their addresses: class of the path, slug, property name and collapsed text, and what ids of the like would be taken for."""
+    url = F.coalesce("url", F.lit(""))
+    path = F.regexp_extract(url, "^[a-z]+://[^/?#]*(.*)$", 1)
+    last = F.regexp_extract(path, "([^/?#]*)/?([?#].*)?$", 1)
+    return table(spark, sf_dir, "pages").select(
+        "page_id", names.page_class(path).alias("class_name"), names.slug(url).alias("slug"), names.camel_case(last).alias("property"),
+        names.collapsed(F.translate(path, "/-", "  ")).alias("words"), last.rlike(names.TEST_ID).alias("test_id"), last.rlike(names.GENERATED_ID).alias("generated"),
+    )
+
+
+def _text(value) -> str:
+    return "null" if value is None else str(value).lower() if isinstance(value, bool | int) else "'" + str(value).replace("'", "''") + "'"
+
+
+def _rows(columns: str, rows: list[tuple]) -> str:
+    return f"select * from (values {', '.join('(' + ', '.join(map(_text, r)) + ')' for r in rows)}) t({columns})"
+
+
+_PASCAL = "array_to_string(list_transform(list_filter(regexp_split_to_array({0}, '[^A-Za-z0-9]+'), lambda w: w <> ''), lambda w: upper(w[1]) || w[2:]), '')"
+_PLURAL = "case when {0} = 1 then '' else 's' end"
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (run_findings, run_summary, estate_findings, path_kinds, glob_matches, test_totals, page_names)}
+
+ORACLE_SQL: dict[str, str] = {
+    "run_findings": f"""
+with p as (select * from {RUN_PAGES.sql}), b as (select * from {BROKEN.sql}), e as (select * from {ERRORS.sql}), q as (select * from {REQUESTS.sql}), l as (select * from {ELEMENTS.sql})
+select run, 'high' as severity, 'navigation' as category, 'Navigation failed: ' || url as title, coalesce(error, 'unknown error') || ' (linked from ' || referrer || ')' as detail from b where status = 0
+union all select run, case when status < 500 then 'medium' else 'high' end, 'broken-link', 'Broken link (' || status || '): ' || url, 'Linked from ' || referrer from b where status <> 0
+union all select run, 'medium', 'console-error', count(*) || ' console error' || {_PLURAL.format('count(*)')} || ' on ' || path, array_to_string(list(message order by n)[1:3], ' | ') from e group by run, path
+union all select run, case when max(status) >= 500 then 'medium' else 'low' end, 'failed-request', count(*) || ' failed network request' || {_PLURAL.format('count(*)')} || ' on ' || path, array_to_string(list(status || ' ' || method || ' ' || url order by n)[1:3], ' | ') from q group by run, path
+union all select run, case when load_ms > 9000 then 'high' else 'medium' end, 'performance', 'Slow page load (' || load_ms || ' ms) on ' || path, 'Threshold is 3000 ms' from p where load_ms > 3000
+union all select run, 'medium', 'accessibility', bare_forms || ' form' || {_PLURAL.format('bare_forms')} || ' with unlabeled controls on ' || path, bare_controls || ' control' || {_PLURAL.format('bare_controls')} || ' lack a <label>, aria-label or placeholder; screen readers and getByLabel() cannot target them' from p where bare_forms > 0
+union all select run, 'low', 'accessibility', bare_controls || ' unlabeled form control' || {_PLURAL.format('bare_controls')} || ' outside a form on ' || path, null from p where bare_forms = 0 and bare_controls > 0
+union all select run, 'low', 'accessibility', images_without_alt || ' image' || {_PLURAL.format('images_without_alt')} || ' without alt text on ' || path, 'Add alt="" for decorative images or a description for meaningful ones' from p where images_without_alt > 0
+union all select run, 'low', 'structure', 'No <h1> on ' || path, 'Every page should have exactly one level-1 heading; the smoke test cannot assert on a heading until one exists' from p where not has_h1
+union all select run, 'low', 'accessibility', 'No landmark regions on ' || path, 'Add <main>, <nav>, <header> or <footer> (or the equivalent roles) so assistive tech can navigate by region' from p where not has_landmark
+union all select run, 'info', 'testability', count(*) filter (confidence = 'low') || '/' || count(*) || ' interactive elements on ' || path || ' lack an accessible name or test id', 'Page-object locators fell back to CSS; add accessible names or data-testid attributes' from l group by run, path having 2 * count(*) filter (confidence = 'low') >= count(*)
+union all select run, 'critical', 'navigation', 'No page could be rendered', 'The start URL ' || start_url || ' did not produce a renderable page; check the URL, network access and authentication' from {RUNS.sql} where run not in (select run from p)""",
+    "run_summary": f"select run, count(*) as pages, count(*) filter (load_ms > 3000) as slow, floor(avg(load_ms) + 0.5)::bigint as avg_ms, coalesce(any_value(k), 0) as locators from {RUN_PAGES.sql} left join (select run, count(*) as k from {ELEMENTS.sql} group by 1) using (run) group by 1",
+    "estate_findings": f"""
+select estate, case when confidence < 0.4 then 'high' else 'medium' end as severity, 'locator' as category, 'Brittle locator (' || strategy || '): ' || left(value, 80) as title from {WEAK.sql}
+union all select estate, 'medium', 'conversion', 'Unconvertible: ' || left(raw, 80) from {TODOS.sql}
+union all select estate, 'low', 'flakiness', 'Hard wait removed: ' || left(raw, 80) from {WAITS.sql}
+union all select estate, 'low', 'quality', 'Test without assertion: ' || test from {UNTESTED.sql}
+union all select estate, 'low', 'duplication', 'Locator duplicated in ' || count(distinct file) || ' files: ' || strategy || '=' || left(value, 60) from {PLACES.sql} group by estate, strategy, value having count(distinct file) > 1""",
+    "path_kinds": _rows("path, secret_like, test", PATHS),
+    "glob_matches": _rows("pattern, path, matches", GLOBS),
+    "test_totals": _rows("output, format, passed, failed, skipped, total", OUTPUTS),
+    "page_names": f"""
+with u as (select page_id, coalesce(url, '') as url, regexp_extract(coalesce(url, ''), '^[a-z]+://[^/?#]*(.*)$', 1) as path from pages),
+x as (select *, regexp_extract(path, '([^/?#]*)/?([?#].*)?$', 1) as last, {_PASCAL.format("regexp_replace(regexp_extract(path, '^[^?#]*'), '(?i)\\.[a-z0-9]+$', '')")} as made from u),
+y as (select *, {_PASCAL.format('last')} as property_of, trim(regexp_replace(translate(path, '/-', '  '), '\\s+', ' ', 'g')) as spaced,
+  left(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 60) as slugged from x)
+select page_id, case when regexp_matches(made, '^[0-9]') then 'Page' else '' end || case when made = '' then 'Home' else made end || 'Page' as class_name, case when slugged = '' then 'app' else slugged end as slug,
+  lower(property_of[1]) || property_of[2:] as property, case when spaced <> '' then trim(left(spaced, 80)) end as words,
+  regexp_matches(last, '(?i)^(test|qa|e2e|tid|testid|data-test|cy)[-_:]|[-_](test|testid|qa)$') as test_id,
+  regexp_matches(last, '(?i)^:|^(ember|react|mui|css|sc|jss|svelte|chakra|radix)[-_]?[a-z0-9]{{3,}}$|^[a-f0-9]{{8,}}$|[0-9]{{4,}}') as generated from y""",
+}
