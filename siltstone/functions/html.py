@@ -18,8 +18,10 @@ LANG = r"(?is)<html[^>]*\slang=.?([A-Za-z-]+)"
 HREF = r"(?is)<a\s[^>]*?href=.([^<>\s\x22\x27]*)"
 HOST = r"^[A-Za-z]+://([^/?#:]+)"
 PATH = r"^[A-Za-z]+://[^/?#]+([^?#]*)"
-CANONICAL = r"(?is)<link[^>]+rel=.?canonical[^>]*href=.([^<>\s\x22\x27]*)"
-DESCRIPTION = r"(?is)<meta[^>]+name=.?description[^>]*content=\x22([^\x22]*)"
+#: A tag by one of its attributes, wherever that stands, and the value of another, in any quoting (one of three groups).
+CANONICAL_TAG = r"(?is)<link\b[^>]*\srel=[\x22\x27]?canonical\b[^>]*"
+DESCRIPTION_TAG = r"(?is)<meta\b[^>]*\sname=[\x22\x27]?description\b[^>]*"
+VALUE = r"\s*=\s*(?:\x22([^\x22]*)|\x27([^\x27]*)|([^\s\x22\x27>]+))"
 COUNTS = {
     "n_h1": r"(?is)<h1[\s>]",
     "n_images": r"(?is)<img[\s>]",
@@ -32,10 +34,10 @@ FLAGS = {
     "has_description": r"(?is)<meta[^>]+name=.?description",
     "has_canonical": r"(?is)<link[^>]+rel=.?canonical",
     "has_viewport": r"(?is)<meta[^>]+name=.?viewport",
-    "has_og": r"(?is)<meta[^>]+property=.?og:title",
+    "has_og": r"(?is)<meta[^>]+property=.?og:title.*<meta[^>]+property=.?og:image|<meta[^>]+property=.?og:image.*<meta[^>]+property=.?og:title",
     "has_icon": r"(?is)<link[^>]+rel=.?(?:shortcut )?icon",
-    "noindex": r"(?is)<meta[^>]+name=.?robots[^>]+noindex",
-    "nosnippet": r"(?is)<meta[^>]+name=.?robots[^>]+(?:nosnippet|max-snippet:\s*0)",
+    "noindex": r"(?is)<meta[^>]+name=.?robots[^>]+noindex|<meta[^>]+noindex[^>]+name=.?robots",
+    "nosnippet": r"(?is)<meta[^>]+name=.?robots[^>]+(?:nosnippet|max-snippet:\s*0)|<meta[^>]+(?:nosnippet|max-snippet:\s*0)[^>]+name=.?robots",
     "builder_signs": r"(?i)lovable-badge|Edit with Lovable|lovable\.dev/projects|cdn\.gpteng\.co|gptengineer\.js|Made (?:in|with) Bolt|bolt\.new|v0\.dev/chat|Built with v0|href=./vite\.svg|You need to enable JavaScript to run this app\.",
 }
 
@@ -44,6 +46,11 @@ FLAGS = {
 PLACEHOLDER = "|".join(f"(?:{p})" for p in PLACEHOLDERS.values())
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute; empty if it has none."""
+    return F.concat(*(F.regexp_extract(tag, rf"(?is)\s{name}{VALUE}", k) for k in (1, 2, 3)))
+
+
 def visible_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, " "), TAG, " "), ENTITY, " ")
 
@@ -71,9 +78,9 @@ def page_view(pages: DataFrame) -> DataFrame:
         path_of(F.col("url")).alias("path"),
         F.trim(F.regexp_extract(html, TITLE, 1)).alias("title"),
         F.lower(F.regexp_extract(html, LANG, 1)).alias("lang"),
-        F.trim(F.regexp_extract(html, DESCRIPTION, 1)).alias("description"),
-        F.regexp_extract(html, CANONICAL, 1).alias("canonical"),
-        host_of(F.regexp_extract(html, CANONICAL, 1)).alias("canonical_host"),
+        F.trim(attribute(F.regexp_extract(html, DESCRIPTION_TAG, 0), "content")).alias("description"),
+        attribute(F.regexp_extract(html, CANONICAL_TAG, 0), "href").alias("canonical"),
+        host_of(attribute(F.regexp_extract(html, CANONICAL_TAG, 0), "href")).alias("canonical_host"),
         words_in_html(html).alias("words"),
         F.coalesce(F.startswith(F.lower("url"), F.lit("https:")), F.lit(False)).alias("https"),
         F.coalesce(urls.staging(F.col("url")), F.lit(False)).alias("staging"),

@@ -35,6 +35,7 @@ SECRETS = {
 }
 # A JWT of this role counts; other roles (anon) are expected in public.
 JWT = r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"
+ANY_SECRET = "|".join(f"(?:{p})" for p in [*(pattern for _, pattern in SECRETS.values()), JWT])
 SERVICE_ROLE = ("Supabase service_role key", "critical", "service_role")
 
 

@@ -49,16 +49,18 @@ def _kept(df: DataFrame) -> DataFrame:
     """`df` in the checkpoint folder; a folder of our own where none is set, as in tests."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") and not df.sparkSession.conf.get("spark.checkpoint.dir", None):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-"))
     return df.checkpoint()
 
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """node, depth: nodes within so many steps of the starts (node), with the least number of steps. One join a level."""
-    seen = starts.select("node").distinct().withColumn("depth", F.lit(0))
+    """node, depth: nodes within so many steps of the starts (node), with the least number of steps. One join and one written frontier a level."""
+    edges, seen = _kept(edges.select("src", "dst")), _kept(starts.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for level in range(1, depth + 1):
         step = edges.join(frontier, edges["src"] == frontier["node"]).select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen, "node", "left_anti").withColumn("depth", F.lit(level))
+        frontier = _kept(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(level)))
         seen = seen.unionByName(frontier)
     return seen

@@ -48,7 +48,8 @@ def buzzword_hits(docs: DataFrame) -> DataFrame:
 
 
 def secret_hits(docs: DataFrame) -> DataFrame:
-    found = docs.select("doc_id", F.inline(text.secrets(F.col("text"))))
+    # one pass tells which texts have any credential's shape; few do
+    found = docs.where(F.col("text").rlike(text.ANY_SECRET)).select("doc_id", F.inline(text.secrets(F.col("text"))))
     return found.select("doc_id", "kind", "severity", text.redact(F.col("value")).alias("preview"))
 
 
@@ -134,11 +135,17 @@ _BODY = "coalesce(html, '')"
 _VISIBLE = f"regexp_replace(regexp_replace(regexp_replace({_BODY}, '{html.HIDDEN}', ' ', 'g'), '{html.TAG}', ' ', 'g'), '{html.ENTITY}', ' ', 'g')"
 _HOST = f"lower(regexp_extract(url, '{html.HOST}', 1))"
 _PATH = f"case when regexp_extract(url, '{html.PATH}', 1) = '' then '/' else regexp_extract(url, '{html.PATH}', 1) end"
-_CANONICAL = f"regexp_extract({_BODY}, '{html.CANONICAL}', 1)"
+# in either order of the attributes: the first of the patterns that finds one
+_EITHER = "coalesce(" + ", ".join(
+    "nullif(regexp_extract({body}, '(?is)<{tag}\\b" + order.replace("V", f"=\\s*{quote}") + "', 1), '')"
+    for quote in ("\\x22([^\\x22]*)", "\\x27([^\\x27]*)", "([^\\s\\x22\\x27>]+)") for order in ("[^>]*\\s{key}\\b[^>]*\\s{name}\\s*V", "[^>]*\\s{name}\\s*V[^>]*\\s{key}\\b")
+) + ", '')"
+_CANONICAL = _EITHER.format(body=_BODY, tag="link", key="rel=[\\x22\\x27]?canonical", name="href")
+_DESCRIPTION = _EITHER.format(body=_BODY, tag="meta", key="name=[\\x22\\x27]?description", name="content")
 _SERVER = f"regexp_replace(regexp_extract(url, '{urls.HOST_PORT}', 1), ':\\d+$', '')"
 _VIEW = (
     f"select page_id, {_HOST} as host, {_PATH} as path, trim(regexp_extract({_BODY}, '{html.TITLE}', 1)) as title, lower(regexp_extract({_BODY}, '{html.LANG}', 1)) as lang, "
-    + f"trim(regexp_extract({_BODY}, '{html.DESCRIPTION}', 1)) as description, {_CANONICAL} as canonical, lower(regexp_extract({_CANONICAL}, '{html.HOST}', 1)) as canonical_host, "
+    + f"trim({_DESCRIPTION}) as description, {_CANONICAL} as canonical, lower(regexp_extract({_CANONICAL}, '{html.HOST}', 1)) as canonical_host, "
     + f"{_count(_VISIBLE, html.TOKEN)} as words, coalesce(starts_with(lower(url), 'https:'), false) as https, "
     + "coalesce(" + " or ".join(f"regexp_matches({_SERVER}, '{p}')" for p in (urls.LOCAL, urls.STAGE, urls.PREVIEW)) + ", false) as staging, "
     + f"coalesce(regexp_matches({_PATH}, '{urls.PRIVATE}'), false) as private, regexp_matches({_VISIBLE}, '{html.PLACEHOLDER}') as placeholders, "

@@ -106,3 +106,30 @@ def test_pages_are_read_whole(spark):
         want = duck.sql(catalogue.ORACLE_SQL[name])
         assert sorted(frame.columns) == sorted(want.columns)
         assert sorted(map(repr, frame.select(*want.columns).collect())) == sorted(map(repr, frame.sparkSession.createDataFrame(want.fetchall(), frame.select(*want.columns).schema).collect()))
+
+
+def test_attributes_in_any_order_and_quoting(spark):
+    from siltstone.functions import html
+
+    rows = [
+        ("<link rel=\"canonical\" href=\"https://a.test/1\"><meta name='description' content='it\"s one'>", "https://a.test/1", 'it"s one'),
+        ("<link href='https://a.test/2' rel=canonical><meta content=\" two \" name=\"description\">", "https://a.test/2", "two"),
+        ("<LINK HREF=https://a.test/3 REL='canonical'/><meta property=description content=x>", "https://a.test/3", ""),
+        ("<link rel=icon href=/i.ico><p>", "", ""),
+        (None, "", ""),
+    ]
+    pages = spark.createDataFrame([(k, "https://a.test/", h) for k, (h, _, _) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: (r.canonical, r.description) for r in html.page_view(pages).collect()}
+    assert got == {k: (c, d) for k, (_, c, d) in enumerate(rows)}
+
+
+def test_run_findings_of_empty_tables(spark):
+    """A run without pages is one critical finding; nothing else comes of empty tables."""
+    from siltstone.operators import tester
+    from siltstone.plans import findings
+
+    tables = [t.frame(spark) for t in (findings.RUNS, findings.RUN_PAGES, findings.BROKEN, findings.ERRORS, findings.REQUESTS, findings.ELEMENTS)]
+    none = [t.where("false") for t in tables[1:]]
+    got = tester.run_findings(tables[0], *none).collect()
+    assert sorted((r.run, r.severity, r.category) for r in got) == [(f"r{k}", "critical", "navigation") for k in (1, 2, 3)]
+    assert tester.run_findings(tables[0].where("false"), *none).count() == 0
