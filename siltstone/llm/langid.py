@@ -107,10 +107,13 @@ def _frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
 def sampled(usable: DataFrame, per_lang: int) -> DataFrame:
     """lang, text: of each language the `per_lang` distinct texts of least hash, or all if it has fewer.
 
-    The rank is cut before the shuffle too, so a language or a text of any number of rows sends at most `per_lang` hashes a task.
+    Only the part of the hashes' range that holds about four times as many of the language's distinct texts is ranked, so neither a
+    language nor a text of any number of rows fills a task.
     """
-    keys = usable.select("lang", F.xxhash64("text").alias("hash")).distinct()
-    least = keys.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).where(F.col("place") <= per_lang)
+    keys = written(usable.select("lang", F.xxhash64("text").alias("hash")).distinct(), "keys")
+    shares = keys.groupBy("lang").agg((F.lit(4.0 * per_lang) / F.count(F.lit(1))).alias("share"))
+    low = keys.join(small_or_not(written(shares, "shares")), "lang").where(F.col("hash").cast("double") / 2.0**64 + 0.5 <= F.col("share"))
+    least = low.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).where(F.col("place") <= per_lang)
     least = small_or_not(written(least.select("lang", "hash"), "sample"))
     return usable.select("lang", "text", F.xxhash64("text").alias("hash")).join(least, ["lang", "hash"], "left_semi").groupBy("lang", "hash").agg(F.min("text").alias("text"))
 
