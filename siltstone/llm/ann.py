@@ -15,8 +15,8 @@ from .store import small_or_not, written
 
 #: Rows that the codebooks are fitted on, about; dimensions of a subspace; centres of a subspace (four bits).
 SAMPLE, WIDTH, CENTRES = 20_000, 1, 16
-#: Rows of a shard of codes, and queries of a block; one is scanned against the other.
-SHARD, QUERIES = 16_384, 256
+#: Rows of a shard of codes, and queries of a block; one is scanned against the other. Rows that are coded at a time.
+SHARD, QUERIES, CODED = 16_384, 256, 2_048
 #: Queries of a wave, and bytes of its vectors, about: what the driver and each worker hold of the queries at once.
 WAVE, WAVE_BYTES = 16_384, 32 << 20
 #: Partitions whose best candidates meet in one step of the merge.
@@ -43,8 +43,13 @@ def assign(x: np.ndarray, books: Codebooks, rounds: int = 3) -> np.ndarray:
     """Centre numbers of unit rows: coordinate descent on |r|^2 + (weight - 1) (x.r)^2 for the residual r of a row x.
 
     The second term, the residual parallel to the row, couples the subspaces, so they are chosen in
-    turn, given the others, from the nearest centres on.
+    turn, given the others, from the nearest centres on. Rows are coded CODED at a time, as each takes
+    some tables of a float for every centre.
     """
+    return np.concatenate([_assign(x[k : k + CODED], books, rounds) for k in range(0, max(1, len(x)), CODED)])
+
+
+def _assign(x: np.ndarray, books: Codebooks, rounds: int) -> np.ndarray:
     n, m, w = len(x), len(books.centres), books.weight - 1
     # subspace by subspace, so that each step reads one stretch of memory
     parts = np.ascontiguousarray(x.reshape(n, m, -1).transpose(1, 0, 2))
@@ -116,7 +121,7 @@ def encoded(rows: DataFrame, books: Codebooks) -> DataFrame:
                 if len(ids):
                     order = np.argsort(ids, kind="stable")
                     x = _padded(_matrix(part.column(1)))[order]
-                    codes = np.concatenate([assign(x[k : k + 2048], held.value) for k in range(0, len(x), 2048)])
+                    codes = assign(x, held.value)
                     codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
                     packed = codes[:, 0::2] << 4 | codes[:, 1::2]
                     yield pa.RecordBatch.from_pydict({"n": [len(ids)], "vec_ids": pa.array([ids[order].tobytes()], pa.binary()), "codes": pa.array([packed.tobytes()], pa.binary())})
