@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import html, text, urls, values
 from ..operators import checks, graph, readiness, robots, rules, runs
 from ..sources.tables import table
-from . import findings, measured
+from . import findings, measured, sites
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -124,7 +124,7 @@ QUERIES: dict[str, Query] = {
     "conversion_status": conversion_status,
     "crawl_frontier": crawl_frontier,
     "robots_access": robots_access,
-} | measured.QUERIES | findings.QUERIES
+} | measured.QUERIES | findings.QUERIES | sites.QUERIES
 
 
 def _count(column: str, pattern: str) -> str:
@@ -229,4 +229,4 @@ ORACLE_SQL: dict[str, str] = {
     "select node, min(depth) as depth from r group by node",
     "robots_access": "select * from (values ('s', 'GPTBot', '/', false, 'exact'), ('s', 'Other', '/private/x', false, 'star'), ('s', 'Other', '/private/open', true, 'star'), "
     "('t', 'Other', '/', true, 'none'), ('s', 'Other', '/file.pdf', false, 'star')) t(site, token, path, allowed, matched_by)",
-} | measured.ORACLE_SQL | findings.ORACLE_SQL
+} | measured.ORACLE_SQL | findings.ORACLE_SQL | sites.ORACLE_SQL
