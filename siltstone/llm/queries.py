@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, langid, line_dedup, minhash, mixing, quality, substring_dedup, token_files, warc
+from . import ann, bpe, langid, line_dedup, minhash, mixing, quality, quality_classifier, runs, substring_dedup, token_files, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,18 @@ def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), minhash.Plan(width=3, percent=85))
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.predict_all(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_bpe_encode": op2_bpe_encode,
@@ -75,6 +87,9 @@ QUERIES: dict[str, Query] = {
     "op8_warc_archive": op8_warc_archive,
     "op9_quality_outliers": op9_quality_outliers,
     "op10_bbit_minhash": op10_bbit_minhash,
+    "op11_word_runs": op11_word_runs,
+    "op12_whitening": op12_whitening,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {
