@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _OWN: list[str] = []
-_MADE: list[str] = []
+#: Where the paths go that the thread at hand takes; see `taken_paths`.
+_TAKEN: ContextVar[list[str] | None] = ContextVar("taken", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,21 +32,29 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    _MADE.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
-    return _MADE[-1]
-
-
-def tables_made() -> int:
-    """How many paths this process has taken so far; see `drop_tables`."""
-    return len(_MADE)
-
-
-def drop_tables(first: int, last: int | None = None) -> None:
-    """Delete what was written under the paths taken from number `first` on, up to `last`: for jobs whose result stands elsewhere."""
-    last = len(_MADE) if last is None else last
-    for k in range(first, last):
-        store, path = opened(_MADE[k])
-        if _MADE[k] and store.get_file_info(path).type == fs.FileType.Directory:
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    taken = _TAKEN.get()
+    if taken is not None:
+        taken.append(path)
+    return path
+
+
+@contextmanager
+def taken_paths() -> Iterator[list[str]]:
+    """The paths that this thread takes inside the block; those of other threads aren't among them."""
+    taken: list[str] = []
+    token = _TAKEN.set(taken)
+    try:
+        yield taken
+    finally:
+        _TAKEN.reset(token)
+
+
+def drop_tables(paths: list[str]) -> None:
+    """Delete what was written under these paths: for jobs whose result stands elsewhere."""
+    for uri in paths:
+        store, path = opened(uri)
+        if store.get_file_info(path).type == fs.FileType.Directory:
             store.delete_dir(path)
 
 
@@ -101,12 +113,3 @@ def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BR
     width = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0))
     n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     return df.hint("broadcast") if n <= rows and size <= most_bytes else df
-
-
-def fresh(name: str, taken: list[str]) -> str:
-    """`name`, or the first of name_1, name_2, ... that isn't among the names taken, whatever their case."""
-    low, found, k = {x.lower() for x in taken}, name, 0
-    while found.lower() in low:
-        k += 1
-        found = f"{name}_{k}"
-    return found
