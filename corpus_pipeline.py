@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import bpe, line_dedup, minhash, mixing, quality
 from siltstone.llm.queries import vocabulary
-from siltstone.llm.store import drop_tables, small_or_not, tables_made, written
+from siltstone.llm.store import drop_tables, small_or_not, taken_paths, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,12 +63,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over `documents`, each written and reread; what a stage wrote for itself goes when its result stands."""
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        first = tables_made()
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        drop_tables(first, tables_made() - 1)
-        if before is not None:
-            drop_tables(before, before + 1)
-        before = tables_made() - 1
+        with taken_paths() as paths:
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_tables(before + paths[:-1])
+        before = paths[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
