@@ -5,51 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import urls
-from .text import PLACEHOLDERS
-
 #: Fixed patterns; both Java's and RE2's syntax, and free of quotes.
 HIDDEN = r"(?is)<script.*?</script>|<style.*?</style>|<noscript.*?</noscript>"
 TAG = r"<[^>]+>"
 ENTITY = r"(?i)&[a-z#0-9]+;"
 TOKEN = r"\S*[A-Za-z0-9]\S*"
-TITLE = r"(?is)<title[^>]*>(.*?)</title>"
-LANG = r"(?is)<html[^>]*\slang=.?([A-Za-z-]+)"
 HREF = r"(?is)<a\s[^>]*?href=.([^<>\s\x22\x27]*)"
 HOST = r"^[A-Za-z]+://([^/?#:]+)"
 PATH = r"^[A-Za-z]+://[^/?#]+([^?#]*)"
-#: A tag by one of its attributes, wherever that stands, and the value of another, in any quoting (one of three groups).
-CANONICAL_TAG = r"(?is)<link\b[^>]*\srel=[\x22\x27]?canonical\b[^>]*"
-DESCRIPTION_TAG = r"(?is)<meta\b[^>]*\sname=[\x22\x27]?description\b[^>]*"
-VALUE = r"\s*=\s*(?:\x22([^\x22]*)|\x27([^\x27]*)|([^\s\x22\x27>]+))"
-COUNTS = {
-    "n_h1": r"(?is)<h1[\s>]",
-    "n_images": r"(?is)<img[\s>]",
-    "n_alts": r"(?is)<img\s[^>]*alt=",
-    "n_hash_routes": r"(?is)href=.#/",
-    "n_json_ld": r"(?is)<script[^>]+application/ld.json",
-    "n_http_resources": r"(?is)<(?:img|script|iframe|audio|video|source)\s[^>]*src=.http://",
-}
-FLAGS = {
-    "has_description": r"(?is)<meta[^>]+name=.?description",
-    "has_canonical": r"(?is)<link[^>]+rel=.?canonical",
-    "has_viewport": r"(?is)<meta[^>]+name=.?viewport",
-    "has_og": r"(?is)<meta[^>]+property=.?og:title.*<meta[^>]+property=.?og:image|<meta[^>]+property=.?og:image.*<meta[^>]+property=.?og:title",
-    "has_icon": r"(?is)<link[^>]+rel=.?(?:shortcut )?icon",
-    "noindex": r"(?is)<meta[^>]+name=.?robots[^>]+noindex|<meta[^>]+noindex[^>]+name=.?robots",
-    "nosnippet": r"(?is)<meta[^>]+name=.?robots[^>]+(?:nosnippet|max-snippet:\s*0)|<meta[^>]+(?:nosnippet|max-snippet:\s*0)[^>]+name=.?robots",
-    "builder_signs": r"(?i)lovable-badge|Edit with Lovable|lovable\.dev/projects|cdn\.gpteng\.co|gptengineer\.js|Made (?:in|with) Bolt|bolt\.new|v0\.dev/chat|Built with v0|href=./vite\.svg|You need to enable JavaScript to run this app\.",
-}
-
-
-#: Any placeholder label's pattern.
-PLACEHOLDER = "|".join(f"(?:{p})" for p in PLACEHOLDERS.values())
-
-
-def attribute(tag: Column, name: str) -> Column:
-    """The value of a tag's attribute; empty if it has none."""
-    return F.concat(*(F.regexp_extract(tag, rf"(?is)\s{name}{VALUE}", k) for k in (1, 2, 3)))
-
 
 def visible_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, " "), TAG, " "), ENTITY, " ")
@@ -69,28 +32,6 @@ def path_of(url: Column) -> Column:
     return F.when(path == "", "/").otherwise(path)
 
 
-def page_view(pages: DataFrame) -> DataFrame:
-    """page_id, host, path, title, lang, description, canonical (and its host), words, marks of the URL, COUNTS and FLAGS of each page. One scan, no shuffle."""
-    html = F.coalesce("html", F.lit(""))
-    return pages.select(
-        "page_id",
-        host_of(F.col("url")).alias("host"),
-        path_of(F.col("url")).alias("path"),
-        F.trim(F.regexp_extract(html, TITLE, 1)).alias("title"),
-        F.lower(F.regexp_extract(html, LANG, 1)).alias("lang"),
-        F.trim(attribute(F.regexp_extract(html, DESCRIPTION_TAG, 0), "content")).alias("description"),
-        attribute(F.regexp_extract(html, CANONICAL_TAG, 0), "href").alias("canonical"),
-        host_of(attribute(F.regexp_extract(html, CANONICAL_TAG, 0), "href")).alias("canonical_host"),
-        words_in_html(html).alias("words"),
-        F.coalesce(F.startswith(F.lower("url"), F.lit("https:")), F.lit(False)).alias("https"),
-        F.coalesce(urls.staging(F.col("url")), F.lit(False)).alias("staging"),
-        F.coalesce(urls.private_path(path_of(F.col("url"))), F.lit(False)).alias("private"),
-        visible_text(html).rlike(PLACEHOLDER).alias("placeholders"),
-        *(F.regexp_count(html, F.lit(p)).cast("long").alias(c) for c, p in COUNTS.items()),
-        *(html.rlike(p).alias(c) for c, p in FLAGS.items()),
-    )
-
-
 def links(pages: DataFrame) -> DataFrame:
     """page_id, host, href of each link, in any order; fragments and empty targets are no links."""
     href = F.explode(F.regexp_extract_all("html", F.lit(HREF), 1)).alias("href")

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 # Patterns with their labels, phrases.
 PLACEHOLDERS = {
     "lorem ipsum": r"(?i)\blorem ipsum\b",
-    "your company name": r"(?i)\byour company name\b|\bcompany name here\b|\byour business name\b",
+    '"Your company name"': r"(?i)\byour company name\b|\bcompany name here\b|\byour business name\b",
     "John/Jane Doe": r"(?i)\b(?:john|jane) doe\b",
     "123 Main Street": r"(?i)\b123 main st(?:reet)?\b",
     "555 phone number": r"\(555\)\s?\d{3}-\d{4}|\b555-\d{4}\b",
     "example email address": r"(?i)\b(?:hello|info|contact|you)@(?:example|yourdomain|company|domain)\.com\b",
     "Acme Inc": r"(?i)\bacme (?:inc|corp|co)\b",
-    "[Insert ...] bracket": r"(?i)\[(?:insert|your) [^\]]{2,30}\]",
-    "add your text here": r"(?i)\btestimonial text goes here\b|\badd your (?:text|content) here\b",
+    "[Insert …] bracket": r"(?i)\[(?:insert|your) [^\]]{2,30}\]",
+    '"add your text here"': r"(?i)\btestimonial text goes here\b|\badd your (?:text|content) here\b",
 }
 BUZZWORDS = [
     "seamless", "seamlessly", "unlock the power", "unleash", "supercharge", "game-changing",

@@ -35,17 +35,18 @@ def page_reach(pages: DataFrame) -> DataFrame:
     edges = addresses(pages).where(urls.crawlable(F.col("url"), urls.origin(F.col("page")))).select(src.alias("src"), dst.alias("dst")).distinct()
     starts = pages.select(urls.origin(F.col("url")).alias("origin")).where("origin <> ''").distinct()
     seen = starts.select("origin", F.concat("origin", F.lit("/")).alias("node"), F.lit(0).alias("depth"))
-    edges, seen = _kept(edges), _kept(seen)
+    # dealt by source once: a frontier comes to the edges
+    edges, seen = kept(edges.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src")), kept(seen)
     frontier, level = seen, 0
     while not frontier.isEmpty():
         level += 1
         step = edges.join(frontier, edges["src"] == frontier["node"]).select("origin", F.col("dst").alias("node")).distinct()
-        frontier = _kept(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(level)))
+        frontier = kept(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(level)))
         seen = seen.unionByName(frontier)
     return seen
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """`df` in the checkpoint folder; a folder of our own where none is set, as in tests."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -57,10 +58,10 @@ def _kept(df: DataFrame) -> DataFrame:
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """node, depth: nodes within so many steps of the starts (node), with the least number of steps. One join and one written frontier a level."""
-    edges, seen = _kept(edges.select("src", "dst")), _kept(starts.select("node").distinct().withColumn("depth", F.lit(0)))
+    edges, seen = kept(edges.select("src", "dst")), kept(starts.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for level in range(1, depth + 1):
         step = edges.join(frontier, edges["src"] == frontier["node"]).select(F.col("dst").alias("node")).distinct()
-        frontier = _kept(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(level)))
+        frontier = kept(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(level)))
         seen = seen.unionByName(frontier)
     return seen

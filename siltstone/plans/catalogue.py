@@ -1,4 +1,4 @@
-"""The named queries on the common tables and on small literal tables, each with the same query in SQL."""
+"""The named queries on the common tables, each with the same query in SQL."""
 
 from __future__ import annotations
 
@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import html, text, urls, values
-from ..operators import checks, graph, readiness, robots, rules, runs
+from ..functions import html, text, urls
+from ..operators import graph, readiness, runs
 from ..sources.tables import table
-from . import findings, measured, sites
+from . import pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,26 +19,6 @@ def _of(name: str, make: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, folder: make(table(spark, folder, name))
 
 
-def _literal(spark: SparkSession, rows: str, columns: str) -> DataFrame:
-    """Literal rows, as they stand in the SQL."""
-    return spark.sql(f"select * from values {rows} as t({columns})")
-
-
-COLOURS = "('#000000', '#ffffff', 16.0, false), ('#777777', '#ffffff', 16.0, false), ('#777777', '#ffffff', 24.0, false), ('#8899aa', '#99aabb', 19.0, true), ('#0000ff', '#ffffff', 12.0, false)"
-CRONS = (
-    "('*/5 * * * *'), ('* * * * *'), ('7 * * * *'), ('30 */6 * * *'), ('5 4 * * *'), ('0 9 * * 1'), ('0 9 * * 7'), ('15 8 * * 1-5'), ('0 0 1 * *'), ('0 0 1 1 *'), ('@daily'), ('1 2 3')"
-)
-BODIES = "(0, 0), (4, 0), (4, 1), (4, 2), (4, 4), (1, 1)"
-EDGES = "('/', '/a'), ('/', '/b'), ('/a', '/c'), ('/b', '/c'), ('/c', '/d'), ('/d', '/e'), ('/x', '/y')"
-PROBES = "('s', 'GPTBot', '/'), ('s', 'Other', '/private/x'), ('s', 'Other', '/private/open'), ('t', 'Other', '/'), ('s', 'Other', '/file.pdf')"
-ROBOTS = ["User-agent: GPTBot", "Disallow: /", "", "User-agent: *  # all others", "Disallow: /private", "Allow: /private/open", "Disallow: /*.pdf$", "Disallow:"]
-
-
-def area_scores(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "pages")
-    return rules.area_scores(pages, rules.failed_checks(pages))
-
-
 def placeholder_hits(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(text.labels(F.col("text"), text.PLACEHOLDERS)).alias("label"))
 
@@ -59,24 +39,6 @@ def dash_density(docs: DataFrame) -> DataFrame:
     return dashes.withColumn("per_1000", F.when(F.col("words") > 0, F.floor(F.col("dashes") / F.col("words") * 10000 + 0.5) / 10).otherwise(0.0))
 
 
-def contrast(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _literal(spark, COLOURS, "fg, bg, size, bold").withColumn("size", F.col("size").cast("double"))
-    rated = rows.withColumn("ratio", values.contrast_ratio(F.col("fg"), F.col("bg")))
-    return rated.select("fg", "bg", "ratio", (F.col("ratio") < values.contrast_threshold(F.col("size"), F.col("bold"))).alias("fails"))
-
-
-def cron_text(spark: SparkSession, folder: str) -> DataFrame:
-    return _literal(spark, CRONS, "expr").select("expr", values.describe_cron(F.col("expr")).alias("reading"))
-
-
-def conversion_status(spark: SparkSession, folder: str) -> DataFrame:
-    return _literal(spark, BODIES, "total, todos").select("total", "todos", values.conversion_status(F.col("total"), F.col("todos")).alias("status"))
-
-
-def crawl_frontier(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.reach(_literal(spark, EDGES, "src, dst"), spark.createDataFrame([("/",)], "node string"), 3)
-
-
 def page_urls(pages: DataFrame) -> DataFrame:
     """page_id, href and readings of each page's own URL and of its links; crawlable from the page's origin."""
     url, of = F.col("url"), urls.origin(F.col("page"))
@@ -94,19 +56,7 @@ def page_commerce(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", (readiness.commercial(words) | paid).alias("commercial"))
 
 
-def robots_access(spark: SparkSession, folder: str) -> DataFrame:
-    return robots.access(spark.createDataFrame([("s", "\n".join(ROBOTS))], "site string, text string"), _literal(spark, PROBES, "site, token, path"))
-
-
 QUERIES: dict[str, Query] = {
-    "page_view": _of("pages", html.page_view),
-    "page_rules": _of("pages", rules.page_findings),
-    "site_findings": _of("pages", rules.failed_checks),
-    "findings_by_severity": _of("pages", lambda pages: rules.severity_counts(rules.page_findings(pages))),
-    "area_scores": area_scores,
-    "fix_plan": _of("pages", lambda pages: rules.fix_plan(rules.failed_checks(pages))),
-    "shared_values": _of("pages", rules.shared_values),
-    "duplicate_titles": _of("pages", rules.shared_titles),
     "page_links": _of("pages", html.links),
     "broken_links": _of("pages", graph.broken_links),
     "page_reach": _of("pages", graph.page_reach),
@@ -119,12 +69,7 @@ QUERIES: dict[str, Query] = {
     "run_status_latest": _of("events", runs.latest_status),
     "activity_by_day": _of("events", runs.activity),
     "queue_depth": _of("events", runs.queue_depth),
-    "contrast_failures": contrast,
-    "cron_text": cron_text,
-    "conversion_status": conversion_status,
-    "crawl_frontier": crawl_frontier,
-    "robots_access": robots_access,
-} | measured.QUERIES | findings.QUERIES | sites.QUERIES
+} | pages.QUERIES
 
 
 def _count(column: str, pattern: str) -> str:
@@ -135,31 +80,8 @@ _BODY = "coalesce(html, '')"
 _VISIBLE = f"regexp_replace(regexp_replace(regexp_replace({_BODY}, '{html.HIDDEN}', ' ', 'g'), '{html.TAG}', ' ', 'g'), '{html.ENTITY}', ' ', 'g')"
 _HOST = f"lower(regexp_extract(url, '{html.HOST}', 1))"
 _PATH = f"case when regexp_extract(url, '{html.PATH}', 1) = '' then '/' else regexp_extract(url, '{html.PATH}', 1) end"
-# in either order of the attributes: the first of the patterns that finds one
-_EITHER = "coalesce(" + ", ".join(
-    "nullif(regexp_extract({body}, '(?is)<{tag}\\b" + order.replace("V", f"=\\s*{quote}") + "', 1), '')"
-    for quote in ("\\x22([^\\x22]*)", "\\x27([^\\x27]*)", "([^\\s\\x22\\x27>]+)") for order in ("[^>]*\\s{key}\\b[^>]*\\s{name}\\s*V", "[^>]*\\s{name}\\s*V[^>]*\\s{key}\\b")
-) + ", '')"
-_CANONICAL = _EITHER.format(body=_BODY, tag="link", key="rel=[\\x22\\x27]?canonical", name="href")
-_DESCRIPTION = _EITHER.format(body=_BODY, tag="meta", key="name=[\\x22\\x27]?description", name="content")
 _SERVER = f"regexp_replace(regexp_extract(url, '{urls.HOST_PORT}', 1), ':\\d+$', '')"
-_VIEW = (
-    f"select page_id, {_HOST} as host, {_PATH} as path, trim(regexp_extract({_BODY}, '{html.TITLE}', 1)) as title, lower(regexp_extract({_BODY}, '{html.LANG}', 1)) as lang, "
-    + f"trim({_DESCRIPTION}) as description, {_CANONICAL} as canonical, lower(regexp_extract({_CANONICAL}, '{html.HOST}', 1)) as canonical_host, "
-    + f"{_count(_VISIBLE, html.TOKEN)} as words, coalesce(starts_with(lower(url), 'https:'), false) as https, "
-    + "coalesce(" + " or ".join(f"regexp_matches({_SERVER}, '{p}')" for p in (urls.LOCAL, urls.STAGE, urls.PREVIEW)) + ", false) as staging, "
-    + f"coalesce(regexp_matches({_PATH}, '{urls.PRIVATE}'), false) as private, regexp_matches({_VISIBLE}, '{html.PLACEHOLDER}') as placeholders, "
-    + ", ".join(f"{_count(_BODY, p)} as {c}" for c, p in html.COUNTS.items())
-    + ", "
-    + ", ".join(f"regexp_matches({_BODY}, '{p}') as {c}" for c, p in html.FLAGS.items())
-    + " from pages"
-)
-_FINDINGS = checks.findings_sql("page_view", ["page_id", "host"], rules.RULES)
-_SHARED = " union all ".join(f"select host, 'seo.duplicate-{c}s' as rule, {c} as value, count(*) as n_pages from page_view where {c} <> '' group by all having count(*) > 1" for c in ("title", "description"))
-_WEIGHT = "case severity " + " ".join(f"when '{s}' then {w}" for s, w in rules.WEIGHTS.items()) + " end"
-_WITH = f"with page_view as ({_VIEW}), findings as ({_FINDINGS}), site as (select host, rule, area, arg_max(severity, {_WEIGHT}) as severity, count(*) as n_pages from findings group by 1, 2, 3 union all select host, rule, 'search', 'medium', sum(n_pages)::bigint from ({_SHARED}) group by host, rule) "
 _LINKS = f"select * from (select page_id, {_HOST} as host, unnest(regexp_extract_all(html, '{html.HREF}', 1)) as href from pages) where href <> '' and not starts_with(href, '#')"
-_AREAS = ", ".join(f"('{a}')" for a in rules.AREAS)
 _SECRETS = " union all ".join(
     f"select doc_id, {k} as k, '{kind}' as kind, '{severity}' as severity, unnest(regexp_extract_all(text, '{p}')) as value from documents" for k, (kind, (severity, p)) in enumerate(text.SECRETS.items())
 )
@@ -168,32 +90,38 @@ _WHOLE = (
     f"case when regexp_matches(href, '{urls.SCHEME}') then href when starts_with(href, '//') then regexp_extract(page, '^[A-Za-z]+:', 0) || href when starts_with(href, '/') then regexp_extract(page, '{urls.ORIGIN}', 0) || href "
     f"when starts_with(href, '?') then regexp_replace(page, '[?#].*$', '') || href else regexp_extract(page, '{urls.ORIGIN}', 0) || coalesce(nullif(regexp_replace(regexp_extract(page, '{urls.PATH}', 1), '[^/]*$', ''), ''), '/') || href end"
 )
+_FOLDED = (
+    f"case when regexp_matches(w, '{urls.ORIGIN}') then regexp_extract(w, '{urls.ORIGIN}', 0) || list_reduce(list_prepend('', string_split(regexp_extract(w, '{urls.PATH}', 1), '/')[2:]), "
+    "lambda a, x: case x when '..' then regexp_replace(a, '/[^/]*$', '') when '.' then a else a || '/' || x end) || regexp_extract(w, '[?#].*$', 0) else w end"
+)
 _ADDRESSES = (
-    f"select page_id, url as page, url as href, url from pages union all select page_id, page, href, case when regexp_matches(w, '{urls.ORIGIN}') then regexp_extract(w, '{urls.ORIGIN}', 0) || "
-    f"list_reduce(list_prepend('', string_split(regexp_extract(w, '{urls.PATH}', 1), '/')[2:]), lambda a, x: case x when '..' then regexp_replace(a, '/[^/]*$', '') when '.' then a else a || '/' || x end) || regexp_extract(w, '[?#].*$', 0) else w end "
+    f"select page_id, url as page, url as href, url from pages union all select page_id, page, href, {_FOLDED} "
     f"from (select *, {_WHOLE} as w from (select page_id, url as page, unnest(regexp_extract_all(html, '{html.HREF}', 1)) as href from pages) where href <> '' and not starts_with(href, '#'))"
 )
 _NORMAL = lambda u: (
     f"case when {_ORIGIN(u)} <> '' then {_ORIGIN(u)} || coalesce(nullif(regexp_replace(regexp_extract({u}, '{urls.PATH}', 1), '([^/])/$', '\\1'), ''), '/') || regexp_extract(regexp_replace({u}, '#.*$', ''), '[?].*$', 0) end"
 )
 _CRAWLED = f"{_ORIGIN('url')} = {_ORIGIN('page')} and not regexp_matches(regexp_extract(url, '{urls.PATH}', 1), '{urls.ASSET}')"
-_LUMINANCE = lambda c: " + ".join(
-    f"{w} * case when v{k}{c} <= 0.03928 then v{k}{c} / 12.92 else pow((v{k}{c} + 0.055) / 1.055, 2.4) end" for k, w in enumerate((0.2126, 0.7152, 0.0722))
-)
-_CHANNELS = ", ".join(f"('0x' || substr({c}, {2 + 2 * k}, 2))::int / 255.0::double as v{k}{c}" for c in ("fg", "bg") for k in range(3))
+
+# all pages of a site are starts here, so what is found by links is not there
+_CRAWL = f"""
+    with own as (select {_ORIGIN('url')} as origin, {_NORMAL('url')} as node, page_id, url as page, html from pages where {_ORIGIN('url')} <> ''),
+    there as (select * from own qualify row_number() over (partition by origin, node order by page_id) = 1),
+    starts as (select origin, node, min(place) as place from (select origin, node, page_id as place from there union all select distinct origin, origin || '/', -1 from there) group by all),
+    queue as (select *, row_number() over (partition by origin order by place, node) - 1 as position, count(*) over (partition by origin) as n from starts),
+    told as (select q.*, page, html, coalesce(sum((page is not null)::int) over (partition by origin order by position rows between unbounded preceding and 1 preceding), 0) as earlier from queue q left join there using (origin, node)),
+    first as (select *, case when position >= 115 or earlier >= 15 then 'skipped' when page is not null then 'visited' else 'broken' end as state from told),
+    pages_of as (select origin, any_value(n) as n, count(*) filter (state = 'visited') as pages from first group by 1),
+    hrefs as (select origin, position, node as referrer, page, unnest(l) as href, generate_subscripts(l, 1) as spot from (select *, regexp_extract_all(html, '{html.HREF}', 1) as l from first where state = 'visited')),
+    whole as (select *, {_WHOLE} as w from hrefs where href <> '' and not starts_with(href, '#')), links as (select *, {_FOLDED} as url from whole),
+    found as (select origin, {_NORMAL('url')} as node, referrer, position as parent, spot from links where {_CRAWLED} qualify row_number() over (partition by origin, {_NORMAL('url')} order by position, spot) = 1),
+    fresh as (select f.*, n + row_number() over (partition by origin order by parent, spot) - 1 as place, pages from found f join pages_of using (origin) where not exists (select 1 from starts s where s.origin = f.origin and s.node = f.node))
+    select origin, position, node, 0 as depth, null::varchar as referrer, state from first
+    union all select origin, place, node, 1, referrer, case when place >= 115 or pages >= 15 then 'skipped' else 'broken' end from fresh
+"""
 
 ORACLE_SQL: dict[str, str] = {
-    "page_view": _VIEW,
-    "page_rules": _WITH + "select * from findings",
-    "site_findings": _WITH + "select * from site",
-    "findings_by_severity": _WITH
-    + f"select t.severity, count(f.rule) as findings from (values {', '.join(f"('{s}')" for s in rules.WEIGHTS)}) t(severity) left join findings f on f.severity = t.severity group by 1",
-    "area_scores": _WITH + f", lost as (select host, area, sum({_WEIGHT}) as lost from site group by all), scored as (select h.host, a.area, greatest(0, 100 - coalesce(lost, 0))::bigint as score "
-    f"from (select distinct host from page_view) h cross join (values {_AREAS}) a(area) left join lost on lost.host = h.host and lost.area = a.area) "
-    "select *, case when score >= 90 then 'A' when score >= 75 then 'B' when score >= 60 then 'C' when score >= 40 then 'D' else 'F' end as grade from scored",
-    "fix_plan": _WITH + f"select host, row_number() over (partition by host order by {_WEIGHT} desc, n_pages desc, rule) as position, rule, n_pages from site",
-    "shared_values": _WITH + _SHARED,
-    "duplicate_titles": _WITH + "select title, count(*) as n_pages, min(page_id) as first_page from page_view where title <> '' group by title having count(*) > 1",
+    "page_crawl": _CRAWL,
     "page_links": _LINKS,
     "broken_links": f"with links as ({_LINKS}), wanted as (select host, regexp_extract(href, '^([^?#]*)', 1) as href, count(*) as n_links from links where starts_with(href, '/') group by 1, 2) "
     f"select * from wanted w where not exists (select 1 from pages where {_HOST} = w.host and {_PATH} = w.href)",
@@ -213,20 +141,4 @@ ORACLE_SQL: dict[str, str] = {
     "run_status_latest": "select user_id, arg_max(event_type, (ts, event_id)) as status, count(*) as n_events from events group by 1",
     "activity_by_day": "select ts::date as day, event_type, count(*) as n_events, count(distinct user_id) as n_users from events group by 1, 2",
     "queue_depth": "select event_id, sum(case event_type when 'view' then 1 when 'click' then -1 else 0 end) over (partition by user_id order by ts, event_id)::bigint as depth from events",
-    "contrast_failures": f"with t as (select *, {_CHANNELS} from (values {COLOURS}) t(fg, bg, size, bold)), l as (select *, {_LUMINANCE('fg')} as a, {_LUMINANCE('bg')} as b from t), "
-    "r as (select *, floor((greatest(a, b) + 0.05) / (least(a, b) + 0.05) * 100 + 0.5) / 100 as ratio from l) "
-    "select fg, bg, ratio, ratio < case when size >= 24 or (bold and size >= 18.66) then 3.0 else 4.5 end as fails from r",
-    "cron_text": f"with t as (select expr, string_split(expr, ' ') as f from (values {CRONS}) t(expr)), p as (select expr, len(f) as n, f[1] as mi, f[2] as h, f[3] as dom, f[4] as mon, f[5] as dow, "
-    "lpad(f[2], 2, '0') || ':' || lpad(f[1], 2, '0') || ' UTC' as clock from t) select expr, case when n <> 5 then expr "
-    "when regexp_full_match(mi, '\\*/\\d+') and h || dom || mon || dow = '****' then 'every ' || substr(mi, 3) || ' minutes' when mi || h || dom || mon || dow = '*****' then 'every minute' "
-    "when regexp_full_match(mi, '\\d+') and h || dom || mon || dow = '****' then 'hourly at :' || lpad(mi, 2, '0') "
-    "when regexp_full_match(mi, '\\d+') and regexp_full_match(h, '\\*/\\d+') and dom || mon || dow = '***' then 'every ' || substr(h, 3) || ' hours at :' || lpad(mi, 2, '0') "
-    "when not regexp_full_match(mi || h, '\\d+') then expr when dom || mon || dow = '***' then 'daily at ' || clock "
-    "when dom || mon = '**' and regexp_full_match(dow, '\\d+') then 'weekly on ' || (['Sunday', 'Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday'])[try_cast(dow as int) % 7 + 1] || ' at ' || clock "
-    "when dom || mon = '**' and dow = '1-5' then 'weekdays at ' || clock when regexp_full_match(dom, '\\d+') and mon || dow = '**' then 'monthly on day ' || dom || ' at ' || clock else expr end as reading from p",
-    "conversion_status": f"select total, todos, case when total = 0 then 'manual' when todos = 0 then 'converted' when todos * 2 >= total then 'manual' else 'partial' end as status from (values {BODIES}) t(total, todos)",
-    "crawl_frontier": f"with recursive e as (select * from (values {EDGES}) t(src, dst)), r as (select '/' as node, 0 as depth union select dst, depth + 1 from r join e on src = node where depth < 3) "
-    "select node, min(depth) as depth from r group by node",
-    "robots_access": "select * from (values ('s', 'GPTBot', '/', false, 'exact'), ('s', 'Other', '/private/x', false, 'star'), ('s', 'Other', '/private/open', true, 'star'), "
-    "('t', 'Other', '/', true, 'none'), ('s', 'Other', '/file.pdf', false, 'star')) t(site, token, path, allowed, matched_by)",
-} | measured.ORACLE_SQL | findings.ORACLE_SQL | sites.ORACLE_SQL
+} | pages.ORACLE_SQL

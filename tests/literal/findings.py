@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import names
-from ..operators import tester
-from ..sources.tables import table
+from siltstone.functions import names
+from siltstone.operators import tester
+from siltstone.sources.tables import table
 from .measured import Query, Rows
 
 RUNS = Rows("run, start_url", "('r1', 'https://a.test/'), ('r2', 'https://b.test/'), ('r3', 'https://c.test/')")

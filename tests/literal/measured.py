@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import urls
-from ..operators import checks, design, layout, readiness, repo, suites
+from siltstone.functions import urls
+from siltstone.operators import checks, design, layout, readiness, repo, suites
 
 Query = Callable[[SparkSession, str], DataFrame]
 

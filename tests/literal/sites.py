@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import sites
+from siltstone.functions import sites
 from .findings import _rows
 from .measured import Query
 

@@ -5,10 +5,12 @@ import math
 import duckdb
 import pytest
 
+from literal import basic, findings, measured, sites
+
 from siltstone.plans import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = "pages documents events".split()
+TABLES = "pages documents events lineitem orders customer conversations benchmark labels".split()
 
 
 def plain(value):
@@ -25,9 +27,12 @@ def duck():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
-def test_against_sql(spark, duck, name):
-    got, want = catalogue.QUERIES[name](spark, FOLDER), duck.sql(catalogue.ORACLE_SQL[name])
+SETS = [catalogue, basic, measured, findings, sites]
+
+
+@pytest.mark.parametrize("name, of", [(name, of) for of in SETS for name in sorted(of.QUERIES)])
+def test_against_sql(spark, duck, name, of):
+    got, want = of.QUERIES[name](spark, FOLDER), duck.sql(of.ORACLE_SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
     order = sorted(got.columns)
     left = sorted(tuple(plain(r[c]) for c in order) for r in got.collect())

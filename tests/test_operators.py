@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from siltstone.functions import html, text
-from siltstone.operators import graph, robots, rules
+from siltstone.operators import elements, graph, robots, rules
 from siltstone.plans import catalogue
 from siltstone.streaming.runs import activity_stream
 
@@ -56,9 +56,9 @@ def test_service_role_tokens(spark):
 
 def test_page_rules_on_null_and_empty(spark):
     pages = spark.createDataFrame([(1, "http://a.b/", None), (2, None, "<title>x</title>")], "page_id long, url string, html string")
-    assert rules.page_findings(pages).where("page_id = 1 and rule = 'seo.missing-title'").count() == 1
-    assert rules.page_findings(pages.where("false")).count() == 0
-    assert {r.severity: r.findings for r in rules.severity_counts(rules.page_findings(pages.where("false"))).collect()} == dict.fromkeys(rules.WEIGHTS, 0)
+    assert rules.page_findings(elements.page_view(pages)).where("page_id = 1 and rule = 'seo.missing-title'").count() == 1
+    assert rules.page_findings(elements.page_view(pages.where("false"))).count() == 0
+    assert {r.severity: r.findings for r in rules.severity_counts(rules.page_findings(elements.page_view(pages.where("false")))).collect()} == dict.fromkeys(rules.WEIGHTS, 0)
 
 
 def test_robots_groups(spark):
@@ -109,8 +109,6 @@ def test_pages_are_read_whole(spark):
 
 
 def test_attributes_in_any_order_and_quoting(spark):
-    from siltstone.functions import html
-
     rows = [
         ("<link rel=\"canonical\" href=\"https://a.test/1\"><meta name='description' content='it\"s one'>", "https://a.test/1", 'it"s one'),
         ("<link href='https://a.test/2' rel=canonical><meta content=\" two \" name=\"description\">", "https://a.test/2", "two"),
@@ -119,14 +117,14 @@ def test_attributes_in_any_order_and_quoting(spark):
         (None, "", ""),
     ]
     pages = spark.createDataFrame([(k, "https://a.test/", h) for k, (h, _, _) in enumerate(rows)], "page_id long, url string, html string")
-    got = {r.page_id: (r.canonical, r.description) for r in html.page_view(pages).collect()}
+    got = {r.page_id: (r.canonical, r.description) for r in elements.page_view(pages).collect()}
     assert got == {k: (c, d) for k, (_, c, d) in enumerate(rows)}
 
 
 def test_run_findings_of_empty_tables(spark):
     """A run without pages is one critical finding; nothing else comes of empty tables."""
     from siltstone.operators import tester
-    from siltstone.plans import findings
+    from literal import findings
 
     tables = [t.frame(spark) for t in (findings.RUNS, findings.RUN_PAGES, findings.BROKEN, findings.ERRORS, findings.REQUESTS, findings.ELEMENTS)]
     none = [t.where("false") for t in tables[1:]]
