@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.html import HREF
-from .graph import kept
+from ..sources.tables import dealt, written
 from .ordered import ranked
 
 #: Pages of a crawl, and visits beyond them that broken links may take.
@@ -38,7 +38,7 @@ def listed_starts(linked: DataFrame) -> DataFrame:
 
 
 def page_crawl(pages: DataFrame) -> DataFrame:
-    linked = kept(linked_pages(pages))
+    linked = written(linked_pages(pages), "linked")
     return crawl(linked, listed_starts(linked))
 
 
@@ -56,7 +56,7 @@ def crawl(linked: DataFrame, starts: DataFrame, most_pages: int = MOST_PAGES, br
     starts = starts.where("origin is not null and node is not null").groupBy("origin", "node").agg(F.min("place").alias("place"))
     size = lambda df, n: df.groupBy("origin").agg(F.sum(n).alias("size"))
     sizes = size(linked, F.size("links") + 1).unionByName(size(starts, F.lit(1))).groupBy("origin").agg(F.sum("size").alias("size"))
-    large = kept(sizes.where(F.col("size") > whole_site).select("origin"))
+    large = written(sizes.where(F.col("size") > whole_site).select("origin"), "large")
     if large.isEmpty():
         return _by_site(linked, starts, most_pages, broken_visits)
     small = _by_site(linked.join(large, "origin", "left_anti"), starts.join(large, "origin", "left_anti"), most_pages, broken_visits)
@@ -100,32 +100,31 @@ def _walked(links: dict, starts: list, most_pages: int, broken_visits: int) -> l
 
 
 def _by_level(linked: DataFrame, starts: DataFrame, most_pages: int, broken_visits: int) -> DataFrame:
-    spark = linked.sparkSession
-    dealt = kept(linked.select(F.col("origin").alias("o"), F.col("node").alias("page"), "links").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page"))
+    there = dealt(linked.select(F.col("origin").alias("o"), F.col("node").alias("page"), "links"), "page")
     first = ranked(starts, ["origin"], ["place", "node"], "position")
-    level = kept(first.select("origin", "position", "node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("referrer")))
+    level = written(first.select("origin", "position", "node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("referrer")), "level")
     seen, done, depth = level.select("origin", "node"), None, 0
     so_far = level.groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("pages"))
     while not level.isEmpty():
-        near = level.where(F.col("position") < most_pages + broken_visits).join(so_far.select("origin", "pages"), "origin").join(dealt, (F.col("page") == F.col("node")) & (F.col("o") == F.col("origin")), "left")
+        near = level.where(F.col("position") < most_pages + broken_visits).join(so_far.select("origin", "pages"), "origin").join(there, (F.col("page") == F.col("node")) & (F.col("o") == F.col("origin")), "left")
         # at most most_pages + broken_visits rows an origin
         before = Window.partitionBy("origin").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
         near = near.withColumn("earlier", F.col("pages") + F.coalesce(F.count("page").over(before), F.lit(0)))
         state = F.when(F.col("earlier") >= most_pages, "skipped").when(F.col("page").isNotNull(), "visited").otherwise("broken")
-        near = kept(near.select("origin", "position", "node", "depth", "referrer", state.alias("state"), F.when(state == "visited", F.col("links")).alias("links")))
+        near = written(near.select("origin", "position", "node", "depth", "referrer", state.alias("state"), F.when(state == "visited", F.col("links")).alias("links")), "judged")
         far = level.where(F.col("position") >= most_pages + broken_visits).withColumn("state", F.lit("skipped"))
         judged = near.drop("links").unionByName(far)
         done = judged if done is None else done.unionByName(judged)
         asked = near.select("origin", "position", F.col("node").alias("referrer"), F.posexplode("links").alias("at", "node"))
         found = asked.groupBy("origin", "node").agg(F.min(F.struct("position", "at", "referrer")).alias("by")).join(seen, ["origin", "node"], "left_anti")
         totals = so_far.join(near.where("state = 'visited'").groupBy("origin").agg(F.count(F.lit(1)).alias("more")), "origin", "left")
-        totals = kept(totals.select("origin", "n", (F.col("pages") + F.coalesce("more", F.lit(0))).alias("pages")))
+        totals = written(totals.select("origin", "n", (F.col("pages") + F.coalesce("more", F.lit(0))).alias("pages")), "totals")
         # links of at most most_pages pages an origin
         place = F.row_number().over(Window.partitionBy("origin").orderBy("by.position", "by.at")) - 1
         depth += 1
         level = found.join(totals, "origin").select("origin", (F.col("n") + place).cast("long").alias("position"), "node", F.lit(depth).alias("depth"), F.col("by.referrer").alias("referrer"))
-        level = kept(level)
+        level = written(level, "level")
         grown = totals.join(level.groupBy("origin").agg(F.count(F.lit(1)).alias("more")), "origin", "left")
-        so_far = kept(grown.select("origin", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), "pages"))
+        so_far = written(grown.select("origin", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), "pages"), "so-far")
         seen = seen.unionByName(level.select("origin", "node"))
     return done

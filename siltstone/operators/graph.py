@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.html import HREF, host_of, links, path_of
+from ..sources.tables import dealt, written
 
 
 def broken_links(pages: DataFrame) -> DataFrame:
@@ -36,32 +35,43 @@ def page_reach(pages: DataFrame) -> DataFrame:
     starts = pages.select(urls.origin(F.col("url")).alias("origin")).where("origin <> ''").distinct()
     seen = starts.select("origin", F.concat("origin", F.lit("/")).alias("node"), F.lit(0).alias("depth"))
     # dealt by source once: a frontier comes to the edges
-    edges, seen = kept(edges.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src")), kept(seen)
+    edges, seen = dealt(edges, "src"), written(seen, "seen")
     frontier, level = seen, 0
     while not frontier.isEmpty():
         level += 1
         step = edges.join(frontier, edges["src"] == frontier["node"]).select("origin", F.col("dst").alias("node")).distinct()
-        frontier = kept(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(level)))
+        frontier = written(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(level)), "frontier")
         seen = seen.unionByName(frontier)
     return seen
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """`df` in the checkpoint folder; a folder of our own where none is set, as in tests."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local") and not df.sparkSession.conf.get("spark.checkpoint.dir", None):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-"))
-    return df.checkpoint()
-
-
 def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """node, depth: nodes within so many steps of the starts (node), with the least number of steps. One join and one written frontier a level."""
-    edges, seen = kept(edges.select("src", "dst")), kept(starts.select("node").distinct().withColumn("depth", F.lit(0)))
+    edges, seen = dealt(edges.select("src", "dst"), "src"), written(starts.select("node").distinct().withColumn("depth", F.lit(0)), "seen")
     frontier = seen
     for level in range(1, depth + 1):
         step = edges.join(frontier, edges["src"] == frontier["node"]).select(F.col("dst").alias("node")).distinct()
-        frontier = kept(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(level)))
+        frontier = written(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(level)), "frontier")
         seen = seen.unionByName(frontier)
     return seen
+
+
+def neighbourhoods(edges: DataFrame, hops: int = 2, cap: int = 40) -> DataFrame:
+    """start, node, place: of each source of an edge (src, dst) itself and what its links reach in `hops` steps, `cap` nodes at most, in breadth-first order with each node's targets in order of name.
+
+    A list that takes in another's targets needs `2 * cap` of them at most, as what it has already is under `cap`: of a hub's targets only so many, its least,
+    are kept, and no list is longer. Null ends are no nodes.
+    """
+    targets = edges.where("src is not null and dst is not null and src <> dst").select("src", "dst").distinct()
+    near = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
+    short = targets.withColumn("at", near).where(F.col("at") <= 2 * cap)
+    lists = written(short.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("targets")), "targets")
+    reached = lists.select(F.col("src").alias("start"), F.array("src").alias("nodes"), F.array("src").alias("edge"))
+    for _ in range(hops):
+        asked = reached.select("start", F.posexplode("edge").alias("at", "node"))
+        told = asked.join(lists, F.col("node") == F.col("src")).groupBy("start").agg(F.array_sort(F.collect_list(F.struct("at", "targets"))).alias("told"))
+        joined = reached.join(told.withColumnRenamed("start", "s"), F.col("start") == F.col("s"), "left")
+        more = F.coalesce(F.flatten(F.transform("told", lambda x: x["targets"])), F.array().cast("array<string>"))
+        fresh = F.slice(F.array_except(more, F.col("nodes")), 1, F.greatest(F.lit(cap) - F.size("nodes"), F.lit(0)))
+        reached = written(joined.select("start", F.concat("nodes", fresh).alias("nodes"), fresh.alias("edge")), "reached")
+    return reached.select("start", F.posexplode("nodes").alias("place", "node")).select("start", "node", "place")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import html, text, urls
 from ..operators import graph, readiness, runs
 from ..sources.tables import table
-from . import pages
+from . import pages, relations
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,7 +69,7 @@ QUERIES: dict[str, Query] = {
     "run_status_latest": _of("events", runs.latest_status),
     "activity_by_day": _of("events", runs.activity),
     "queue_depth": _of("events", runs.queue_depth),
-} | pages.QUERIES
+} | pages.QUERIES | relations.QUERIES
 
 
 def _count(column: str, pattern: str) -> str:
@@ -120,8 +120,21 @@ _CRAWL = f"""
     union all select origin, place, node, 1, referrer, case when place >= 115 or pages >= 15 then 'skipped' else 'broken' end from fresh
 """
 
+_NEAR = f"""
+    with own as (select {_NORMAL('url')} as node, page_id, url as page, html from pages where {_ORIGIN('url')} <> ''),
+    there as (select * from own qualify row_number() over (partition by node order by page_id) = 1),
+    hrefs as (select node as src, page, unnest(regexp_extract_all(html, '{html.HREF}', 1)) as href from there), whole as (select *, {_WHOLE} as w from hrefs where href <> '' and not starts_with(href, '#')),
+    edges as (select distinct src, {_NORMAL('url')} as dst from (select *, {_FOLDED} as url from whole) where {_CRAWLED} and src <> {_NORMAL('url')}),
+    one as (select src as start, dst as node, row_number() over (partition by src order by dst) as a from edges),
+    two as (select start, dst as node, a, row_number() over (partition by start, o.node order by dst) as b from one o join edges e on e.src = o.node where o.a < 40),
+    found as (select distinct src as start, src as node, 0 as a, 0 as b, 0 as hop from edges union all select start, node, a, 0, 1 from one union all select start, node, a, b, 2 from two),
+    kept as (select * from found qualify row_number() over (partition by start, node order by hop, a, b) = 1)
+    select start, node, (row_number() over (partition by start order by hop, a, b) - 1)::int as place from kept qualify place < 40
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "page_crawl": _CRAWL,
+    "page_neighbourhoods": _NEAR,
     "page_links": _LINKS,
     "broken_links": f"with links as ({_LINKS}), wanted as (select host, regexp_extract(href, '^([^?#]*)', 1) as href, count(*) as n_links from links where starts_with(href, '/') group by 1, 2) "
     f"select * from wanted w where not exists (select 1 from pages where {_HOST} = w.host and {_PATH} = w.href)",
@@ -141,4 +154,4 @@ ORACLE_SQL: dict[str, str] = {
     "run_status_latest": "select user_id, arg_max(event_type, (ts, event_id)) as status, count(*) as n_events from events group by 1",
     "activity_by_day": "select ts::date as day, event_type, count(*) as n_events, count(distinct user_id) as n_users from events group by 1, 2",
     "queue_depth": "select event_id, sum(case event_type when 'view' then 1 when 'click' then -1 else 0 end) over (partition by user_id order by ts, event_id)::bigint as depth from events",
-} | pages.ORACLE_SQL
+} | pages.ORACLE_SQL | relations.ORACLE_SQL

@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions import text
 from ..functions.markup import BLOCKS
 from ..operators import checks, crawl, elements, rules
-from ..operators.graph import kept
-from ..sources.tables import table
+from ..sources.tables import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,7 +23,7 @@ def _on_both(make: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
 
     def query(spark: SparkSession, folder: str) -> DataFrame:
         pages = table(spark, folder, "pages")
-        return make(pages, kept(elements.page_view(pages)))
+        return make(pages, written(elements.page_view(pages), "view"))
 
     return query
 

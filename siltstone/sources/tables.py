@@ -1,9 +1,46 @@
-"""Tables of a folder of Parquet files."""
+"""Tables of a folder of Parquet files, and tables written on the way, in the folder that driver and executors share."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: list[str] = []
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's `spark.checkpoint.dir`; where it is unset, a folder of our own if driver and executors are one process, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="siltstone-"))
+    return _OWN[0]
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a Parquet table: what follows is read from there, whichever executor is lost."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """`df` by the hash of `key`, checkpointed: later joins on `key` bring the other side to it and don't move it again."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key).checkpoint()

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import names
 from siltstone.operators import tester
-from siltstone.sources.tables import table
 from .measured import Query, Rows
 
 RUNS = Rows("run, start_url", "('r1', 'https://a.test/'), ('r2', 'https://b.test/'), ('r3', 'https://c.test/')")
@@ -71,17 +70,6 @@ def test_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("output", names.test_totals(F.col("output")).alias("t")).select("output", "t.*")
 
 
-def page_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of all pages from their addresses: class of the path, slug, property name and collapsed text, and what ids of the like would be taken for."""
-    url = F.coalesce("url", F.lit(""))
-    path = F.regexp_extract(url, "^[a-z]+://[^/?#]*(.*)$", 1)
-    last = F.regexp_extract(path, "([^/?#]*)/?([?#].*)?$", 1)
-    return table(spark, sf_dir, "pages").select(
-        "page_id", names.page_class(path).alias("class_name"), names.slug(url).alias("slug"), names.camel_case(last).alias("property"),
-        names.collapsed(F.translate(path, "/-", "  ")).alias("words"), last.rlike(names.TEST_ID).alias("test_id"), last.rlike(names.GENERATED_ID).alias("generated"),
-    )
-
-
 def _text(value) -> str:
     return "null" if value is None else str(value).lower() if isinstance(value, bool | int) else "'" + str(value).replace("'", "''") + "'"
 
@@ -90,10 +78,9 @@ def _rows(columns: str, rows: list[tuple]) -> str:
     return f"select * from (values {', '.join('(' + ', '.join(map(_text, r)) + ')' for r in rows)}) t({columns})"
 
 
-_PASCAL = "array_to_string(list_transform(list_filter(regexp_split_to_array({0}, '[^A-Za-z0-9]+'), lambda w: w <> ''), lambda w: upper(w[1]) || w[2:]), '')"
 _PLURAL = "case when {0} = 1 then '' else 's' end"
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (run_findings, run_summary, estate_findings, path_kinds, glob_matches, test_totals, page_names)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (run_findings, run_summary, estate_findings, path_kinds, glob_matches, test_totals)}
 
 ORACLE_SQL: dict[str, str] = {
     "run_findings": f"""
@@ -120,13 +107,4 @@ union all select estate, 'low', 'duplication', 'Locator duplicated in ' || count
     "path_kinds": _rows("path, secret_like, test", PATHS),
     "glob_matches": _rows("pattern, path, matches", GLOBS),
     "test_totals": _rows("output, format, passed, failed, skipped, total", OUTPUTS),
-    "page_names": f"""
-with u as (select page_id, coalesce(url, '') as url, regexp_extract(coalesce(url, ''), '^[a-z]+://[^/?#]*(.*)$', 1) as path from pages),
-x as (select *, regexp_extract(path, '([^/?#]*)/?([?#].*)?$', 1) as last, {_PASCAL.format("regexp_replace(regexp_extract(path, '^[^?#]*'), '(?i)\\.[a-z0-9]+$', '')")} as made from u),
-y as (select *, {_PASCAL.format('last')} as property_of, trim(regexp_replace(translate(path, '/-', '  '), '\\s+', ' ', 'g')) as spaced,
-  left(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 60) as slugged from x)
-select page_id, case when regexp_matches(made, '^[0-9]') then 'Page' else '' end || case when made = '' then 'Home' else made end || 'Page' as class_name, case when slugged = '' then 'app' else slugged end as slug,
-  lower(property_of[1]) || property_of[2:] as property, case when spaced <> '' then trim(left(spaced, 80)) end as words,
-  regexp_matches(last, '(?i)^(test|qa|e2e|tid|testid|data-test|cy)[-_:]|[-_](test|testid|qa)$') as test_id,
-  regexp_matches(last, '(?i)^:|^(ember|react|mui|css|sc|jss|svelte|chakra|radix)[-_]?[a-z0-9]{{3,}}$|^[a-f0-9]{{8,}}$|[0-9]{{4,}}') as generated from y""",
 }

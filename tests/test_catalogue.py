@@ -10,7 +10,7 @@ from literal import basic, findings, measured, sites
 from siltstone.plans import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = "pages documents events lineitem orders customer conversations benchmark labels".split()
+TABLES = "pages documents events lineitem orders customer conversations benchmark labels supplier nation".split()
 
 
 def plain(value):
