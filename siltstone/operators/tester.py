@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fixed value: a page that takes longer is slow, and three times as long very slow.
+# What the findings below say; a page that takes longer than this is slow, and three times as long very slow.
 SLOW_MS = 3000
 
 
@@ -15,9 +15,11 @@ def _count(n: Column, one: str) -> Column:
 
 
 def _first_three(rows: DataFrame, text: Column, *more: Column) -> DataFrame:
-    """run, path, total, detail (the first three texts by n) and further aggregates of each page's rows."""
-    three = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("n", text.alias("t")))), lambda x: x["t"]), 1, 3)
-    return rows.groupBy("run", "path").agg(F.count(F.lit(1)).alias("total"), F.array_join(three, " | ").alias("detail"), *more)
+    """run, path, total, detail (the first three texts by n) and further aggregates of each page's rows; only those three are gathered."""
+    place = F.row_number().over(Window.partitionBy("run", "path").orderBy("n", text))
+    first = rows.select("run", "path", "n", text.alias("t"), place.alias("place")).where("place <= 3").groupBy("run", "path").agg(F.array_sort(F.collect_list(F.struct("place", "t"))).alias("three"))
+    counted = rows.groupBy("run", "path").agg(F.count(F.lit(1)).alias("total"), *more)
+    return counted.join(first, ["run", "path"]).withColumn("detail", F.array_join(F.transform("three", lambda x: x["t"]), " | ")).drop("three")
 
 
 def run_findings(runs: DataFrame, pages: DataFrame, broken: DataFrame, errors: DataFrame, requests: DataFrame, elements: DataFrame) -> DataFrame:
@@ -71,19 +73,22 @@ def run_summary(pages: DataFrame, elements: DataFrame) -> DataFrame:
 
 
 def estate_findings(locators: DataFrame, todos: DataFrame, waits: DataFrame, untested: DataFrame, duplicates: DataFrame, most_duplicates: int = 50) -> DataFrame:
-    """estate, severity, category, title of each finding of a converted estate.
+    """estate, severity, category, title, detail of each finding of a converted estate.
 
-    `locators` (estate, strategy, value, confidence) are those of low confidence, `todos` and `waits` (estate, raw) the statements that
-    can't be converted and the sleeps removed, `untested` (estate, test) tests without an assertion, `duplicates` (estate, strategy, value, file)
-    the places of locators; of those in several files the first `most_duplicates` of an estate by value are told, as a report's top list.
+    `locators` (estate, strategy, value, confidence, note, code) are those of low confidence, `todos` (estate, raw, place) and `waits` (estate, raw) the statements that
+    can't be converted and the sleeps removed, `untested` (estate, test) tests without an assertion, `duplicates` (estate, strategy, value, file, n)
+    the places of locators with `n`, their order; of those in several files the first `most_duplicates` of an estate by first place are told, as a report's top list.
     """
-    made = lambda df, severity, category, *title: df.select("estate", severity.alias("severity"), F.lit(category).alias("category"), F.concat(*title).alias("title"))
+    made = lambda df, severity, category, detail, *title: df.select("estate", severity.alias("severity"), F.lit(category).alias("category"), F.concat(*title).alias("title"), detail.alias("detail"))
     cut = lambda c, n=80: F.substring(c, 1, n)
-    brittle = made(locators, F.when(F.col("confidence") < 0.4, "high").otherwise("medium"), "locator", F.lit("Brittle locator ("), "strategy", F.lit("): "), cut("value"))
-    open_ = made(todos, F.lit("medium"), "conversion", F.lit("Unconvertible: "), cut("raw"))
-    flaky = made(waits, F.lit("low"), "flakiness", F.lit("Hard wait removed: "), cut("raw"))
-    bare = made(untested, F.lit("low"), "quality", F.lit("Test without assertion: "), "test")
-    several = duplicates.groupBy("estate", "strategy", "value").agg(F.count_distinct("file").alias("files")).where("files > 1")
-    first = several.withColumn("k", F.row_number().over(Window.partitionBy("estate").orderBy("strategy", "value"))).where(F.col("k") <= most_duplicates)
-    twice = made(first, F.lit("low"), "duplication", F.lit("Locator duplicated in "), F.col("files").cast("string"), F.lit(" files: "), "strategy", F.lit("="), cut("value", 60))
+    severity = F.when(F.col("confidence") < 0.4, "high").otherwise("medium")
+    brittle = made(locators, severity, "locator", F.concat(F.coalesce("note", F.lit("low confidence")), F.lit(" -> generated "), "code"), F.lit("Brittle locator ("), "strategy", F.lit("): "), cut("value"))
+    open_ = made(todos, F.lit("medium"), "conversion", F.concat(F.lit("in "), "place"), F.lit("Unconvertible: "), cut("raw"))
+    flaky = made(waits, F.lit("low"), "flakiness", F.lit("Playwright auto-waits; the sleep was replaced with a NOTE comment."), F.lit("Hard wait removed: "), cut("raw"))
+    bare = made(untested, F.lit("low"), "quality", F.lit(None).cast("string"), F.lit("Test without assertion: "), "test")
+    files = duplicates.groupBy("estate", "strategy", "value", "file").agg(F.min("n").alias("n"))
+    several = files.groupBy("estate", "strategy", "value").agg(F.min("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("n", "file"))), lambda f: f["file"]).alias("files")).where(F.size("files") > 1)
+    first = several.withColumn("k", F.row_number().over(Window.partitionBy("estate").orderBy("n"))).where(F.col("k") <= most_duplicates)
+    told = F.array_join("files", ", ")
+    twice = made(first, F.lit("low"), "duplication", told, F.lit("Locator duplicated in "), F.size("files").cast("string"), F.lit(" files: "), "strategy", F.lit("="), cut("value", 60))
     return brittle.unionByName(open_).unionByName(flaky).unionByName(bare).unionByName(twice)

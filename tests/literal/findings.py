@@ -19,11 +19,11 @@ ERRORS = Rows("run, path, n, message", "('r1', '/', 1, 'one'), ('r1', '/slow', 1
 REQUESTS = Rows("run, path, n, status, method, url", "('r1', '/', 1, 404, 'GET', '/p.png'), ('r1', '/slow', 1, 404, 'GET', '/q'), ('r1', '/slow', 2, 500, 'POST', '/r')")
 ELEMENTS = Rows("run, path, n, confidence", "('r1', '/', 1, 'high'), ('r1', '/', 2, 'low'), ('r1', '/slow', 1, 'low'), ('r1', '/slow', 2, 'medium'), ('r1', '/slow', 3, 'high'), ('r3', '/', 1, 'low')")
 
-WEAK = Rows("estate, strategy, value, confidence", "('e', 'xpath', '//div[3]/a', 0.3), ('e', 'css', '.c', 0.4), ('f', 'css', '#' || repeat('x', 100), 0.59)")
-TODOS = Rows("estate, raw", "('e', 'driver.magic()'), ('f', repeat('y', 81))")
+WEAK = Rows("estate, strategy, value, confidence, note, code", "('e', 'xpath', '//div[3]/a', 0.3, 'positional', 'a()'), ('e', 'css', '.c', 0.4, null, 'b()'), ('f', 'css', '#' || repeat('x', 100), 0.59, null, 'c()')")
+TODOS = Rows("estate, raw, place", "('e', 'driver.magic()', 'LoginTest'), ('f', repeat('y', 81), 't')")
 WAITS = Rows("estate, raw", "('e', 'Thread.sleep(500);')")
 UNTESTED = Rows("estate, test", "('e', 'logs in'), ('f', 'opens')")
-PLACES = Rows("estate, strategy, value, file", "('e', 'id', 'user', 'A.java'), ('e', 'id', 'user', 'B.java'), ('e', 'id', 'user', 'B.java'), ('e', 'id', 'pass', 'A.java'), ('f', 'css', repeat('z', 70), 'a.py'), ('f', 'css', repeat('z', 70), 'b.py')")
+PLACES = Rows("estate, strategy, value, file, n", "('e', 'id', 'user', 'B.java', 1), ('e', 'id', 'user', 'A.java', 2), ('e', 'id', 'user', 'B.java', 3), ('e', 'id', 'pass', 'A.java', 4), ('f', 'css', repeat('z', 70), 'a.py', 1), ('f', 'css', repeat('z', 70), 'b.py', 2)")
 
 # path, whether it may hold credentials, whether it is of a test: by the definitions of these kinds
 PATHS = [
@@ -34,12 +34,7 @@ PATHS = [
 # glob, path, whether it matches
 GLOBS = [
     ("**/*.java", "A.java", True), ("**/*.java", "x/y/A.java", True), ("*.java", "x/A.java", False), ("src/**", "src/a/b", True), ("a?.ts", "ab.ts", True), ("a?.ts", "a/.ts", False), ("*.{ts,js}", "a.js", True),
-    ("*.{ts,js}", "a.jsx", False), ("a.b", "axb", False), ("x/**/y", "x/y", True), ("x/**/y", "x/1/2/y", True), ("(a)+[b]", "(a)+[b]", True), ("**", "any/thing", True), ("*", "", True),
-]
-# text, the totals of a runner's summary
-OUTPUTS = [
-    ("# tests 9\n# pass 6\n# fail 1\n# skipped 1\n# todo 1", "node:test", 6, 1, 2, 9), ("ℹ pass 4\nℹ fail 0", "node:test", 4, 0, 0, 4), (" Test Files  1 passed (1)\n      Tests  2 failed | 5 passed | 1 skipped (8)", "vitest", 5, 2, 1, 8),
-    ("Tests:       1 failed, 2 skipped, 7 passed, 10 total", "jest", 7, 1, 2, 10), ("==== 3 passed, 1 failed, 2 skipped in 0.12s ====", "pytest", 3, 1, 2, 6), ("  2 failed\n  1 skipped\n  5 passed (3.1s)", "playwright", 5, 2, 1, 8), ("nothing here", None, None, None, None, None),
+    ("*.{ts,js}", "a.jsx", False), ("a.b", "axb", False), ("x/**/y", "x/y", True), ("x/**/y", "x/1/2/y", True), ("(a)+[b]", "(a)+[b]", True), ("**", "any/thing", True), ("*", "", True), ("a{b", "a{b", True), ("a}", "a}", True), ("a}{b", "a}{b", True), ("x.{a*,b}", "x.a*", True), ("x.{a*,b}", "x.ac", False), ("x.{a.b}", "x.a-b", False), ("{}", "", True), ("a", "a\n", False), ("\\d/*", "/d/x", True),
 ]
 
 
@@ -65,11 +60,6 @@ def glob_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("pattern", "path", F.rlike("path", names.glob_regex(F.col("pattern"))).alias("matches"))
 
 
-def test_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(t,) for t, *_ in OUTPUTS], "output string")
-    return rows.select("output", names.test_totals(F.col("output")).alias("t")).select("output", "t.*")
-
-
 def _text(value) -> str:
     return "null" if value is None else str(value).lower() if isinstance(value, bool | int) else "'" + str(value).replace("'", "''") + "'"
 
@@ -80,7 +70,7 @@ def _rows(columns: str, rows: list[tuple]) -> str:
 
 _PLURAL = "case when {0} = 1 then '' else 's' end"
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (run_findings, run_summary, estate_findings, path_kinds, glob_matches, test_totals)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (run_findings, run_summary, estate_findings, path_kinds, glob_matches)}
 
 ORACLE_SQL: dict[str, str] = {
     "run_findings": f"""
@@ -99,12 +89,11 @@ union all select run, 'info', 'testability', count(*) filter (confidence = 'low'
 union all select run, 'critical', 'navigation', 'No page could be rendered', 'The start URL ' || start_url || ' did not produce a renderable page; check the URL, network access and authentication' from {RUNS.sql} where run not in (select run from p)""",
     "run_summary": f"select run, count(*) as pages, count(*) filter (load_ms > 3000) as slow, floor(avg(load_ms) + 0.5)::bigint as avg_ms, coalesce(any_value(k), 0) as locators from {RUN_PAGES.sql} left join (select run, count(*) as k from {ELEMENTS.sql} group by 1) using (run) group by 1",
     "estate_findings": f"""
-select estate, case when confidence < 0.4 then 'high' else 'medium' end as severity, 'locator' as category, 'Brittle locator (' || strategy || '): ' || left(value, 80) as title from {WEAK.sql}
-union all select estate, 'medium', 'conversion', 'Unconvertible: ' || left(raw, 80) from {TODOS.sql}
-union all select estate, 'low', 'flakiness', 'Hard wait removed: ' || left(raw, 80) from {WAITS.sql}
-union all select estate, 'low', 'quality', 'Test without assertion: ' || test from {UNTESTED.sql}
-union all select estate, 'low', 'duplication', 'Locator duplicated in ' || count(distinct file) || ' files: ' || strategy || '=' || left(value, 60) from {PLACES.sql} group by estate, strategy, value having count(distinct file) > 1""",
+select estate, case when confidence < 0.4 then 'high' else 'medium' end as severity, 'locator' as category, 'Brittle locator (' || strategy || '): ' || left(value, 80) as title, coalesce(note, 'low confidence') || ' -> generated ' || code as detail from {WEAK.sql}
+union all select estate, 'medium', 'conversion', 'Unconvertible: ' || left(raw, 80), 'in ' || place from {TODOS.sql}
+union all select estate, 'low', 'flakiness', 'Hard wait removed: ' || left(raw, 80), 'Playwright auto-waits; the sleep was replaced with a NOTE comment.' from {WAITS.sql}
+union all select estate, 'low', 'quality', 'Test without assertion: ' || test, null from {UNTESTED.sql}
+union all select estate, 'low', 'duplication', 'Locator duplicated in ' || count(*) || ' files: ' || strategy || '=' || left(value, 60), string_agg(file, ', ' order by n) from (select estate, strategy, value, file, min(n) as n from {PLACES.sql} group by all) group by estate, strategy, value having count(*) > 1""",
     "path_kinds": _rows("path, secret_like, test", PATHS),
     "glob_matches": _rows("pattern, path, matches", GLOBS),
-    "test_totals": _rows("output, format, passed, failed, skipped, total", OUTPUTS),
 }

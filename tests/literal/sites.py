@@ -1,4 +1,4 @@
-"""Named queries on sitemaps, llms.txt files, routes, collection names and test cases; the SQL is the expected rows, written on their own."""
+"""Named queries on sitemaps, collection names and test cases; the SQL is the expected rows, written on their own."""
 
 from __future__ import annotations
 
@@ -15,22 +15,6 @@ SITEMAPS = [
     ("<sitemapindex xmlns='s'><sitemap><loc>https://a.test/s.xml</loc></sitemap></sitemapindex>", "index", "https://a.test/s.xml"),
     ("<html><loc>two words</loc></html>", "unknown", ""), ("", "unknown", ""), (None, "unknown", ""),
 ]
-# text, ok, heading, links, problems joined by a bar
-LLMS = [
-    ("  # A site\n\n- [Home](https://a.test/): start\n- [Docs](/docs)", True, "A site", 2, ""), ("## Not first\n[a](b)", False, None, 1, 'no "# Site name" heading'),
-    ("intro\n# Late\nno links", False, "Late", 0, "no markdown links to key pages"), ("<!DOCTYPE html><h1>[a](b)</h1>", False, None, 0, "served HTML, not markdown (probably an SPA fallback page)"),
-    (None, False, None, 0, 'no "# Site name" heading|no markdown links to key pages'),
-]
-# folders, route, group
-ROUTES = [
-    ("a/(shop)/[id]/[...slug]", "/a/:id/*slug", "/a"), ("docs/[[...all]]", "/docs/*all?", "/docs"), ("(home)", "/", "/"), ("", "/", "/"), ("a/_parts/b", None, None),
-    ("@side/api/users/[id]", "/api/users/:id", "/api/users"), ("api", "/api", "/api"),
-]
-# matcher, path, whether it covers it
-MATCHERS = [
-    ("/", "/", True), ("/", "/a", False), ("/dash/:path*", "/dash/x", True), ("/dash/:path*", "/dash", True), ("/dash/:path*", "/dashes", False), ("/:path*", "/any", True), ("/api/(.*)", "/api/x", True),
-    ("/((?!api|_next/static|favicon\\.ico).*)", "/api/x", False), ("/((?!api|_next/static|favicon\\.ico).*)", "/_next/image", False), ("/((?!api|_next/static|favicon\\.ico).*)", "/shop", True), ("/((?!api|_next/static|favicon\\.ico).*)", "/", True),
-]
 # model, collection
 MODELS = [("User", "users"), ("Box", "boxes"), ("Class", "classes"), ("News", "news"), ("Company", "companies"), ("Day", "days"), ("Colloquy", "colloquies"), ("Branch", "branches")]
 # path, source, cases
@@ -49,20 +33,6 @@ def sitemap_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("body", "s.kind", F.array_join("s.locs", " ").alias("locs"))
 
 
-def llms_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _frame(spark, LLMS, "body string").select("body", sites.llms_text(F.col("body")).alias("s"))
-    return found.select("body", "s.ok", "s.h1", "s.links", F.array_join("s.problems", "|").alias("problems"))
-
-
-def route_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    routes = _frame(spark, ROUTES, "folders string").withColumn("route", sites.route_path(F.col("folders")))
-    return routes.withColumn("route_group", sites.route_group(F.col("route")))
-
-
-def matcher_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _frame(spark, MATCHERS, "matcher string, path string").withColumn("covers", sites.matcher_covers(F.col("matcher"), F.col("path")))
-
-
 def collection_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frame(spark, MODELS, "model string").withColumn("collection", sites.collection_name(F.col("model")))
 
@@ -71,13 +41,10 @@ def test_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frame(spark, CASES, "path string, source string").withColumn("cases", sites.case_count(F.col("path"), F.col("source")))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (sitemap_texts, llms_texts, route_paths, matcher_cover, collection_names, test_cases)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (sitemap_texts, collection_names, test_cases)}
 
 ORACLE_SQL: dict[str, str] = {
     "sitemap_texts": _rows("body, kind, locs", SITEMAPS),
-    "llms_texts": _rows("body, ok, h1, links, problems", LLMS),
-    "route_paths": _rows("folders, route, route_group", ROUTES),
-    "matcher_cover": _rows("matcher, path, covers", MATCHERS),
     "collection_names": _rows("model, collection", MODELS),
     "test_cases": _rows("path, source, cases", CASES),
 }
