@@ -187,6 +187,20 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
     return index.select("vec_id", "vector", F.coalesce("ids", F.array("vec_id")).alias("ids"))
 
 
+def squarable(vector: Column) -> Column:
+    """The vector, times a power of two if squares of its components would leave the doubles' range; no cosine changes."""
+    largest = F.array_max(F.transform(vector, F.abs))
+    factor = F.pow(F.lit(2.0), F.least(-F.floor(F.log2(largest)), F.lit(1000)))
+    return F.when(largest.between(1e-100, 1e100), vector).otherwise(F.transform(vector, lambda x: x * factor))
+
+
+def of_common_length(rows: DataFrame) -> DataFrame:
+    """The rows whose vector has the length that most have; of equal numbers the larger."""
+    size = F.size("vector").alias("size")
+    lengths = rows.groupBy(size).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("size")).limit(2).collect()
+    return rows.where(F.size("vector") == lengths[0]["size"]) if len(lengths) > 1 else rows
+
+
 def search(
     vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 200, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
@@ -198,15 +212,15 @@ def search(
     What is left is scored exactly on the original vectors in double precision, and rows of equal vectors
     are told apart by id. At every cut ties go to the smaller id.
 
-    A null id, and a vector that is null, empty, zero or has null or non-finite components, takes no part. All vectors have one
-    length. Rows with the query's id are never its answers; other repeated ids are scored one by one and an id
+    A null id, and a vector that is null, empty, zero or has null or non-finite components, takes no part, nor does one of another length than
+    the commonest (of equal numbers the larger). Rows with the query's id are never its answers; other repeated ids are scored one by one and an id
     is answered once. A query whose id has several vectors asks with the one of least hash. With fewer candidates
     than `k` all come; an empty table gives no rows. Other columns are ignored, whatever their names.
     """
     spark, rerank = vectors.sparkSession, max(rerank, k + 1)  # a query's own vector takes a place
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vector_col).cast("array<double>"), lambda x: x + F.lit(0.0)).alias("vector"))
-    rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).select("*", F.xxhash64(F.lit(1), "vector").alias("h1"), F.xxhash64(F.lit(2), "vector").alias("h2"))
-    rows = written(rows.dropDuplicates(["vec_id", "h1", "h2"]), "vectors")
+    rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).select("vec_id", squarable(F.col("vector")).alias("vector")).select("*", F.xxhash64(F.lit(1), "vector").alias("h1"), F.xxhash64(F.lit(2), "vector").alias("h2"))
+    rows = of_common_length(written(rows.dropDuplicates(["vec_id", "h1", "h2"]), "vectors"))
     index = written(distinct_vectors(rows, k), "index")
     total = index.count()
     share = min(1.0, SAMPLE / max(1, total))

@@ -223,3 +223,88 @@ def test_classifier_on_odd_rows(spark):
     assert {r.score for r in quality_classifier.predict_all(docs, labels.where("false")).collect()} == {0.5}
     assert quality_classifier.predict_all(docs.where("false"), labels).count() == 0
     assert docs.select(F.max(quality_classifier.held_out(F.col("doc_id")).cast("int"))).first()[0] in (0, 1)
+
+
+def language_model(rows, per_lang, k):
+    """idf, centroids and their languages by loops over texts, from rows of lang and text."""
+    def grams(text):
+        raw, bins = text.lower().encode(), {}
+        for n in (1, 2, 3, 4):
+            for i in range(len(raw) - n + 1):
+                value = int.from_bytes(raw[i : i + n], "big")
+                at = (value * 2654435761 + n * 0x9E3779B1 & 0xFFFFFFFF) * 0x85EBCA6B % 2**32 >> 20
+                bins[at] = bins.get(at, 0) + 1
+        return bins
+
+    df = np.zeros(4096)
+    for _, text in rows:
+        df[list(grams(text))] += 1
+    idf = np.log((1 + len(rows)) / (1 + df)) + 1
+
+    def vector(text):
+        x = np.zeros(4096)
+        for at, n in grams(text).items():
+            x[at] = np.log1p(n) * idf[at]
+        return x / np.linalg.norm(x)
+
+    return vector, idf
+
+
+def test_languages_by_their_definition(spark):
+    from siltstone.llm import langid
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang")
+    taught = [(r.lang, r.text) for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 and r.lang and any(map(str.isalpha, r.text or ""))]
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))).select("text", "lang"), per_lang=20, k=3)
+    vector, idf = language_model(taught, 20, 3)
+    assert np.allclose(model.idf, idf, rtol=1e-5)
+    assert sorted(model.langs) == sorted({lang for lang, _ in taught})
+    for k, lang in enumerate(model.langs):
+        texts = sorted({t for x, t in taught if x == lang}, key=lambda t: spark_hash(spark, t))[:20]
+        x = np.stack([vector(t) for t in texts])
+        centres = model.centroids[model.owner == k]
+        own = np.argmax(x @ centres.T, axis=1)
+        for c, centre in enumerate(centres):
+            # a centroid is the mean direction of the texts nearest to it
+            mean = x[own == c].sum(axis=0)
+            assert np.allclose(centre, mean / np.linalg.norm(mean), atol=1e-4)
+            assert np.isclose(model.floor[model.owner == k][c], 0.5 * (x[own == c] @ centre).min(), atol=1e-4)
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    for r in docs.collect():
+        if any(map(str.isalpha, r.text or "")):
+            cosine = vector(r.text) @ model.centroids.T
+            assert np.isclose(got[r.doc_id].score, cosine.max(), atol=1e-4)
+            assert cosine[model.owner == model.langs.index(got[r.doc_id].lang_pred)].max() > cosine.max() - 1e-4
+            best = int(np.argmax(cosine))
+            assert got[r.doc_id].rejected == (cosine[best] < model.floor[best]) or abs(cosine[best] - model.floor[best]) < 1e-4
+        else:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score, got[r.doc_id].rejected) == ("und", 0.0, True)
+
+
+_HASHES: dict[str, int] = {}
+
+
+def spark_hash(spark, text):
+    if text not in _HASHES:
+        docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("text", F.xxhash64("text").alias("h"))
+        _HASHES.update({r.text: r.h for r in docs.collect()})
+    return _HASHES[text]
+
+
+def test_vectors_of_several_lengths_and_sizes(spark):
+    from siltstone.llm import ann
+
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(40, 4))
+    rows = [(k, (v * (1e200 if k % 3 == 0 else 1e-200 if k % 3 == 1 else 1.0)).tolist()) for k, v in enumerate(base)]
+    odd = [(100, [1.0, 2.0]), (101, [1.0, 2.0, 3.0]), (150, [5.0]), (102, base[7].tolist()[:3])]
+    got = ann.search(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>"), every=10)
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(found) == {0, 10, 20, 30}
+    for query, hits in found.items():
+        cosine = unit @ unit[query]
+        order = [k for k in np.argsort(-cosine, kind="stable") if k != query][:5]
+        assert [v for _, v, _ in sorted(hits)] == order and np.allclose([s for *_, s in sorted(hits)], cosine[order])
