@@ -31,6 +31,15 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[0]
 
 
+#: Bytes of an Arrow batch; a row that is larger is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have this session send texts to Python in batches of BATCH_BYTES: executors hold two batches a core, outside their heap, and their workers as many."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     taken = _TAKEN.get()
