@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import bpe, line_dedup, minhash, mixing, quality
 from siltstone.llm.queries import vocabulary
-from siltstone.llm.store import drop_tables, small_or_not, taken_paths, written
+from siltstone.llm.store import drop_tables, small_batches, small_or_not, taken_paths, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or their cell's estimate reject go; null and blank texts are among them. Equal rows go or stay together."""
+    small_batches(spark)
     return quality.filter_quality(docs)
 
 
@@ -34,6 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows of null id, and of blank or null text, stay; rows of one id go or stay together.
     """
+    small_batches(spark)
     found = minhash.near_duplicates(docs, minhash.Plan(width=5, percent=80))
     gone = small_or_not(written(found.where(~F.col("kept")).select("doc_id").distinct(), "gone"))
     return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
@@ -46,6 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row; null text has no ids. An empty table gives no rows, here and in every stage."""
+    small_batches(spark)
     return bpe.digests(docs, vocabulary())
 
 
