@@ -18,6 +18,8 @@ CLOSES = {tag: ({"p"}, {"button", "table", "td", "th", "body"}) for tag in BLOCK
     "li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}),
     "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"}), "tr": ({"tr"}, {"table"}), "tbody": ({"thead", "tbody"}, {"table"}), "tfoot": ({"thead", "tbody"}, {"table"}),
 }
+#: Elements within a block whose text is told.
+NAMED = ("a", "button")
 REGIONS = frozenset("nav main article aside header footer head".split())
 
 # a quoted value may hold ">"; no part is tried twice
@@ -29,7 +31,7 @@ _ATTRIBUTE = re.compile(r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']
 class Element:
     """An element as it was opened: its parent's place among the page's elements, its region (innermost of REGIONS) and number of open ancestors.
 
-    `text` is what stands in it: all of raw text, titles and links, and of others what no block inside it holds.
+    `text` is what stands in it: all of raw text, titles, links and buttons (but what a further one of the kind inside has), of blocks what no block inside holds, of others nothing.
     """
 
     tag: str
@@ -76,7 +78,8 @@ def parsed(text: str | None) -> Page:
     runs: list[tuple[int | None, str, str]] = []
     stack: list[int] = []
     n_open: dict[str, int] = {}
-    regions, blocks, links = [""], [None], []  # innermost last
+    regions, blocks = [""], [None]  # innermost last
+    named: dict[str, list[int]] = {tag: [] for tag in NAMED}
     part: list[str] = []
 
     def end_run() -> None:
@@ -89,8 +92,8 @@ def parsed(text: str | None) -> Page:
         k = stack.pop()
         tag = elements[k].tag
         n_open[tag] -= 1
-        if tag == "a":
-            links.pop()
+        if tag in NAMED:
+            named[tag].pop()
         if tag in BLOCKS:
             end_run()
             blocks.pop()
@@ -103,8 +106,9 @@ def parsed(text: str | None) -> Page:
         part.append(raw)
         if blocks[-1] is not None:
             elements[blocks[-1]].parts.append(raw)
-        if links and links[-1] != blocks[-1]:
-            elements[links[-1]].parts.append(raw)
+        for open_ in named.values():
+            if open_:
+                elements[open_[-1]].parts.append(raw)
 
     at = 0
     while at < len(text):
@@ -169,8 +173,8 @@ def parsed(text: str | None) -> Page:
             continue
         stack.append(len(elements) - 1)
         n_open[tag] = n_open.get(tag, 0) + 1
-        if tag == "a":
-            links.append(stack[-1])
+        if tag in NAMED:
+            named[tag].append(stack[-1])
         if tag in BLOCKS:
             blocks.append(stack[-1])
     end_run()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import graph
+from . import facts, graph
 from .checks import findings
 
 # Severity weights; ids, areas, severities and predicates (SQL over page_view's columns) of the rules; what fixes take, `medium` where nothing is said.
@@ -44,14 +44,17 @@ HOME_RULES = [
     ("build.no-favicon", "build", "'low'", "not has_icon"),
     ("build.builder-fingerprints", "build", "'low'", "signs <> ''"),
 ]
-AREAS = ["ai-visibility", "search", "build"]
+AREAS = ["ai-visibility", "search", "build", "design", "readiness"]
+#: What a sign of a template takes from the score of design, whatever its severity.
+DESIGN_SIGN = 6
 EFFORTS = ["quick", "medium", "project"]
 QUICK = (
     "seo.missing-title seo.missing-description seo.long-title seo.duplicate-titles seo.duplicate-descriptions seo.missing-h1 seo.multiple-h1 seo.missing-lang seo.missing-viewport "
     "seo.missing-canonical seo.canonical-to-home seo.canonical-other-host seo.missing-open-graph seo.images-missing-alt seo.noindex ai.nosnippet build.no-favicon build.scaffold-title "
-    "build.placeholder-content build.builder-fingerprints"
+    "build.placeholder-content build.builder-fingerprints readiness.no-analytics readiness.form-submit-unverified readiness.focus-outline-removed readiness.no-contact-details "
+    "readiness.no-business-identity readiness.competing-calls-to-action design.emoji-headings design.em-dash-density design.hover-opacity"
 ).split()
-PROJECT = ["ai.content-needs-javascript", "seo.hash-routes", "build.secret-in-javascript", "build.public-browser-keys"]
+PROJECT = ["ai.content-needs-javascript", "seo.hash-routes", "build.secret-in-javascript", "build.public-browser-keys", "readiness.many-third-parties", "design.untouched-shadcn"]
 
 
 def homes(view: DataFrame) -> DataFrame:
@@ -74,12 +77,16 @@ def shared_values(view: DataFrame) -> DataFrame:
     return values.groupBy("host", "rule", "value").agg(F.count(F.lit(1)).alias("n_pages")).where("n_pages > 1")
 
 
-def failed_checks(pages: DataFrame, view: DataFrame) -> DataFrame:
-    """host, rule, area, severity, n_pages of page rules, shared values and linked pages that aren't there; a check fails once a site."""
+def failed_checks(pages: DataFrame, view: DataFrame, page_facts: DataFrame) -> DataFrame:
+    """host, rule, area, severity, n_pages of page rules, shared values, linked pages that aren't there, readiness and signs of templates; a check fails once a site.
+
+    `view` and `page_facts` are those of `pages`, written. Checks of a site as a whole have no pages.
+    """
     shared = shared_values(view).groupBy("host", "rule").agg(F.sum("n_pages").alias("n_pages"))
     missing = graph.broken_links(pages).groupBy("host").agg(F.count(F.lit(1)).alias("n_pages")).withColumn("rule", F.lit("seo.broken-internal-pages"))
     more = shared.unionByName(missing).select("host", "rule", F.lit("search").alias("area"), F.lit("medium").alias("severity"), "n_pages")
-    return site_findings(page_findings(view)).unionByName(more)
+    ready = facts.site_findings(page_facts).withColumn("n_pages", F.lit(0).cast("long"))
+    return site_findings(page_findings(view).unionByName(facts.design_findings(page_facts))).unionByName(more).unionByName(ready)
 
 
 def severity_counts(found: DataFrame) -> DataFrame:
@@ -101,9 +108,9 @@ def site_findings(found: DataFrame) -> DataFrame:
 
 
 def area_scores(view: DataFrame, failed: DataFrame) -> DataFrame:
-    """host, area, score, grade: 100 less the weights of failed checks, 0 at least; areas without findings have 100."""
+    """host, area, score, grade: 100 less the weights of failed checks (in design, DESIGN_SIGN each), 0 at least; areas without findings have 100."""
     hosts = view.select("host").distinct().select("host", F.explode(F.array(*map(F.lit, AREAS))).alias("area"))
-    lost = failed.groupBy("host", "area").agg(F.sum(weight(F.col("severity"))).alias("lost"))
+    lost = failed.groupBy("host", "area").agg(F.sum(F.when(F.col("area") == "design", DESIGN_SIGN).otherwise(weight(F.col("severity")))).alias("lost"))
     score = F.greatest(F.lit(0), 100 - F.coalesce("lost", F.lit(0))).cast("long")
     scored = hosts.join(lost, ["host", "area"], "left").select("host", "area", score.alias("score"))
     grade = F.when(F.col("score") >= 90, "A").when(F.col("score") >= 75, "B").when(F.col("score") >= 60, "C").when(F.col("score") >= 40, "D").otherwise("F")

@@ -35,10 +35,7 @@ def _on_pages(make: Callable[[DataFrame], DataFrame]) -> Query:
 QUERIES: dict[str, Query] = {
     "page_view": _on_view(lambda view: view),
     "page_rules": _on_both(lambda pages, view: rules.page_findings(view)),
-    "site_findings": _on_both(rules.failed_checks),
     "findings_by_severity": _on_both(lambda pages, view: rules.severity_counts(rules.page_findings(view))),
-    "area_scores": _on_both(lambda pages, view: rules.area_scores(view, rules.failed_checks(pages, view))),
-    "fix_plan": _on_both(lambda pages, view: rules.fix_plan(rules.failed_checks(pages, view))),
     "shared_values": _on_view(rules.shared_values),
     "duplicate_titles": _on_view(rules.shared_titles),
     "link_regions": _on_pages(elements.link_regions),
@@ -126,8 +123,6 @@ _WITH = f"""
     site as (select host, rule, area, arg_max(severity, {_WEIGHT}) as severity, count(*) as n_pages from findings group by 1, 2, 3
         union all select host, rule, 'search', 'medium', sum(n_pages)::bigint from ({_SHARED}) group by host, rule union all select host, 'seo.broken-internal-pages', 'search', 'medium', n_pages from ({_GONE}))
 """
-_EFFORT = f"case when rule in ({', '.join(map(repr, rules.QUICK))}) then 'quick' when rule in ({', '.join(map(repr, rules.PROJECT))}) then 'project' else 'medium' end"
-
 # tags and texts of a page in order, with the number of open elements of a name before each
 _NAMES = ("nav", "main", "article", "aside", "header", "footer", "a")
 _TOKENS = f"""
@@ -142,14 +137,8 @@ _TOKENS = f"""
 ORACLE_SQL: dict[str, str] = {
     "page_view": _VIEW,
     "page_rules": _WITH + "select * from findings",
-    "site_findings": _WITH + "select * from site",
     "findings_by_severity": _WITH
     + f"select t.severity, count(f.rule) as findings from (values {', '.join(f"('{s}')" for s in rules.WEIGHTS)}) t(severity) left join findings f on f.severity = t.severity group by 1",
-    "area_scores": _WITH + f", lost as (select host, area, sum({_WEIGHT}) as lost from site group by all), scored as (select h.host, a.area, greatest(0, 100 - coalesce(lost, 0))::bigint as score "
-    f"from (select distinct host from page_view) h cross join (values {', '.join(f"('{a}')" for a in rules.AREAS)}) a(area) left join lost on lost.host = h.host and lost.area = a.area) "
-    "select *, case when score >= 90 then 'A' when score >= 75 then 'B' when score >= 60 then 'C' when score >= 40 then 'D' else 'F' end as grade from scored",
-    "fix_plan": _WITH + f", plan as (select *, {_EFFORT} as effort from site) select host, row_number() over (partition by host order by {_WEIGHT} desc, "
-    f"list_position({rules.EFFORTS}, effort), list_position({rules.AREAS}, area), rule) as position, rule, effort, n_pages from plan",
     "shared_values": _WITH + _SHARED,
     "duplicate_titles": _WITH + "select title, count(*) as n_pages, min(page_id) as first_page from page_view where title <> '' group by title having count(*) > 1",
     "link_regions": f"""

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions.markup import parsed
-from siltstone.operators import constraints, crawl, elements, graph, intervals, numbering, ordered, patterns, rules
+from siltstone.operators import constraints, crawl, elements, facts, graph, intervals, numbering, ordered, patterns, rules
 from siltstone.streaming import states, tables, windows
 
 
@@ -101,6 +101,30 @@ def test_rules_of_home_pages_and_scripts(spark):
     assert (1, "build.secret-in-javascript") in got and (1, "ai.structured-data-invalid") in got
 
 
+def test_facts_of_sites(spark):
+    form = "<form {0}><label>N <input name=n></label><input id=m><input type=hidden>{1}<button>Go</button></form>"
+    rows = [
+        (1, "https://a.test/x", "<footer>mail me@x.org</footer>" + form.format("", "")),
+        (2, "https://a.test/", "<nav><a href=/p>Privacy</a><a href='/legal/terms'>T</a></nav><p>Buy now</p><script src='https://www.googletagmanager.com/gtag/js'></script><script src=//cdn.x.io/a.js></script><div style='position: fixed'>We use <b>cookies</b> <a href=#>accept</a></div><footer>Tel +49 30 1234567</footer>"),
+        (3, "https://b.test/", form.format("action=/s novalidate", "<div style='opacity:0'><input></div>") + "<style>a:focus{outline:none} a:hover{opacity:.5}</style><div onclick=x()>1</div><span onclick=x()>2</span><li onclick=x() role=button>3</li><footer>© b</footer>" + "<svg class='lucide lucide-x'></svg>" * 5 + "<h2>Go \U0001f680</h2><p>seamless, world-class — and — so — on</p>"),
+        (4, None, None),
+    ]
+    found = facts.page_facts(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, forms string")).cache()
+    sites = {r.host: r for r in facts.site_facts(found).collect()}
+    a, b = sites["a.test"], sites["b.test"]
+    assert (a.has_privacy, a.has_terms, a.has_cookies, a.commercial, a.has_banner, a.analytics, a.third_parties, a.trackers, a.forms) == (True, True, False, True, True, 1, 2, 1, 1)
+    assert (a.has_email, a.has_phone, a.has_company, a.home_ctas) == (False, True, False, None)
+    assert (a.unverifiable, a.unvalidated, a.unlabelled, a.unprotected) == (1, 1, 1, 1) and (b.unverifiable, b.unvalidated, b.unlabelled, b.unprotected) == (0, 1, 1, 0)
+    assert (b.focus_suppressed, b.fake_buttons, b.has_company) == (1, 2, True)
+    rules_of = {}
+    for r in facts.site_findings(found).collect():
+        rules_of.setdefault(r.host, set()).add(r.rule.split(".")[1])
+    assert rules_of["a.test"] == {"no-cookie-policy", "no-refund-policy", "no-data-deletion", "no-business-identity", "form-submit-unverified", "form-no-validation", "form-unlabelled", "no-spam-protection"}
+    assert rules_of["b.test"] == {"no-privacy-policy", "no-terms", "no-data-deletion", "no-analytics", "no-contact-details", "focus-outline-removed", "clickable-non-buttons", "form-no-validation", "form-unlabelled"}
+    assert {(r.page_id, r.rule.split(".")[1]) for r in facts.design_findings(found).collect()} == {(3, "emoji-headings"), (3, "lucide-icons"), (3, "buzzword-copy"), (3, "em-dash-density"), (3, "hover-opacity")}
+    assert facts.site_facts(found.where("false")).count() == facts.design_findings(found.where("false")).count() == 0
+
+
 def test_as_of_of_a_hot_key(spark):
     rng = random.Random(7)
     lefts = [(rng.choice([1, 1, 1, 2, None]), rng.choice([None, *range(60)]), k, f"l{k}") for k in range(300)]
