@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import html, text, urls
 from ..operators import graph, readiness, runs
 from ..sources.tables import table
-from . import pages, relations
+from . import pages, relations, reports
 from . import readiness as sites
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,7 +70,7 @@ QUERIES: dict[str, Query] = {
     "run_status_latest": _of("events", runs.latest_status),
     "activity_by_day": _of("events", runs.activity),
     "queue_depth": _of("events", runs.queue_depth),
-} | pages.QUERIES | relations.QUERIES | sites.QUERIES
+} | pages.QUERIES | relations.QUERIES | sites.QUERIES | reports.QUERIES
 
 
 def _count(column: str, pattern: str) -> str:
@@ -155,4 +155,4 @@ ORACLE_SQL: dict[str, str] = {
     "run_status_latest": "select user_id, arg_max(event_type, (ts, event_id)) as status, count(*) as n_events from events group by 1",
     "activity_by_day": "select ts::date as day, event_type, count(*) as n_events, count(distinct user_id) as n_users from events group by 1, 2",
     "queue_depth": "select event_id, sum(case event_type when 'view' then 1 when 'click' then -1 else 0 end) over (partition by user_id order by ts, event_id)::bigint as depth from events",
-} | pages.ORACLE_SQL | relations.ORACLE_SQL | sites.ORACLE_SQL
+} | pages.ORACLE_SQL | relations.ORACLE_SQL | sites.ORACLE_SQL | reports.ORACLE_SQL
