@@ -308,3 +308,39 @@ def test_vectors_of_several_lengths_and_sizes(spark):
         cosine = unit @ unit[query]
         order = [k for k in np.argsort(-cosine, kind="stable") if k != query][:5]
         assert [v for _, v, _ in sorted(hits)] == order and np.allclose([s for *_, s in sorted(hits)], cosine[order])
+
+
+def test_equal_hashes_of_unequal_words():
+    """Where all words hash alike, and so all anchors, only equal runs of words have equal keys."""
+    from siltstone.llm import substring_dedup
+    from siltstone.llm.memo import Memo
+
+    rng = random.Random(4)
+    docs = [[b"w%d" % rng.randrange(3) for _ in range(rng.randint(20, 60))] for _ in range(200)]
+    docs += docs[:20]
+    seen = {}
+    for words in docs:
+        anchor, key, more, low, count = substring_dedup.contexts(words, Memo(lambda _: 7, 1000))
+        assert len(set(anchor.tolist())) == 1
+        for k, m, at, n in zip(key.tolist(), more.tolist(), low.tolist(), count.tolist(), strict=True):
+            run = tuple(words[at : at + n + substring_dedup.WINDOW - 1])
+            assert seen.setdefault((k, m), run) == run
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_paths_that_another_thread_takes(spark):
+    import threading
+
+    from siltstone.llm.store import drop_tables, taken_paths, written
+
+    made = {}
+    with taken_paths() as mine:
+        written(spark.range(3), "mine").count()
+        other = threading.Thread(target=lambda: made.update(table=written(spark.range(5), "other")))
+        other.start()
+        other.join()
+        with taken_paths() as inner:
+            written(spark.range(2), "inner")
+    assert len(mine) == len(inner) == 1
+    drop_tables(mine + inner)
+    assert made["table"].count() == 5
