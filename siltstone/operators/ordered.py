@@ -29,13 +29,13 @@ def running(parts: DataFrame, keys: list[str], order: list[str], how: str, colum
     total = {"sum": F.sum(column), "max": F.max(column), "last": F.max_by(column, place)}[how].alias("_total")
     totals = parts.groupBy(*keys, PART).agg(total).withColumn("_parts", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("_parts > 1")
     carry = {"sum": F.sum("_total"), "max": F.max("_total"), "last": F.last("_total", ignorenulls=True)}[how].over(before)
-    carried = totals.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(PART).alias("_at"), carry.alias("_carried"))
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col(PART) == F.col("_at")]
+    carried = totals.select(*(F.col(k).alias(f"_key_{k}") for k in keys), F.col(PART).alias("_key"), carry.alias("_carried"))
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys] + [F.col(PART) == F.col("_key")]
     local = {"sum": F.sum(column), "max": F.max(column), "last": F.last(column, ignorenulls=True)}[how].over(inner)
     joined = parts.withColumn("_local", local).join(F.broadcast(carried), same, "left")
     local, carried_ = F.col("_local"), F.col("_carried")
     value = {"sum": F.coalesce(local + carried_, local, carried_), "max": F.greatest(local, carried_), "last": F.coalesce(local, carried_)}[how]
-    return joined.withColumn(name, value).drop("_local", "_carried", "_at", *(f"_{k}" for k in keys))
+    return joined.withColumn(name, value).drop("_local", "_carried", "_key", *(f"_key_{k}" for k in keys))
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[str], name: str = "rank") -> DataFrame:

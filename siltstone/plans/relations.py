@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions.html import host_of, path_of
-from ..operators import constraints, crawl, graph, intervals, numbering, ordered, patterns
+from ..operators import admission, constraints, crawl, graph, intervals, numbering, ordered, patterns
 from ..operators.constraints import Rules
 from ..sources.tables import table
 from ..streaming import states, windows
@@ -26,6 +26,13 @@ def last_before_error(spark: SparkSession, folder: str) -> DataFrame:
     return ordered.as_of(errors, others, ["user_id"], "ts", "event_id", ["event_id", "event_type", "ts"])
 
 
+def event_admission(events: DataFrame) -> DataFrame:
+    """When a gate of two slots a user would admit the events in order, each taking its value in hours (to a hundredth): microseconds waited, and the end."""
+    jobs = events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (F.round(F.col("value") * 100).cast("long") * 36_000_000).alias("work"))
+    met = admission.admitted(jobs, "user_id", "event_id", "at", "work", 2).join(jobs.select(F.col("event_id").alias("e"), "at"), F.col("event_id") == F.col("e"))
+    return met.select("user_id", "event_id", (F.col("started") - F.col("at")).alias("waited"), "ended")
+
+
 LINE_ORDER = ["l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
 
@@ -110,6 +117,7 @@ def _of(name: str, make: Callable[[DataFrame], DataFrame]) -> Query:
 
 QUERIES: dict[str, Query] = {
     "last_before_error": last_before_error,
+    "event_admission": _of("events", event_admission),
     "order_spans": _of("lineitem", order_spans),
     "attached_turns": _of("conversations", attached_turns),
     "page_classes": _of("pages", page_classes),
@@ -148,6 +156,14 @@ ORACLE_SQL: dict[str, str] = {
         with e as (select * from events where event_type = 'error'), o as (select * from events where event_type <> 'error' qualify row_number() over (partition by user_id, ts order by event_id desc) = 1)
         select e.user_id, e.ts, e.event_id, o.event_id as last_event_id, o.event_type as last_event_type, o.ts as last_ts from e asof left join o on e.user_id = o.user_id and e.ts >= o.ts
     """,
+    # one event after the other, with the times at which the two slots are free
+    "event_admission": f"""
+        with recursive j as (select user_id, event_id, {_US} as at_, round(value * 100)::bigint * 36000000 as work, row_number() over (partition by user_id order by ts, event_id) as k from events),
+        r as (select user_id, 0::bigint as k, null::bigint as event_id, null::bigint as at_, null::bigint as started, null::bigint as ended, [0, 0]::bigint[] as free from (select distinct user_id from j)
+            union all select user_id, k, event_id, at_, started, started + work, list_sort([free[2], started + work]) from
+                (select j.*, free, greatest(j.at_, free[1]) as started from r join j on j.user_id = r.user_id and j.k = r.k + 1))
+        select user_id, event_id, started - at_ as waited, ended from r where k > 0
+    """,
     # the longest chain of overlapping lines, each after the one before
     "order_spans": f"""
         with recursive s as (select l_orderkey, {", ".join(LINE_ORDER)}, {_NTH} as k, l_shipdate::date as lo, l_shipdate::date + l_quantity::int as hi from lineitem),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions.markup import parsed
-from siltstone.operators import constraints, crawl, elements, facts, graph, intervals, numbering, ordered, patterns, rules
+from siltstone.operators import admission, constraints, crawl, elements, facts, graph, intervals, numbering, ordered, patterns, rules
 from siltstone.streaming import states, tables, windows
 
 
@@ -170,6 +170,22 @@ def test_overlap_ranks(spark):
     assert intervals.overlap_ranks(frame.where("false"), "key", ["k"], "lo", "hi").count() == 0
 
 
+@pytest.mark.parametrize("slots", [1, 2, 3])
+def test_admission_in_order_of_arrival(spark, slots):
+    rng = random.Random(31)
+    rows = [(key, k, rng.randrange(400 if key == "hot" else 4000), rng.choice([0, 1, 3, 9])) for key, n in (("hot", 300), ("b", 50), (None, 20)) for k in range(n)] + [("n", 0, None, 3), ("n", 1, 5, None), ("n", 2, 5, -4)]
+    want = {("n", 0): (None, None), ("n", 1): (None, None)}
+    for key in {r[0] for r in rows}:
+        free = [0] * slots
+        for _, k, at, work in sorted((r for r in rows if r[0] == key and None not in r[2:]), key=lambda r: (r[2], r[1])):
+            begin = max(at, free[0])
+            free = sorted([*free[1:], begin + max(work, 0)])
+            want[key, k] = (begin, begin + max(work, 0))
+    frame = spark.createDataFrame(rows, "g string, k long, at long, work long")
+    assert {(r.g, r.k): (r.started, r.ended) for r in admission.admitted(frame, "g", "k", "at", "work", slots).collect()} == want
+    assert admission.admitted(frame.where("false"), "g", "k", "at", "work", slots).count() == 0
+
+
 def test_unique_names(spark):
     rng = random.Random(13)
     rows = [("planted", k, b) for k, b in enumerate(["a", "a", "a2", "a", "a22", "a2", None, ""])]
