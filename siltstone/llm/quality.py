@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .memo import released
-from .store import small_or_not, written
+from .store import measured, small_or_not, written
 
 #: The symbols of the base rule, and the other ASCII punctuation.
 SYMBOLS = "#*$%&|<>"
@@ -211,11 +211,13 @@ def estimates(points: DataFrame, share: float = 0.75, gain: float = 1e-3, most_s
     """
     zero = F.struct(F.lit(0).cast("long").alias("n"), *(F.lit(0.0).alias(c) for c in MOMENTS[1:]))
     add = lambda a, x: F.when(a["n"] >= F.ceil(F.lit(share) * F.col("all")), a).otherwise(F.struct(*((a[c] + x[c]).alias(c) for c in MOMENTS)))
-    known, moved = written(_starts(points).withColumn("moved", F.lit(True)), "starts"), True
+    known = written(_starts(points).withColumn("moved", F.lit(True)), "starts")
     for step in range(most_steps):
-        if not moved:
+        open_ = known.where("moved").select("cell", "start", "mean", "inverse", "logdet")
+        found = measured(open_)
+        if not found[0]:
             break
-        open_ = small_or_not(written(known.where("moved").select("cell", "start", "mean", "inverse", "logdet"), "open")) if step else small_or_not(known.drop("moved"))
+        open_ = small_or_not(open_, found=found)
         levels = points.join(open_.select("cell", "start", "mean", "inverse"), "cell").groupBy("cell", "start", F.floor(F.log2(1 + distance()) * 32).alias("level")).agg(*_moments())
         # sums up to the level that fills the share: the smallest level with enough rows up to it
         nearest = F.array_sort(F.collect_list(F.struct("level", *MOMENTS)))
@@ -229,7 +231,6 @@ def estimates(points: DataFrame, share: float = 0.75, gain: float = 1e-3, most_s
             F.coalesce(better & (F.col("logdet") < F.col("old_logdet") - gain) if step else better, F.lit(False)).alias("moved"),
         )
         known = written(known, f"mcd-{step}")
-        moved = not known.where("moved").isEmpty()
     best = known.groupBy("cell").agg(F.min_by(F.struct("mean", "inverse", "logdet"), F.struct("logdet", "start")).alias("best"))
     return written(best.select("cell", "best.*"), "mcd")
 

@@ -116,9 +116,14 @@ def _bytes(column: Column, kind: T.DataType) -> Column:
     return F.lit(16)
 
 
-def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """`df`, a table that `written` has made, marked for broadcasting if its counted rows and summed bytes are few; else left
-    to a shuffle join, whose large partitions adaptive execution splits."""
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes, about, of a table that `written` has made."""
     width = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0))
-    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+
+
+def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES, found: tuple[int, int] | None = None) -> DataFrame:
+    """`df`, a table that `written` has made, marked for broadcasting if its counted rows and summed bytes (`found`, if they are known) are few; else left
+    to a shuffle join, whose large partitions adaptive execution splits."""
+    n, size = found or measured(df)
     return df.hint("broadcast") if n <= rows and size <= most_bytes else df
