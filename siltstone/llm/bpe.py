@@ -252,7 +252,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
 
     No shuffle. Each worker holds the automaton of the vocabulary and two bounded memos of pieces.
     Null text counts as empty and gives no ids. A very long text is encoded whole, one at a time. Repeated rows give repeated
-    results, an empty table none. Columns that aren't carried are ignored; a carried one may not have an output's name.
+    results, an empty table none. No ties arise: the last token of every prefix is unique. Columns that aren't carried are ignored; a carried one may not have an output's name.
     """
     return _encoded(docs, vocabulary, id_col, text_col, carry, True)
 

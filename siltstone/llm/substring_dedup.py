@@ -46,9 +46,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def contexts(words: list[bytes], words_seen: Memo) -> tuple[np.ndarray, ...]:
-    """anchor, key, first window, windows: for each anchor's place the run of windows that own it, and hashes of both.
+    """anchor, key (two halves), first window, windows: for each anchor's place the run of windows that own it, a hash of the anchor, and 128 bits of a digest of the run's words.
 
-    Equal windows have equal anchors at equal places, wherever they stand. Runs are in order and disjoint.
+    Equal windows have equal anchors at equal places, wherever they stand. Runs are in order and disjoint. Anchors only tell what meets; equal runs are told by the digest alone.
     """
     n = len(words)
     hashes = np.fromiter(map(words_seen.__getitem__, words), np.uint64, n)
@@ -59,9 +59,12 @@ def contexts(words: list[bytes], words_seen: Memo) -> tuple[np.ndarray, ...]:
     place = np.lib.stride_tricks.sliding_window_view(short, CHOICES).argmin(1) + np.arange(n - WINDOW + 1)
     low = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     count = np.diff(np.append(low, len(place)))
-    whole = (sums[low + count + WINDOW - 1] - sums[low]) * down[low]
-    key = _mixed(_mixed(whole) ^ ((place[low] - low) * 32 + count).astype(np.uint64))
-    return short[place[low]], key, low, count
+    text = memoryview(b" ".join(words))
+    starts = np.zeros(n + 1, np.int64)  # each word has a space after it
+    np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1, out=starts[1:])
+    begin, end = starts[low].tolist(), (starts[low + count + WINDOW - 1] - 1).tolist()
+    key = np.frombuffer(b"".join([xxhash.xxh3_128_digest(text[i:j]) for i, j in zip(begin, end, strict=True)]), np.uint64).reshape(-1, 2)
+    return short[place[low]], key[:, 0], key[:, 1], low, count
 
 
 class Statistics(SuffixAutomaton):
@@ -124,16 +127,16 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, row, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             words = words_of(text)
             if len(words) >= WINDOW:
-                anchor, key, low, count = contexts(words, words_seen)
+                anchor, key, more, low, count = contexts(words, words_seen)
                 n = len(low)
-                found.append((anchor, key, np.full(n, doc), np.full(n, row), low * 16 + count))
+                found.append((anchor, key, more, np.full(n, doc), np.full(n, row), low * 16 + count))
         if not found:
             continue
-        anchor, key, doc, row, at = map(np.concatenate, zip(*found, strict=True))
-        order = np.lexsort((at, row, doc, key, anchor))
-        anchor, key, doc, row, at = (x[order] for x in (anchor, key, doc, row, at))
+        anchor, key, more, doc, row, at = map(np.concatenate, zip(*found, strict=True))
+        order = np.lexsort((at, row, doc, more, key, anchor))
+        anchor, key, more, doc, row, at = (x[order] for x in (anchor, key, more, doc, row, at))
         new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-        new = new_anchor | np.concatenate([[True], key[1:] != key[:-1]])
+        new = new_anchor | np.concatenate([[True], (key[1:] != key[:-1]) | (more[1:] != more[:-1])])
         lead = np.flatnonzero(new)[np.cumsum(new) - 1]
         # a row that is there twice is marked once
         again = np.concatenate([[False], ~new[1:] & (doc[1:] == doc[:-1]) & (row[1:] == row[:-1]) & (at[1:] == at[:-1])])
@@ -144,10 +147,10 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         route = np.where(later, row.astype(np.uint64), np.where(many, _mixed(anchor ^ key), anchor))
         told = np.flatnonzero(new_anchor & many)
         own = np.flatnonzero(~again)
-        columns = [np.concatenate([x[own], y[told]]) for x, y in ((route, anchor), (anchor, anchor), (key, key), (doc, doc), (row, row), (at, np.full(len(at), -1)))]
+        columns = [np.concatenate([x[own], y[told]]) for x, y in ((route, anchor), (anchor, anchor), (key, key), (more, more), (doc, doc), (row, row), (at, np.full(len(at), -1)))]
         flags = [np.concatenate([x[own], np.full(len(told), y)]) for x, y in ((later, False), (many, True))]
         arrays = [*(pa.array(x.view(np.int64)) for x in columns), *map(pa.array, flags)]
-        yield pa.RecordBatch.from_arrays(arrays, names=["route", "anchor", "key", "doc", "row", "at", "marked", "many"])
+        yield pa.RecordBatch.from_arrays(arrays, names=["route", "anchor", "key", "more", "doc", "row", "at", "marked", "many"])
 
 
 @released
@@ -155,29 +158,29 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of contexts sorted by route, anchor, whether they are marked and many, key and place: those that aren't the first of their kind,
     marked; and the first ones of anchors with several kinds."""
     several, held = False, None  # whether the open anchor has several kinds; its first context, while it seems the only one
-    last: tuple = (None,) * 6  # route, anchor, key, document, row and place of the open kind's first context
+    last: tuple = (None,) * 7  # route, anchor, key (two halves), document, row and place of the open kind's first context
     for batch in batches:
         out = []
-        for route, anchor, key, doc, row, at, marked, many in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+        for route, anchor, key, more, doc, row, at, marked, many in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
             if marked:
                 out.append((anchor, doc, row, at, True))
                 continue
             if (route, anchor) != last[:2]:
-                several, held, last = False, None, (route, anchor, None, None, None, None)
+                several, held, last = False, None, (route, anchor, None, None, None, None, None)
             if many and not several:
                 several = True
                 out += [held] if held else []
             if at < 0:
                 continue
-            if (route, anchor, key) != last[:3]:
+            if (route, anchor, key, more) != last[:4]:
                 several = several or last[2] is not None
-                last = (route, anchor, key, doc, row, at)
+                last = (route, anchor, key, more, doc, row, at)
                 out += [held] if held and several else []
                 held = (anchor, doc, row, at, False)
                 if several:
                     out.append(held)
                     held = None
-            elif (doc, row, at) != last[3:]:
+            elif (doc, row, at) != last[4:]:
                 out.append((anchor, doc, row, at, True))
         columns = list(zip(*out, strict=True)) if out else [[]] * 5
         arrays = [pa.array(c, t) for c, t in zip(columns, [*[pa.int64()] * 4, pa.bool_()], strict=True)]
@@ -270,8 +273,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeats(rows: DataFrame) -> DataFrame:
     """doc, row, mark: first word of a run of windows (shifted left by 15) and, as bits, those of them that also start earlier."""
-    found = rows.select("doc", "row", "text").mapInArrow(_find, "route long, anchor long, key long, doc long, row long, at long, marked boolean, many boolean")
-    judged = found.repartition("route").sortWithinPartitions("route", "anchor", "marked", F.desc("many"), "key", "doc", "row", "at")
+    found = rows.select("doc", "row", "text").mapInArrow(_find, "route long, anchor long, key long, more long, doc long, row long, at long, marked boolean, many boolean")
+    judged = found.repartition("route").sortWithinPartitions("route", "anchor", "marked", F.desc("many"), "key", "more", "doc", "row", "at")
     judged = written(judged.mapInArrow(_judge, "anchor long, doc long, row long, at long, marked boolean"), "judged")
     full = F.expr("shiftleft(1L, cast(at % 16 as int)) - 1")
     marks = judged.where("marked").select("doc", "row", F.shiftleft(F.shiftright("at", 4), 15).bitwiseOR(full).alias("mark"))
@@ -299,7 +302,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     1. One pass over the texts gives contexts: an anchor and the windows around it that own it. Contexts that
        a batch has earlier are marked on the spot, so copies and common passages hardly move.
-    2. Contexts, as hashes, meet by anchor: of equal ones all but the first are marked. Most anchors occur once.
+    2. Contexts, as 128-bit digests of their words, meet by anchor: of equal ones all but the first are marked. Most anchors occur once.
     3. The words of the first contexts of anchors with several kinds make up the reference. It is cut in shards
        of whole anchors and about SHARD_WORDS words; in each a suffix automaton is built, its contexts are streamed
        for matching statistics, and a window that matches at full length is marked if it first ends earlier.
