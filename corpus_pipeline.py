@@ -15,7 +15,7 @@ from siltstone.llm.store import drop_tables, small_batches, small_or_not, taken_
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or their cell's estimate reject go; null and blank texts are among them. Equal rows go or stay together."""
+    """Documents that the base rules or their cell's estimate reject go; null and blank texts are among them. Equal rows go or stay together. A very long text is counted whole."""
     small_batches(spark)
     return quality.filter_quality(docs)
 
@@ -42,12 +42,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it, from not at all to twice; rows of one id, source and size are taken alike. Null ids, sources and texts are as in the mix."""
+    """Each row as often as the mix takes it, from not at all to twice; rows of one id, source and size are taken alike. Null ids, sources and texts are as in the mix; a very long text counts by its words."""
     return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row; null text has no ids. An empty table gives no rows, here and in every stage."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row; null text has no ids, a very long one is encoded whole. An empty table gives no rows, here and in every stage."""
     small_batches(spark)
     return bpe.digests(docs, vocabulary())
 
