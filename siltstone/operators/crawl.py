@@ -100,13 +100,15 @@ def _walked(links: dict, starts: list, most_pages: int, broken_visits: int) -> l
 
 
 def _by_level(linked: DataFrame, starts: DataFrame, most_pages: int, broken_visits: int) -> DataFrame:
-    there = dealt(linked.select(F.col("origin").alias("o"), F.col("node").alias("page"), "links"), "page")
+    # one key, as a join on several would deal the pages anew
+    key = F.struct("origin", "node")
+    there = dealt(linked.select(key.alias("page"), "links"), "page")
     first = ranked(starts, ["origin"], ["place", "node"], "position")
     level = written(first.select("origin", "position", "node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("referrer")), "level")
     seen, done, depth = level.select("origin", "node"), None, 0
     so_far = level.groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("pages"))
     while not level.isEmpty():
-        near = level.where(F.col("position") < most_pages + broken_visits).join(so_far.select("origin", "pages"), "origin").join(there, (F.col("page") == F.col("node")) & (F.col("o") == F.col("origin")), "left")
+        near = level.where(F.col("position") < most_pages + broken_visits).join(so_far.select("origin", "pages"), "origin").withColumn("key", key).join(there, F.col("page") == F.col("key"), "left")
         # at most most_pages + broken_visits rows an origin
         before = Window.partitionBy("origin").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
         near = near.withColumn("earlier", F.col("pages") + F.coalesce(F.count("page").over(before), F.lit(0)))

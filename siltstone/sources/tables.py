@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,9 +40,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for the block at hand."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def dealt(df: DataFrame, key: str) -> DataFrame:
-    """`df` by the hash of `key`, checkpointed: later joins on `key` bring the other side to it and don't move it again."""
+    """`df` by the hash of `key` and in its order, checkpointed: later joins on `key` alone bring the other side to it, and neither move nor sort it again.
+
+    An adaptive plan doesn't tell how its result is dealt, so this one is made without.
+    """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key).checkpoint()
+    with setting(spark, "spark.sql.adaptive.enabled", "false"):
+        return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key).checkpoint()

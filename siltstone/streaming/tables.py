@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.tables import new_folder
+from ..sources.tables import new_folder, setting
 
 def table_stream(spark: SparkSession, folder: str, name: str, files: int = 64) -> DataFrame:
     """A table of Parquet files as a stream that takes up to `files` files at a time, oldest first; a table can be one file."""
@@ -17,22 +14,9 @@ def table_stream(spark: SparkSession, folder: str, name: str, files: int = 64) -
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/{name}.parque[t]")
 
 
-@contextmanager
-def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
-
-
 def run_to_end(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Append all that `stream` has to Parquet files under `target`, and stop. With the checkpoint of an earlier run it goes on from there."""
-    with _setting(stream.sparkSession, "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
+    with setting(stream.sparkSession, "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
         query = stream.writeStream.format("parquet").outputMode("append").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query

@@ -60,6 +60,19 @@ def test_crawl_of_a_chain_takes_few_jobs(spark):
     assert jobs <= 60
 
 
+def test_dealt_tables_stay_where_they_are(spark):
+    from siltstone.sources.tables import dealt, setting
+
+    edges = dealt(spark.range(1000).select(F.struct(F.lit("o").alias("origin"), F.col("id").cast("string").alias("node")).alias("page"), F.lit("x").alias("links")), "page")
+    asked = spark.range(990, 1010).select(F.struct(F.lit("o").alias("origin"), F.col("id").cast("string").alias("node")).alias("key"))
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        met = asked.join(edges, F.col("key") == F.col("page"), "left")
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert met.where("links is not null").count() == 10
+    # the side asked for is shuffled and sorted, the dealt one is neither
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+
+
 def test_seeds_and_links_of_pages(spark):
     rows = [(2, "https://a.test/x", "<a href='/y#t'>1</a><a href='/y'>2</a><a href='/p.png'>3</a>"), (1, "https://a.test/x", "<a href='z'>4</a>"), (3, "https://A.test/y/", None), (4, None, "x"), (None, "https://b.test/q?a=1", "")]
     got = crawl.page_crawl(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
