@@ -83,34 +83,41 @@ def clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def _frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of all texts, and by bin of those that have an n-gram there. A task sends one row."""
+def _counted(usable: DataFrame) -> DataFrame:
+    """A written table of one pass over lang and text: lang, hash of each text (once a batch), and a row a task with `seen`, its number of texts by bin and, last, of all."""
 
     @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, seen = 0, np.zeros(BINS, np.int64)
+        seen = np.zeros(BINS + 1, np.int64)
+        kinds = pa.schema([("lang", pa.string()), ("hash", pa.int64()), ("seen", pa.list_(pa.int64()))])
         for batch in batches:
-            for _, run in _pieces(batch.column(0).to_pylist()):
-                seen += (counts(run) > 0).sum(axis=0)
-                n += len(run)
-        if n:
-            yield pa.RecordBatch.from_pydict({"n": [n], "seen": [seen.tolist()]})
-
-    rows = texts.select("text").mapInArrow(count, "n long, seen array<long>")
-    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    by_bin = rows.select(F.posexplode("seen").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # BINS rows
-    seen = np.zeros(BINS, np.int64)
+            for _, run in _pieces(batch.column(2).to_pylist()):
+                seen[:BINS] += (counts(run) > 0).sum(axis=0)
+                seen[BINS] += len(run)
+            kept = pa.table(batch.columns[:2], names=["lang", "hash"]).group_by(["lang", "hash"]).aggregate([])
+            yield from kept.append_column("seen", pa.nulls(len(kept), kinds.field("seen").type)).cast(kinds).to_batches()
+        if seen[BINS]:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([seen.tolist()])], schema=kinds)
+
+    return written(usable.select("lang", F.xxhash64("text").alias("hash"), "text").mapInArrow(count, "lang string, hash long, seen array<long>"), "counted")
+
+
+def _frequencies(counted: DataFrame) -> tuple[int, np.ndarray]:
+    """Number of all texts, and by bin of those that have an n-gram there."""
+    by_bin = counted.select(F.posexplode("seen").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # BINS rows and one
+    seen = np.zeros(BINS + 1, np.int64)
     seen[by_bin["bin"].to_numpy(int)] = by_bin["n"].to_numpy(np.int64)
-    return total, seen
+    return int(seen[BINS]), seen[:BINS]
 
 
-def sampled(usable: DataFrame, per_lang: int) -> DataFrame:
+def sampled(usable: DataFrame, per_lang: int, counted: DataFrame | None = None) -> DataFrame:
     """lang, text: of each language the `per_lang` distinct texts of least hash, or all if it has fewer.
 
     Only the part of the hashes' range that holds about four times as many of the language's distinct texts is ranked, so neither a
     language nor a text of any number of rows fills a task.
     """
-    keys = written(usable.select("lang", F.xxhash64("text").alias("hash")).distinct(), "keys")
+    hashes = usable.select("lang", F.xxhash64("text").alias("hash")) if counted is None else counted.where("hash is not null").select("lang", "hash")
+    keys = written(hashes.distinct(), "keys")
     shares = keys.groupBy("lang").agg((F.lit(4.0 * per_lang) / F.count(F.lit(1))).alias("share"))
     low = keys.join(small_or_not(written(shares, "shares")), "lang").where(F.col("hash").cast("double") / 2.0**64 + 0.5 <= F.col("share"))
     least = low.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).where(F.col("place") <= per_lang)
@@ -129,7 +136,8 @@ def fit(labelled: DataFrame, per_lang: int = 500, k: int = 4, slack: float = 0.5
     Equal cosines in clustering go to the earlier centroid. Other columns are ignored.
     """
     usable = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
-    total, seen = _frequencies(usable)
+    counted = _counted(usable)
+    total, seen = _frequencies(counted)
     if not total:
         return Model([], np.zeros(BINS), np.zeros((0, BINS), np.float32), np.zeros(0, int), np.zeros(0))
     idf = (np.log((1 + total) / (1 + seen)) + 1).astype(np.float32)
@@ -146,7 +154,7 @@ def fit(labelled: DataFrame, per_lang: int = 500, k: int = 4, slack: float = 0.5
                     values.append(row[at].tobytes())
                 yield pa.RecordBatch.from_pydict({"lang": langs[first : first + len(run)], "bins": pa.array(bins, pa.binary()), "counts": pa.array(values, pa.binary())})
 
-    chosen = sampled(usable, per_lang).select("lang", "text").mapInArrow(count, "lang string, bins binary, counts binary").collect()
+    chosen = sampled(usable, per_lang, counted).select("lang", "text").mapInArrow(count, "lang string, bins binary, counts binary").collect()
     by_lang: dict[str, list] = {}
     for r in sorted(chosen, key=lambda r: (r["lang"], bytes(r["bins"]), bytes(r["counts"]))):
         by_lang.setdefault(r["lang"], []).append(r)
