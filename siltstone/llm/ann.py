@@ -1,4 +1,4 @@
-"""Nearest neighbours: score-aware anisotropic quantisation, four-bit table scans, exact reranking."""
+"""Nearest neighbours: score-aware anisotropic quantisation, four-bit table scans, exact reranking of all that the codes cannot rule out."""
 
 from __future__ import annotations
 
@@ -17,10 +17,10 @@ from .store import small_or_not, written
 SAMPLE, WIDTH, CENTRES = 20_000, 1, 16
 #: Rows of a shard of codes, and queries of a block; one is scanned against the other. Rows that are coded at a time.
 SHARD, QUERIES, CODED = 16_384, 256, 2_048
+#: Bytes of a shard's vectors, about; pairs of a query and a row that are scored at a time.
+SHARD_BYTES, PAIRS = 8 << 20, 65_536
 #: Queries of a wave, and bytes of its vectors, about: what the driver and each worker hold of the queries at once.
 WAVE, WAVE_BYTES = 16_384, 32 << 20
-#: Partitions whose best candidates meet in one step of the merge.
-FAN = 64
 
 
 @dataclass(frozen=True)
@@ -109,24 +109,48 @@ def usable(vector: Column) -> Column:
 
 
 def encoded(rows: DataFrame, books: Codebooks) -> DataFrame:
-    """n, vec_ids, codes: rows (vec_id, vector of double) in packed shards of at most SHARD rows, in order of id, two codes a byte."""
+    """n, vec_ids, codes, along, across, vectors: rows (vec_id, vector of double) in packed shards of at most SHARD rows, in order of id, two codes a byte.
+
+    `along` and `across` are the parts of a decoded row along the row's direction and square to it; vectors are kept as float
+    where that loses nothing.
+    """
     held = rows.sparkSession.sparkContext.broadcast(books)  # 16 centres a subspace
 
     @released
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, SHARD):
-                part = batch.slice(first, SHARD)
+            if not batch.num_rows:
+                continue
+            size = max(1, min(SHARD, SHARD_BYTES // (8 * len(batch.column(1)[0]))))
+            for first in range(0, batch.num_rows, size):
+                part = batch.slice(first, size)
                 ids = np.asarray(part.column(0))
-                if len(ids):
-                    order = np.argsort(ids, kind="stable")
-                    x = _padded(_matrix(part.column(1)))[order]
-                    codes = assign(x, held.value)
-                    codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
-                    packed = codes[:, 0::2] << 4 | codes[:, 1::2]
-                    yield pa.RecordBatch.from_pydict({"n": [len(ids)], "vec_ids": pa.array([ids[order].tobytes()], pa.binary()), "codes": pa.array([packed.tobytes()], pa.binary())})
-
-    return rows.select("vec_id", "vector").mapInArrow(encode, "n long, vec_ids binary, codes binary")
+                order = np.argsort(ids, kind="stable")
+                vectors = _matrix(part.column(1))[order]
+                x = _padded(vectors)
+                codes = assign(x, held.value)
+                along, across = _parts(x, codes, held.value)
+                codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
+                packed = codes[:, 0::2] << 4 | codes[:, 1::2]
+                with np.errstate(over="ignore"):
+                    short = vectors.astype(np.float32)
+                vectors = short if np.array_equal(short, vectors) else vectors
+                yield pa.RecordBatch.from_pydict({"n": [len(ids)]} | {
+                    name: pa.array([values.tobytes()], pa.binary())
+                    for name, values in {"vec_ids": ids[order], "codes": packed, "along": along, "across": across, "vectors": vectors}.items()
+                })
+
+    return rows.select("vec_id", "vector").mapInArrow(encode, "n long, vec_ids binary, codes binary, along binary, across binary, vectors binary")
+
+
+def _parts(x: np.ndarray, codes: np.ndarray, books: Codebooks) -> tuple[np.ndarray, np.ndarray]:
+    along, across = np.empty((2, len(x)), np.float32)
+    for k in range(0, len(x), CODED):
+        row = x[k : k + CODED]
+        decoded = books.centres[np.arange(len(books.centres)), codes[k : k + CODED]].reshape(len(row), -1)
+        dot = (row * decoded).sum(1)
+        along[k : k + CODED], across[k : k + CODED] = dot, np.linalg.norm(decoded - dot[:, None] * row, axis=1)
+    return along, across
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -157,8 +181,8 @@ def best_of(scores: np.ndarray, ids: np.ndarray, top: int) -> tuple[np.ndarray,
     return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
 
 
-def scan(queries: np.ndarray, ids: np.ndarray, packed: np.ndarray, books: Codebooks, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and approximate scores of the `top` rows for each query, by sums of table entries.
+def scan(queries: np.ndarray, packed: np.ndarray, books: Codebooks) -> np.ndarray:
+    """Approximate scores of the rows for each query, by sums of table entries.
 
     For two codes in a byte there is one table of 256 sums a query, so a byte costs one look-up.
     """
@@ -167,10 +191,88 @@ def scan(queries: np.ndarray, ids: np.ndarray, packed: np.ndarray, books: Codebo
     if m % 2:
         table = np.concatenate([table, np.zeros((len(table), 1, CENTRES), np.float32)], 1)
     pairs = (table[:, 0::2, :, None] + table[:, 1::2, None, :]).reshape(len(queries), -1, CENTRES * CENTRES)
-    scores = np.zeros((len(queries), len(ids)), np.float32)
+    scores = np.zeros((len(queries), len(packed)), np.float32)
     for b in range(packed.shape[1]):
         scores += pairs[:, b][:, packed[:, b]]
-    return best_of(scores, ids[None], top)
+    return scores
+
+
+class Vectors:
+    """Vectors as they are, by dimension, with their norms; both summed in order of the dimensions, as `exact` does."""
+
+    def __init__(self, x: np.ndarray):
+        self.by_dimension = np.ascontiguousarray(x.T, np.float64)
+        self.norms = np.sqrt(sum(v * v for v in self.by_dimension))
+
+    def units(self, rows=slice(None)) -> np.ndarray:
+        return self.by_dimension[:, rows] / self.norms[rows]
+
+    def cosines(self, rows: np.ndarray, others: Vectors, columns: np.ndarray) -> np.ndarray:
+        """Of pairs of a row of this and one of `others`."""
+        dot = sum(a[rows] * b[columns] for a, b in zip(self.by_dimension, others.by_dimension, strict=True))
+        return dot / (self.norms[rows] * others.norms[columns])
+
+
+class Best:
+    """The `most` best rows that each query has met, best first, no id twice; a place that is free has the score -inf."""
+
+    def __init__(self, queries: int, most: int):
+        self.ids, self.scores = np.zeros((queries, most), np.int64), np.full((queries, most), -np.inf)
+
+    def take(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        old = self.scores > -np.inf
+        query, ids, scores = np.concatenate([np.nonzero(old)[0], query]), np.concatenate([self.ids[old], ids]), np.concatenate([self.scores[old], scores])
+        # an id may have several vectors; its best score counts
+        order = np.lexsort((-scores, ids, query))
+        query, ids, scores = query[order], ids[order], scores[order]
+        first = np.ones(len(query), bool)
+        first[1:] = (query[1:] != query[:-1]) | (ids[1:] != ids[:-1])
+        query, ids, scores = query[first], ids[first], scores[first]
+        order = np.lexsort((ids, -scores, query))
+        query, ids, scores = query[order], ids[order], scores[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        kept = place < self.ids.shape[1]
+        self.scores[:] = -np.inf
+        self.ids[query[kept], place[kept]], self.scores[query[kept], place[kept]] = ids[kept], scores[kept]
+
+
+def look_up(asked: Vectors, best: Best, ids: np.ndarray, packed: np.ndarray, along: np.ndarray, across: np.ndarray, rows: Vectors, books: Codebooks, rerank: int) -> None:
+    """Bring a block of queries to a shard of rows: `best` then has the best of those that it had and of all rows.
+
+    The codes give approximate scores. A query without enough rows so far scores the `rerank` best exactly. Let t be the last of its
+    best scores then: a row whose cosine is t or more has an approximate score of at least along * t - across * sqrt(1 - t^2), as the
+    decoded row can turn away from the query by no more than its angle to the row. All rows that reach it are scored exactly.
+    """
+    most, units = best.ids.shape[1], asked.units()
+    approximate = scan(np.pad(units.T, ((0, 0), (0, -len(units) % WIDTH))), packed, books)
+    new = np.flatnonzero(best.scores[:, -1] == -np.inf)
+    if len(new):
+        at = best_of(approximate[new], np.arange(len(ids)), rerank)[0]
+        _score(asked, best, ids, rows, np.repeat(new, at.shape[1]), at.ravel())
+    least = best.scores[:, -1]
+    # sums of floats, each of at most the decoded row's norm
+    slack = 2e-7 * (len(books.centres) + 8) * (1 + np.hypot(along, across).max())
+    level = np.maximum(least, 0).astype(np.float32)[:, None]
+    reach = level * along - np.sqrt(np.maximum(0, 1 - np.maximum(least, 0) ** 2)).astype(np.float32)[:, None] * across - np.float32(slack)
+    # the bound holds for angles of up to 90 degrees
+    reach[least < 0], reach[:, along < 0] = -np.inf, -np.inf
+    left = approximate >= reach
+    columns = np.flatnonzero(left.any(0))
+    if not len(columns):
+        return
+    near = units.T @ rows.units(columns)
+    near[~left[:, columns]] = -np.inf
+    if len(columns) > most and (ids[1:] > ids[:-1]).all():
+        least = np.maximum(least, -np.partition(-near, most - 1, axis=1)[:, most - 1])
+    # products of matrices are summed in another order
+    query, column = np.nonzero((near >= least[:, None] - 1e-9) & (near > -np.inf))
+    _score(asked, best, ids, rows, query, columns[column])
+
+
+def _score(asked: Vectors, best: Best, ids: np.ndarray, rows: Vectors, query: np.ndarray, column: np.ndarray) -> None:
+    for k in range(0, len(query), PAIRS):
+        q, c = query[k : k + PAIRS], column[k : k + PAIRS]
+        best.take(q, ids[c], asked.cosines(q, rows, c))
 
 
 def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
@@ -204,12 +306,13 @@ def of_common_length(rows: DataFrame) -> DataFrame:
 def search(
     vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 200, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
-    """query_id, rank, vec_id, score: the `k` rows of largest cosine that are found for each query, a row whose id is divisible by `every`.
+    """query_id, rank, vec_id, score: the `k` rows of largest cosine for each query, a row whose id is divisible by `every`.
 
     The codebooks are fitted on about SAMPLE distinct vectors, chosen by a share of the range of a hash; every vector is
-    coded, once for all rows that have it. Codes stay where they are written: the queries come to them in waves of about WAVE, and a task
-    scans its shards against the wave's blocks, keeping the `rerank` best of each query. Those lists are merged FAN partitions at a time.
-    What is left is scored exactly on the original vectors in double precision, and rows of equal vectors
+    coded, once for all rows that have it. Codes and vectors stay where they are written: the queries come to them in waves of about WAVE, and a task
+    scans its shards against the wave's blocks. First the `rerank` best by the codes are scored exactly on the original vectors, in double
+    precision, then all others that the errors of their codes don't rule out (`look_up`), so the result is that of brute force. A task
+    keeps the k + 1 best ids of each query; what is left of those is scored once more, and rows of equal vectors
     are told apart by id. At every cut ties go to the smaller id.
 
     A null id, and a vector that is null, empty, zero or has null or non-finite components, takes no part, nor does one of another length than
@@ -237,47 +340,41 @@ def search(
     held = spark.sparkContext.broadcast(books)
     found = None
     for wave in range(waves):
-        best = written(_scanned(shards, asked.where(F.pmod(F.xxhash64("query_id"), F.lit(waves)) == wave), held, rerank), "best")
+        best = written(_scanned(shards, asked.where(F.pmod(F.xxhash64("query_id"), F.lit(waves)) == wave), held, rerank, k + 1), "best")
         found = best if found is None else found.unionByName(best)
     return exact(found, index, asked, k)
 
 
-def _scanned(shards: DataFrame, asked: DataFrame, books, rerank: int) -> DataFrame:
-    """query_id, best (structs of -score and vec_id in order) of a wave of queries over all shards."""
+def _scanned(shards: DataFrame, asked: DataFrame, books, rerank: int, most: int) -> DataFrame:
+    """query_id, best (structs of -score and vec_id in order, `most` at most) of a wave of queries over all shards."""
     spark = shards.sparkSession
     wave = asked.select("query_id", "query").toArrow()  # WAVE rows, about
     if not wave.num_rows:
         return spark.createDataFrame([], "query_id long, best array<struct<d:double,vec_id:long>>")
     wave = wave.combine_chunks().sort_by("query_id")
-    queries = spark.sparkContext.broadcast((np.asarray(wave.column(0)), _padded(np.concatenate([_matrix(c) for c in wave.column(1).chunks]))))
-    kind = pa.list_(pa.struct([("d", pa.float64()), ("vec_id", pa.int64())]))
+    queries = spark.sparkContext.broadcast((np.asarray(wave.column(0)), np.concatenate([_matrix(c) for c in wave.column(1).chunks])))
 
     @released
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, x = queries.value
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        blocks = [(Vectors(x[k : k + QUERIES]), Best(len(x[k : k + QUERIES]), most)) for k in range(0, len(x), QUERIES)]
         for batch in batches:
-            for ids, codes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                ids = np.frombuffer(ids, np.int64)
-                packed = np.frombuffer(codes, np.uint8).reshape(len(ids), -1)
-                for first in range(0, len(x), QUERIES):
-                    got, score = scan(x[first : first + QUERIES], ids, packed, books.value, rerank)
-                    if first in best:
-                        got, score = (np.concatenate(both, axis=1) for both in zip(best[first], (got, score), strict=True))
-                        got, score = best_of(score, got, rerank)
-                    best[first] = got, score
-        for first, (got, score) in best.items():
-            of = pa.StructArray.from_arrays([pa.array(-score.astype(np.float64).ravel()), pa.array(got.ravel())], names=["d", "vec_id"])
-            lists = pa.ListArray.from_arrays(np.arange(len(got) + 1, dtype=np.int32) * got.shape[1], of).cast(kind)
-            yield pa.RecordBatch.from_arrays([pa.array(query_ids[first : first + QUERIES]), lists], names=["query_id", "best"])
-
-    best = shards.mapInArrow(look, "query_id long, best array<struct<d:double,vec_id:long>>").withColumn("part", F.spark_partition_id())
-    merged = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, rerank).alias("best")
-    parts = shards.rdd.getNumPartitions()
-    while parts > 1:
-        parts = -(-parts // FAN)
-        best = best.groupBy("query_id", F.floor(F.col("part") / FAN).alias("part")).agg(merged)
-    return best.select("query_id", "best")
+            for shard in batch.to_pylist():
+                ids = np.frombuffer(shard["vec_ids"], np.int64)
+                packed = np.frombuffer(shard["codes"], np.uint8).reshape(len(ids), -1)
+                along, across = (np.frombuffer(shard[name], np.float32) for name in ("along", "across"))
+                kind = np.float32 if len(shard["vectors"]) == 4 * len(ids) * x.shape[1] else np.float64
+                rows = Vectors(np.frombuffer(shard["vectors"], kind).reshape(len(ids), -1))
+                for block, best in blocks:
+                    look_up(block, best, ids, packed, along, across, rows, books.value, rerank)
+        for k, (_, best) in enumerate(blocks):
+            query, place = np.nonzero(best.scores > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(query_ids[k * QUERIES + query]), pa.array(-best.scores[query, place]), pa.array(best.ids[query, place])], names=["query_id", "d", "vec_id"])
+
+    # a query has `most` rows a partition at most, so they meet in one task
+    best = shards.mapInArrow(look, "query_id long, d double, vec_id long").repartition("query_id")
+    best = best.groupBy("query_id", "vec_id").agg(F.min("d").alias("d"))
+    return best.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "vec_id"))), 1, most).alias("best"))
 
 
 def exact(best: DataFrame, index: DataFrame, asked: DataFrame, k: int) -> DataFrame:

@@ -344,3 +344,32 @@ def test_paths_that_another_thread_takes(spark):
     assert len(mine) == len(inner) == 1
     drop_tables(mine + inner)
     assert made["table"].count() == 5
+
+
+@pytest.mark.parametrize("spread", [0.3, 0.001])
+def test_nearest_vectors_of_dense_groups(spark, spread):
+    """Groups of 2,000 near directions, one of them along an axis: the scores are those of brute force."""
+    from siltstone.llm import ann
+
+    rng = np.random.default_rng(21)
+    centres = np.concatenate([rng.normal(size=(3, 32)), np.eye(32)[:1] * 9])
+    x = centres[np.arange(8000) % 4] + spread * rng.normal(size=(8000, 32))
+    x[7900:] = x[:100] * 2  # equal directions
+    got = {}
+    for r in ann.search(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert sorted(got) == list(range(0, 8000, 50))
+    for query, hits in got.items():
+        cosine = np.delete(unit @ unit[query], query)
+        assert np.allclose([hits[k][1] for k in range(1, 6)], np.sort(cosine)[::-1][:5], rtol=0, atol=1e-13)
+        assert len({v for v, _ in hits.values()} - {query}) == 5
+
+
+def test_the_best_of_an_id_of_many_vectors(spark):
+    """An id that has many near vectors takes one place."""
+    from siltstone.llm import ann
+
+    rows = [(0, [1.0, 0.0, 0.0])] + [(7, [1.0, k / 1e5, 0.0]) for k in range(1, 900)] + [(10 + k, [1.0, 0.1 + k / 100, 0.0]) for k in range(9)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [7, 10, 11, 12, 13]
