@@ -330,6 +330,20 @@ def test_run_states_after_a_restart(spark, tmp_path):
     assert dropped == 1
 
 
+def test_users_share_keys_of_run_states(spark, tmp_path, monkeypatch):
+    """However many users there are, the state has so many keys; runs of a key time out each at its own time."""
+    monkeypatch.setattr(states, "KEYS", 3, raising=False)
+    rng = random.Random(31)
+    rows = [(k, START + timedelta(minutes=3 * k + rng.randint(-20, 20)), rng.randrange(40), rng.choice(["signup", "signup", "view", "click", "purchase", "error", None])) for k in range(600)]
+    source, target, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    for batch in (rows[:350], rows[350:]):
+        spark.createDataFrame(batch, EVENTS).coalesce(1).write.mode("append").parquet(source)
+        query = tables.run_to_end(states.run_states(spark.readStream.schema(EVENTS).parquet(source), "5 hours", "2 hours"), target, check)
+    assert max(operator["numRowsTotal"] for progress in query.recentProgress for operator in progress["stateOperators"]) <= 3
+    got = {r.user_id: (r.state, r.n_events, r.illegal, r.timeouts, r.since) for r in states.latest(spark.read.parquet(target)).collect()}
+    assert got == folded(rows, max(r[1] for r in rows) - timedelta(hours=2), timedelta(hours=5))
+
+
 def test_late_rows_repeats_and_sessions(spark, tmp_path):
     minutes = lambda *ms: [(1000 + m, START + timedelta(minutes=m), 1, "view") for m in ms]
     source, target, check = (str(tmp_path / x) for x in ("in", "out", "check"))
